@@ -2,6 +2,8 @@
 
 from veilmark.config import Settings
 from veilmark.plans.jobs import (
+    TableInput,
+    TextInput,
     audit,
     dsar_table,
     dsar_text,
@@ -12,10 +14,13 @@ from veilmark.plans.jobs import (
     redact_table,
     redact_text,
     restore,
+    run,
 )
 
 __all__ = [
     "Settings",
+    "TableInput",
+    "TextInput",
     "audit",
     "dsar_table",
     "dsar_text",
@@ -26,4 +31,5 @@ __all__ = [
     "redact_table",
     "redact_text",
     "restore",
+    "run",
 ]

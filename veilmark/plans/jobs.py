@@ -23,40 +23,166 @@ from veilmark.operators.common import cut, measure
 
 
 @dataclass(frozen=True)
-class TextResult:
-    """Rewritten texts, the registry after the run, and the replaced spans."""
+class TextInput:
+    """Texts of a run.  See :func:`pseudonymise_text` for the fields."""
 
     df: DataFrame
-    registry: DataFrame
-    hits: DataFrame
+    text_col: str
+    key: Sequence[str]
+    order_by: Sequence[str] | None = None
+    document: Sequence[str] | None = None
+
+    @property
+    def order(self) -> list[str]:
+        return list(self.order_by or self.key)
+
+
+@dataclass(frozen=True)
+class TableInput:
+    """A table of a run.  See :func:`pseudonymise_table` for the fields."""
+
+    df: DataFrame
+    key: Sequence[str]
+    order_by: Sequence[str] | None = None
+    scan: Sequence[str] | None = None
 
 
 @dataclass(frozen=True)
-class TableResult:
-    tables: dict[str, DataFrame]
+class RunResult:
+    """Rewritten inputs by name, the registry after the run, and the rows it added."""
+
+    outputs: dict[str, DataFrame]
     registry: DataFrame
+    added: DataFrame
+    hits: dict[str, DataFrame]
 
     @property
     def df(self) -> DataFrame:
-        (only,) = self.tables.values()
+        (only,) = self.outputs.values()
+        return only
+
+    @property
+    def only_hits(self) -> DataFrame:
+        (only,) = self.hits.values()
         return only
 
 
-def _registry(events, settings: Settings, order, bound, previous, linked=False) -> tuple[DataFrame, DataFrame]:
-    """(whole registry, its value -> token lookup), both with their lineage cut."""
+def run(
+    inputs: dict[str, TextInput | TableInput],
+    settings: Settings | None = None,
+    *,
+    previous: DataFrame | None = None,
+    anchor: str | None = None,
+    force_fields: Sequence[str] | None = None,
+    interleave: bool = False,
+) -> RunResult:
+    """Texts and tables with one registry.
+
+    Values are numbered input by input in the given order, or, with *interleave*, by the
+    order columns alone.  The order columns must have the same types in all inputs.
+    """
+    settings = settings or Settings()
+    spark = next(iter(inputs.values())).df.sparkSession
+    dictionary = D.load(spark, settings)
+    order = _common_order(inputs)
+    parts = {}
+    for i, (name, given) in enumerate(inputs.items()):
+        src = 0 if interleave else i
+        if isinstance(given, TextInput):
+            parts[name] = _TextPart(given, settings, dictionary, src)
+        else:
+            plan = STR.plan_table(
+                given.df, given.key, given.order_by, settings,
+                anchor=anchor, force_fields=force_fields, scan=given.scan, src=src,
+            )
+            parts[name] = _TablePart(plan, settings, dictionary)
+    events = reduce(DataFrame.unionByName, [e for p in parts.values() for e in p.events])
+    bounds = [p.bound for p in parts.values()]
+    bound = None if None in bounds else sum(bounds)
+    linked = any(p.linked for p in parts.values())
     usernames = None
     if settings.roster is not None:
         events = ROS.events(settings.roster, order).unionByName(events)
-        usernames = ROS.usernames(settings.roster)
-        linked, bound = True, None
-    new = cut(
+        usernames, bound = ROS.usernames(settings.roster), None
+    added = cut(
         REG.build(
             events, settings.active_masks, bound=bound, previous=previous, usernames=usernames,
             linked=linked, single_task_rows=settings.single_task_rows,
         )
     )
-    whole = new if previous is None else previous.unionByName(new)
-    return whole, REG.forward(whole)
+    registry = added if previous is None else previous.unionByName(added)
+    lookup = REG.forward(registry)
+    _, lookup_bytes = measure(lookup, "value", "token")
+    outputs = {name: part.rewrite(lookup, lookup_bytes) for name, part in parts.items()}
+    return RunResult(outputs, registry, added, {n: p.hits for n, p in parts.items() if p.hits is not None})
+
+
+def _common_order(inputs):
+    types = {
+        name: E.order_type(i.df, list(i.order_by or i.key)) for name, i in inputs.items()
+    }
+    first = next(iter(types.values()))
+    if any(t.simpleString() != first.simpleString() for t in types.values()):
+        raise ValueError(f"order columns differ in type: { {n: t.simpleString() for n, t in types.items()} }")
+    return first
+
+
+class _TextPart:
+    """Detection and rewriting of one text input."""
+
+    linked = False
+
+    def __init__(self, given: TextInput, settings: Settings, dictionary: D.Dictionary, src: int) -> None:
+        self.given, self.settings, self.dictionary = given, settings, dictionary
+        key = [*given.key, "ord"]
+        keyed = given.df.withColumn("ord", E.order_struct(given.order))
+        detected = DET.detect(keyed, given.text_col, key, settings, dictionary)
+        kept = detected.withColumn("entities", F.filter("entities", DET.allowed(settings)))
+        # Only rows with spans are written, without their text.
+        self.hits = cut(DET.span_rows(kept, key))
+        self.bound, self.bytes = measure(self.hits, "value")
+        self.events = [E.from_spans(self.hits, settings.active_masks, F.lit(src))]
+
+    def rewrite(self, lookup: DataFrame, lookup_bytes: int) -> DataFrame:
+        given, settings = self.given, self.settings
+        scope = list(given.document or given.key)
+        maps = REW.value_maps(self.hits, scope, lookup, lookup_bytes, settings.broadcast_bytes)
+        has_hits = None
+        if self.dictionary.in_row and given.document is None and settings.ner is None:
+            spans = DET.entities(F.col(given.text_col), settings, self.dictionary)
+            has_hits = F.coalesce(F.exists(spans, DET.allowed(settings)), F.lit(False))
+        return REW.rewrite_text(
+            # A map entry holds a value and its token; tokens are short.
+            given.df, scope, given.text_col, maps, 3 * self.bytes, settings.broadcast_bytes,
+            word_boundary=settings.word_boundary, has_hits=has_hits,
+        )
+
+
+class _TablePart:
+    """Detection and rewriting of one table."""
+
+    hits = None
+
+    def __init__(self, plan: STR.TablePlan, settings: Settings, dictionary: D.Dictionary) -> None:
+        self.plan, self.settings = plan, settings
+        self.scanned, self.bytes = None, 0
+        self.bound: int | None = 0
+        self.events = []
+        self.linked = STR.CORRELATED in plan.roles.values()
+        if plan.direct:
+            # As many rows as the table has cells, so these are read again, not stored.
+            self.events.append(STR.events(STR.direct_rows(plan, settings), plan.src))
+            self.bound = None
+        if plan.columns_of(STR.SCANNED):
+            rows = cut(STR.scanned_rows(plan, settings, dictionary))
+            n, size = measure(rows, "value")
+            self.events.append(STR.events(rows, plan.src))
+            self.bound = None if self.bound is None else n
+            if n:
+                self.scanned, self.bytes = rows, 3 * size
+
+    def rewrite(self, lookup: DataFrame, lookup_bytes: int) -> DataFrame:
+        return STR.apply_tokens(self.plan, self.settings, self.scanned, self.bytes, lookup, lookup_bytes)
 
 
 def pseudonymise_text(
@@ -68,7 +194,7 @@ def pseudonymise_text(
     order_by: Sequence[str] | None = None,
     previous: DataFrame | None = None,
     document: Sequence[str] | None = None,
-) -> TextResult:
+) -> RunResult:
     """Replace the sensitive values of a text column by tokens (or masks).
 
     *key* identifies a row.  *order_by* gives the order in which values are numbered
@@ -76,94 +202,37 @@ def pseudonymise_text(
     With *document*, a subset of the key, rows are paragraphs: values found in any
     paragraph are replaced in all paragraphs of the same document.
     """
-    settings = settings or Settings()
-    key, order = list(key), list(order_by or key)
-    dictionary = D.load(df.sparkSession, settings)
-    keyed = df.withColumn("ord", E.order_struct(order))
-    detected = DET.detect(keyed, text_col, [*key, "ord"], settings, dictionary)
-    kept = detected.withColumn("entities", F.filter("entities", DET.allowed(settings)))
-    # Only rows with spans are written, without their text.
-    hits = cut(DET.span_rows(kept, [*key, "ord"]))
-    n_hits, hit_bytes = measure(hits, "value")
-    registry, lookup = _registry(
-        E.from_spans(hits, settings.active_masks), settings, E.order_type(df, order), n_hits, previous
-    )
-    _, lookup_bytes = measure(registry, "value", "token")
-    bound = settings.broadcast_bytes
-    scope = list(document or key)
-    maps = REW.value_maps(hits, scope, lookup, lookup_bytes, bound)
-    in_row_check = None
-    if dictionary.in_row and document is None and settings.ner is None:
-        spans = DET.entities(F.col(text_col), settings, dictionary)
-        in_row_check = F.coalesce(F.size(F.filter(spans, DET.allowed(settings))) > 0, F.lit(False))
-    out = REW.rewrite_text(
-        # A token is rarely longer than twice its value, hence the factor.
-        df, scope, text_col, maps, 3 * hit_bytes, bound,
-        word_boundary=settings.word_boundary, has_hits=in_row_check,
-    )
-    return TextResult(out, registry, hits)
+    return run({"text": TextInput(df, text_col, key, order_by, document)}, settings, previous=previous)
 
 
-def pseudonymise_tables(
-    tables: dict[str, DataFrame],
-    keys: dict[str, Sequence[str]],
+def pseudonymise_table(
+    df: DataFrame,
+    key: Sequence[str],
     settings: Settings | None = None,
     *,
-    order_by: dict[str, Sequence[str]] | None = None,
+    order_by: Sequence[str] | None = None,
     anchor: str | None = None,
     force_fields: Sequence[str] | None = None,
     scan: Sequence[str] | None = None,
     previous: DataFrame | None = None,
-) -> TableResult:
-    """Tables in the given order with one registry; the anchor is chosen per table.
+) -> RunResult:
+    """Replace the sensitive values of a table.
 
-    The order columns must have the same types in all tables.
+    The anchor column ties the correlated columns of a row to one person; forced columns
+    are replaced whole; the others (or just *scan*) go through detection.  Columns with a
+    role come back as text.
     """
-    settings = settings or Settings()
-    plans = {
-        name: STR.plan_table(
-            df, keys[name], (order_by or {}).get(name), settings,
-            anchor=anchor, force_fields=force_fields, scan=scan, src=i,
-        )
-        for i, (name, df) in enumerate(tables.items())
-    }
-    order_types = {name: E.order_type(p.df, p.order_by) for name, p in plans.items()}
-    order = next(iter(order_types.values()))
-    if any(t.simpleString() != order.simpleString() for t in order_types.values()):
-        raise ValueError(f"order columns differ in type: { {n: t.simpleString() for n, t in order_types.items()} }")
-
-    spark = next(iter(tables.values())).sparkSession
-    dictionary = D.load(spark, settings)
-    scanned: dict[str, tuple[DataFrame | None, int]] = {}
-    parts = []
-    for name, plan in plans.items():
-        if plan.direct:
-            parts.append(STR.events(STR.direct_rows(plan, settings), plan.src))
-        if plan.columns_of(STR.SCANNED):
-            rows = cut(STR.scanned_rows(plan, settings, dictionary))
-            n, size = measure(rows, "value")
-            scanned[name] = (rows, 3 * size) if n else (None, 0)
-            parts.append(STR.events(rows, plan.src))
-        else:
-            scanned[name] = (None, 0)
-    events = reduce(DataFrame.unionByName, parts)
-    linked = any(STR.CORRELATED in p.roles.values() for p in plans.values())
-    registry, lookup = _registry(events, settings, order, None, previous, linked)
-    _, lookup_bytes = measure(registry, "value", "token")
-    out = {
-        name: STR.apply_tokens(plan, settings, *scanned[name], lookup, lookup_bytes)
-        for name, plan in plans.items()
-    }
-    return TableResult(out, registry)
+    return run(
+        {"table": TableInput(df, key, order_by, scan)}, settings,
+        previous=previous, anchor=anchor, force_fields=force_fields,
+    )
 
 
-def pseudonymise_table(
-    df: DataFrame, key: Sequence[str], settings: Settings | None = None, *,
-    order_by: Sequence[str] | None = None, **options,
-) -> TableResult:
-    """One table; see :func:`pseudonymise_tables`."""
-    order = {"table": order_by} if order_by else None
-    return pseudonymise_tables({"table": df}, {"table": key}, settings, order_by=order, **options)
+def pseudonymise_tables(
+    tables: dict[str, TableInput], settings: Settings | None = None, **options
+) -> RunResult:
+    """Several tables with one registry; the anchor is chosen per table."""
+    return run(dict(tables), settings, **options)
 
 
 def redact_text(
