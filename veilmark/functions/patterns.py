@@ -93,7 +93,7 @@ class PatternRule:
 
     ``hint`` is a literal and ``guard`` a cheap pattern that every match must contain:
     searching for them first spares the costly pattern on most texts.  ``check`` names a
-    validator in :mod:`veilmark.functions.scalars` applied to each candidate.
+    validator in :mod:`veilmark.functions.spans` applied to each candidate.
     """
 
     etype: str

@@ -1,61 +1,55 @@
-"""Single-pass replacement of values by tokens, and of tokens by values."""
+"""Single-pass replacement of values by tokens, and of tokens by values.
 
-from __future__ import annotations
+As in :mod:`veilmark.functions.spans`, arguments and results are SQL expression text.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
 from veilmark.functions.patterns import TOKEN
-from veilmark.functions.spans import let, quote
+from veilmark.functions.spans import _compare, lit, quote
 
+_LEFT_EDGE, _RIGHT_EDGE = r"(?<![\p{L}\p{N}_])(?:", r")(?![\p{L}\p{N}_])"
 
-def _weave(text: Column, pattern: Column, pick) -> Column:
-    """Rebuild *text* with each match of *pattern* exchanged by ``pick(match)``."""
-    gaps = F.split(text, pattern, -1)
-    hits = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), pick)
-    pieces = F.zip_with(gaps, hits, lambda g, h: F.concat(g, F.coalesce(h, F.lit(""))))
-    return F.array_join(pieces, "")
 
+def _weave(text: str, pattern: str, pick: str) -> str:
+    """Rebuild *text* with each match ``hit`` of *pattern* exchanged by *pick*."""
+    pieces = (
+        f"zip_with(split({text}, {pattern}, -1), regexp_extract_all({text}, {pattern}, 0), "
+        f"(gap, hit) -> concat(gap, coalesce({pick}, '')))"
+    )
+    return f"array_join({pieces}, '')"
 
-def longest_first(keys: Column) -> Column:
+
+def longest_first(keys: str) -> str:
     """Alternation of literal *keys*, longest first."""
+    ordered = f"array_sort({keys}, {_compare('-length(@)', '@')})"
+    return f"array_join(transform({ordered}, k -> {quote('k')}), '|')"
 
-    def order(a, b):
-        la, lb = F.length(a), F.length(b)
-        return (
-            F.when(la > lb, -1).when(la < lb, 1).when(a < b, -1).when(a > b, 1).otherwise(0)
-        )
 
-    return F.array_join(F.transform(F.array_sort(keys, order), quote), "|")
+def _bind(value: str, name: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def replace_values(text: Column, mapping: Column, word_boundary: bool = False) -> Column:
+def replace_values(text: str, mapping: str, word_boundary: bool = False) -> str:
     """Exchange every occurrence of every key of *mapping* by its token, longest first.
 
     By default a key also matches inside longer words; *word_boundary* limits it to
     whole words.
     """
+    pattern = longest_first("map_keys(m)")
+    if word_boundary:
+        pattern = f"concat({lit(_LEFT_EDGE)}, {pattern}, {lit(_RIGHT_EDGE)})"
+    woven = _bind(pattern, "pat", _weave(text, "pat", "m[hit]"))
+    return f"CASE WHEN coalesce(size({mapping}), 0) <= 0 THEN {text} ELSE {_bind(mapping, 'm', woven)} END"
 
-    def run(m):
-        pattern = longest_first(F.map_keys(m))
-        if word_boundary:
-            pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}_])(?:"), pattern, F.lit(r")(?![\p{L}\p{N}_])"))
-        return let(pattern, lambda p: _weave(text, p, lambda hit: m[hit]))
 
-    return F.when(mapping.isNull() | (F.size(mapping) == 0), text).otherwise(let(mapping, run))
+def tokens_in(text: str) -> str:
+    """Distinct bracket tokens of *text*, upper-cased; empty for NULL."""
+    found = f"array_distinct(transform(regexp_extract_all({text}, {lit(TOKEN)}, 0), t -> upper(t)))"
+    return f"coalesce({found}, CAST(array() AS array<string>))"
 
 
-def tokens_in(text: Column) -> Column:
-    """Distinct bracket tokens of *text*, upper-cased."""
-    return F.array_distinct(
-        F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.upper(t))
-    )
-
-
-def restore_tokens(text: Column, mapping: Column) -> Column:
+def restore_tokens(text: str, mapping: str) -> str:
     """Exchange known tokens (any case) by their values; unknown ones stay."""
-
-    def run(m):
-        return _weave(text, F.lit(TOKEN), lambda hit: F.coalesce(m[F.upper(hit)], hit))
-
-    return F.when(mapping.isNull() | (F.size(mapping) == 0), text).otherwise(let(mapping, run))
+    woven = _weave(text, lit(TOKEN), "coalesce(m[upper(hit)], hit)")
+    return f"CASE WHEN coalesce(size({mapping}), 0) <= 0 THEN {text} ELSE {_bind(mapping, 'm', woven)} END"

@@ -6,12 +6,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilmark.functions import patterns as P
+from veilmark.functions.spans import lit
 
 WS = "[" + P.SPACE + "]"
 
 
+_EDGES = f"^{WS}+|{WS}+$"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.regexp_replace(c, _EDGES, "")
+
+
+def strip_sql(expression: str) -> str:
+    """:func:`strip` as SQL expression text."""
+    return f"regexp_replace({expression}, {lit(_EDGES)}, '')"
+
+
+def cell_text_sql(expression: str) -> str:
+    """:func:`cell_text` as SQL expression text."""
+    stripped = strip_sql(expression)
+    empty = ", ".join(lit(w) for w in P.EMPTY_WORDS)
+    return f"CASE WHEN {stripped} <> '' AND lower({stripped}) NOT IN ({empty}) THEN {stripped} END"
 
 
 def cell_text(c: Column) -> Column:
@@ -77,32 +93,6 @@ def card_mask(card: Column, rule: dict | None = None) -> Column:
     )
 
 
-def is_ipv4(value: Column) -> Column:
-    return value.rlike(P.IP_VALID)
-
-
-def is_domain(value: Column) -> Column:
-    return F.lower(value).rlike(P.DOMAIN_VALID)
-
-
-def is_card(value: Column) -> Column:
-    return F.call_function("luhn_check", F.regexp_replace(value, "[ -]", ""))
-
-
-def is_iban(value: Column) -> Column:
-    """ISO 7064 mod-97 check, folded over the characters so no big number is built."""
-    compact = F.regexp_replace(value, " ", "")
-    turned = F.concat(F.substr(compact, F.lit(5)), F.substring(compact, 1, 4))
-
-    def fold(acc, ch):
-        code = F.ascii(ch)
-        return F.when(code < 58, (acc * 10 + code - 48) % 97).otherwise(
-            (acc * 100 + code - 55) % 97
-        )
-
-    return F.aggregate(F.split(turned, ""), F.lit(0), fold) == 1
-
-
 def redacted_name(path: Column, force_suffix: Column | str | None = None) -> Column:
     """``a/b.csv`` -> ``a/b.redacted.csv``; *force_suffix* replaces the suffix."""
     return _with_tag(path, "redacted", force_suffix)

@@ -1,174 +1,163 @@
-"""Spans of a text as an array column, without leaving the JVM.
+"""Spans of a text as an array, without leaving the JVM.
 
 A span is ``STRUCT<etype, value, start, end, score>``; offsets count characters and
-``end`` is exclusive.
+``end`` is exclusive.  The functions take and give SQL expression text: such nested
+expressions cost one call to parse, against thousands to assemble from Python.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from veilmark.functions import scalars
+from veilmark.functions import patterns as P
 from veilmark.functions.patterns import PatternRule
 
 SPAN_TYPE = "struct<etype:string,value:string,start:int,end:int,score:decimal(3,2)>"
 SPANS_TYPE = f"array<{SPAN_TYPE}>"
 HITS_TYPE = "array<struct<value:string,start:int,end:int>>"
+NO_SPANS = f"CAST(array() AS {SPANS_TYPE})"
+NO_HITS = f"CAST(array() AS {HITS_TYPE})"
 
 # Appending to an array copies it, so running sums go block by block.
 _BLOCK = 256
 
 
-def let(expr: Column, fn) -> Column:
-    """Bind *expr* to a lambda variable so that *fn* may use it more than once."""
-    return F.element_at(F.transform(F.array(expr), fn), 1)
+def lit(text: str) -> str:
+    """SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def empty(type_name: str) -> Column:
-    return F.array().cast(type_name)
+def let(value: str, name: str, body: str) -> str:
+    """Bind *value* to *name* so that *body*, an array, may use it more than once."""
+    return f"flatten(transform(array({value}), {name} -> {body}))"
 
 
-def _width(pair: Column) -> Column:
-    return F.length(pair["gap"]) + F.coalesce(F.length(pair["hit"]), F.lit(0))
+def _place(pairs: str) -> str:
+    """(gap, hit) pairs -> hits with offsets, by prefix sums of the lengths."""
+    width = "length(p.gap) + coalesce(length(p.hit), 0)"
+    blocks = (
+        f"transform(sequence(0, CAST(ceil(size({pairs}) / {_BLOCK}) AS INT) - 1), "
+        f"b -> slice({pairs}, b * {_BLOCK} + 1, {_BLOCK}))"
+    )
+    origins = (
+        "aggregate(bs, named_struct('at', 0, 'out', CAST(array() AS array<int>)), "
+        f"(o, blk) -> named_struct('at', o.at + aggregate(blk, 0, (w, p) -> w + {width}), "
+        "'out', array_append(o.out, o.at)), o -> o.out)"
+    )
+    hit = (
+        "named_struct('value', p.hit, 'start', a.at + length(p.gap), "
+        f"'end', a.at + {width})"
+    )
+    placed = (
+        f"aggregate(blk, named_struct('at', org, 'out', {NO_HITS}), "
+        f"(a, p) -> named_struct('at', a.at + {width}, 'out', array_append(a.out, {hit})), a -> a.out)"
+    )
+    laid_out = let(blocks, "bs", f"flatten(zip_with(bs, {origins}, (blk, org) -> {placed}))")
+    return f"filter({laid_out}, h -> h.value IS NOT NULL)"
 
 
-def _place(pairs: Column) -> Column:
-    """(gap, hit) pairs -> hits with offsets, by prefix sums of the lengths."""
-    n_blocks = F.ceil(F.size(pairs) / F.lit(_BLOCK)).cast("int")
-    blocks = F.transform(
-        F.sequence(F.lit(0), n_blocks - 1), lambda b: F.slice(pairs, b * _BLOCK + 1, F.lit(_BLOCK))
+def find_all(text: str, pattern: str, hint: str | None = None, guard: str | None = None) -> str:
+    """All matches of *pattern*, itself an expression, as an array of (value, start, end).
+
+    ``split`` yields the gaps and ``regexp_extract_all`` the matches; both run only on
+    texts that hold a match at all.
+    """
+    tests = [f"contains({text}, {lit(hint)})"] if hint is not None else []
+    tests += [f"rlike({text}, {lit(guard)})"] if guard is not None else []
+    tests.append(f"rlike({text}, {pattern})")
+    pairs = (
+        f"zip_with(split({text}, {pattern}, -1), regexp_extract_all({text}, {pattern}, 0), "
+        "(g, h) -> named_struct('gap', g, 'hit', h))"
     )
+    return f"CASE WHEN {' AND '.join(tests)} THEN {let(pairs, 'ps', _place('ps'))} ELSE {NO_HITS} END"
 
-    def next_origin(acc, block):
-        width = F.aggregate(block, F.lit(0), lambda s, p: s + _width(p))
-        return F.struct(
-            (acc["at"] + width).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")
-        )
 
-    def next_hit(acc, pair):
-        start = acc["at"] + F.length(pair["gap"])
-        end = acc["at"] + _width(pair)
-        hit = F.struct(pair["hit"].alias("value"), start.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.array_append(acc["out"], hit).alias("out"))
+def as_spans(hits: str, etype: str, score: str) -> str:
+    """Label hits; *etype* and *score* are expressions."""
+    return (
+        f"transform({hits}, h -> named_struct('etype', {etype}, 'value', h.value, "
+        f"'start', h.start, 'end', h.`end`, 'score', CAST({score} AS DECIMAL(3,2))))"
+    )
 
-    def zero(type_name):
-        return lambda at: F.struct(at.alias("at"), empty(type_name).alias("out"))
 
-    def lay_out(bs):
-        origins = F.aggregate(bs, zero("array<int>")(F.lit(0)), next_origin)["out"]
-        return F.flatten(
-            F.zip_with(bs, origins, lambda b, at: F.aggregate(b, zero(HITS_TYPE)(at), next_hit)["out"])
-        )
+def is_ipv4(v: str) -> str:
+    return f"rlike({v}, {lit(P.IP_VALID)})"
 
-    placed = let(blocks, lay_out)
-    return F.filter(placed, lambda h: h["value"].isNotNull())
 
+def is_domain(v: str) -> str:
+    return f"rlike(lower({v}), {lit(P.DOMAIN_VALID)})"
 
-def find_all(
-    text: Column, pattern: Column | str, hint: str | None = None, guard: str | None = None
-) -> Column:
-    """All matches of *pattern* as ``ARRAY<STRUCT<value, start, end>>``.
 
-    ``split`` yields the gaps and ``regexp_extract_all`` the matches; both run only on
-    texts that hold a match at all.
-    """
-    pat = F.lit(pattern) if isinstance(pattern, str) else pattern
-    possible = F.regexp_like(text, pat)
-    if guard is not None:
-        possible = F.regexp_like(text, F.lit(guard)) & possible
-    if hint is not None:
-        possible = F.contains(text, F.lit(hint)) & possible
-    pairs = F.arrays_zip(
-        F.split(text, pat, -1).alias("gap"), F.regexp_extract_all(text, pat, F.lit(0)).alias("hit")
-    )
-    return F.when(possible, let(pairs, _place)).otherwise(empty(HITS_TYPE))
-
-
-def as_spans(hits: Column, etype: str, score: str) -> Column:
-    return F.transform(
-        hits,
-        lambda h: F.struct(
-            F.lit(etype).alias("etype"),
-            h["value"].alias("value"),
-            h["start"].alias("start"),
-            h["end"].alias("end"),
-            F.lit(score).cast("decimal(3,2)").alias("score"),
-        ),
+def is_card(v: str) -> str:
+    return f"luhn_check(regexp_replace({v}, '[ -]', ''))"
+
+
+def is_iban(v: str) -> str:
+    """ISO 7064 mod-97 check, folded over the characters so no big number is built."""
+    compact = f"replace({v}, ' ', '')"
+    turned = f"concat(substr({compact}, 5), substr({compact}, 1, 4))"
+    step = (
+        "CASE WHEN ascii(ch) < 58 THEN (acc * 10 + ascii(ch) - 48) % 97 "
+        "ELSE (acc * 100 + ascii(ch) - 55) % 97 END"
     )
+    return f"aggregate(split({turned}, ''), 0, (acc, ch) -> {step}) = 1"
+
+
+CHECKS = {"is_ipv4": is_ipv4, "is_domain": is_domain, "is_card": is_card, "is_iban": is_iban}
 
 
-def rule_spans(text: Column, rule: PatternRule) -> Column:
-    hits = find_all(text, rule.pattern, rule.hint, rule.guard)
+def rule_spans(text: str, rule: PatternRule) -> str:
+    hits = find_all(text, lit(rule.pattern), rule.hint, rule.guard)
     if rule.check is not None:
-        check = getattr(scalars, rule.check)
-        hits = F.filter(hits, lambda h: check(h["value"]))
-    return as_spans(hits, rule.etype, rule.score)
+        hits = f"filter({hits}, c -> {CHECKS[rule.check]('c.value')})"
+    return as_spans(hits, lit(rule.etype), rule.score)
 
 
-def quote(literal: Column) -> Column:
+def quote(literal: str) -> str:
     """Escape a literal for use inside a Java pattern."""
-    return F.regexp_replace(literal, r"([\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f])", r"\\$1")
+    special = lit(r"([\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f])")
+    return f"regexp_replace({literal}, {special}, {lit(chr(92) * 2 + '$1')})"
 
 
-def _before(a: Column, b: Column) -> Column:
-    """Comparator: higher score, then longer, then further left comes first."""
-    ka = F.struct(-a["score"], a["start"] - a["end"], a["start"], a["etype"])
-    kb = F.struct(-b["score"], b["start"] - b["end"], b["start"], b["etype"])
-    return F.when(ka < kb, -1).when(ka > kb, 1).otherwise(0)
+def _compare(*keys: str) -> str:
+    """Comparator body over ``l`` and ``r``: ascending in *keys*, written with ``@``."""
+    arms = "".join(
+        f"WHEN {k.replace('@', 'l')} < {k.replace('@', 'r')} THEN -1 "
+        f"WHEN {k.replace('@', 'l')} > {k.replace('@', 'r')} THEN 1 "
+        for k in keys
+    )
+    return f"(l, r) -> CASE {arms}ELSE 0 END"
 
 
-def by_priority(spans: Column) -> Column:
-    return F.array_sort(spans, _before)
+# Higher score, then longer, then further left comes first.
+_PRIORITY = ("-@.score", "@.start - @.`end`", "@.start", "@.etype")
 
 
-def _accept(island: Column) -> Column:
-    """Greedy choice inside one group of touching spans."""
+def by_priority(spans: str) -> str:
+    return f"array_sort({spans}, {_compare(*_PRIORITY)})"
 
-    def step(acc, s):
-        taken = F.exists(acc, lambda a: (s["start"] < a["end"]) & (a["start"] < s["end"]))
-        return F.when(taken, acc).otherwise(F.array_append(acc, s))
 
-    return F.aggregate(by_priority(island), empty(SPANS_TYPE), step)
+def _settle(island: str) -> str:
+    """Greedy choice inside one group of touching spans."""
+    taken = "exists(won, w -> s.start < w.`end` AND w.start < s.`end`)"
+    greedy = (
+        f"aggregate({by_priority(island)}, {NO_SPANS}, "
+        f"(won, s) -> CASE WHEN {taken} THEN won ELSE array_append(won, s) END)"
+    )
+    return f"CASE WHEN size({island}) <= 1 THEN {island} ELSE {greedy} END"
 
 
-def drop_overlaps(spans: Column) -> Column:
+def drop_overlaps(spans: str) -> str:
     """Keep the best span wherever spans overlap; result ordered by priority.
 
     Spans are first cut into islands that do not touch each other, so the pairwise
     comparison stays inside an island and the whole costs one pass over the sorted spans.
     """
-
-    def by_start(a, b):
-        return (
-            F.when(a["start"] < b["start"], -1)
-            .when(a["start"] > b["start"], 1)
-            .otherwise(_before(a, b))
-        )
-
-    def step(acc, s):
-        apart = s["start"] >= acc["edge"]
-        return F.struct(
-            F.when(apart, F.concat(acc["done"], _settle(acc["open"]))).otherwise(acc["done"]).alias("done"),
-            F.when(apart, F.array(s)).otherwise(F.array_append(acc["open"], s)).cast(SPANS_TYPE).alias("open"),
-            F.greatest(acc["edge"], s["end"]).alias("edge"),
-        )
-
-    def sweep(sorted_spans):
-        zero = F.struct(
-            empty(SPANS_TYPE).alias("done"), empty(SPANS_TYPE).alias("open"), F.lit(0).alias("edge")
-        )
-        return F.aggregate(
-            sorted_spans, zero, step, lambda acc: F.concat(acc["done"], _settle(acc["open"]))
-        )
-
-    def resolve(all_spans):
-        return F.when(F.size(all_spans) <= 1, all_spans).otherwise(
-            by_priority(sweep(F.array_sort(all_spans, by_start)))
-        )
-
-    return let(spans, resolve)
-
-
-def _settle(island: Column) -> Column:
-    return F.when(F.size(island) <= 1, island).otherwise(_accept(island))
+    by_start = f"array_sort(found, {_compare('@.start', *_PRIORITY)})"
+    zero = f"named_struct('done', {NO_SPANS}, 'open', {NO_SPANS}, 'edge', 0)"
+    step = (
+        "named_struct("
+        f"'done', CASE WHEN x.start >= acc.edge THEN concat(acc.done, {_settle('acc.open')}) ELSE acc.done END, "
+        f"'open', CAST(CASE WHEN x.start >= acc.edge THEN array(x) ELSE array_append(acc.open, x) END AS {SPANS_TYPE}), "
+        "'edge', greatest(acc.edge, x.`end`))"
+    )
+    sweep = f"aggregate({by_start}, {zero}, (acc, x) -> {step}, acc -> concat(acc.done, {_settle('acc.open')}))"
+    return let(spans, "found", f"CASE WHEN size(found) <= 1 THEN found ELSE {by_priority(sweep)} END")

@@ -40,9 +40,9 @@ def registry_leaks(
     )
     dictionary = D.load(spark, search)
     if dictionary.in_row:
-        found = redacted.select(*key, D.spans(F.col(text_col), dictionary).alias("spans"))
+        found = redacted.select(*key, D.spans(text_col, dictionary).alias("spans"))
     else:
-        found = D.sharded_spans(redacted, list(key), F.col(text_col), dictionary)
+        found = D.sharded_spans(redacted, list(key), text_col, dictionary)
     seen = DET.span_rows(found, list(key), "spans").select(*key, "value").distinct()
     types = registry.filter("active").select("value", "etype")
     exempt = list(settings.subject_keys) or [""]
@@ -56,5 +56,5 @@ def registry_leaks(
 
 def existing_tokens(df: DataFrame, text_col: str, key: Sequence[str]) -> DataFrame:
     """Bracket tokens present before a run; restoring could not tell them from its own."""
-    token = F.explode(tokens_in(F.col(text_col))).alias("token")
+    token = F.expr(f"explode({tokens_in(DET.ident(text_col))})").alias("token")
     return df.select(*key, token).filter(F.col("token").rlike(r"^\[[A-Z_]+_[0-9]+(_FIRST|_LAST)?\]$"))

@@ -8,16 +8,26 @@ from pyspark.sql import functions as F
 from veilmark.config import Settings
 from veilmark.functions import spans as SP
 from veilmark.functions.patterns import PATTERN_RULES
+from veilmark.functions.scalars import strip_sql
 from veilmark.operators import dictionary as D
 
 
-def pattern_spans(text: Column, settings: Settings) -> list[Column]:
-    """Span arrays of the pattern recognisers that the mode asks for."""
+def ident(column: str) -> str:
+    """Column name as SQL expression text."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def pattern_spans(text: str, settings: Settings) -> str:
+    """Spans of the pattern recognisers that the mode asks for."""
     rules = [PATTERN_RULES[t] for t in settings.entity_types if t in PATTERN_RULES]
-    return [SP.rule_spans(text, rule) for rule in (*rules, *settings.rules)]
+    return "concat(" + ", ".join(SP.rule_spans(text, r) for r in (*rules, *settings.rules)) + ")"
+
 
+def _listed(values) -> str:
+    return "(" + ", ".join(SP.lit(v) for v in values) + ")"
 
-def settle(spans: Column, settings: Settings) -> Column:
+
+def settle(spans: str, settings: Settings) -> str:
     """Resolve overlaps and drop excluded terms.
 
     A term spelled exactly like its lower-cased exclusion never enters the contest; in
@@ -26,49 +36,61 @@ def settle(spans: Column, settings: Settings) -> Column:
     excluded = settings.excluded_keys
     if not excluded:
         return SP.drop_overlaps(spans)
-    entering = F.filter(spans, lambda s: ~s["value"].isin(*excluded))
-    return F.filter(SP.drop_overlaps(entering), lambda s: ~F.lower(s["value"]).isin(*excluded))
-
-
-def allowed(settings: Settings):
-    """Predicate over spans: neither a type that passes through nor a subject value."""
-    types, subject = sorted(settings.dropped_types), settings.subject_keys
+    entering = f"filter({spans}, s -> s.value NOT IN {_listed(excluded)})"
+    return f"filter({SP.drop_overlaps(entering)}, s -> lower(s.value) NOT IN {_listed(excluded)})"
 
-    def keep(s: Column) -> Column:
-        ok = F.lit(True)
-        if types:
-            ok = ok & ~s["etype"].isin(*types)
-        if subject:
-            ok = ok & ~is_subject(s["value"], settings)
-        return ok
 
-    return keep
+def allowed(settings: Settings, span: str = "s") -> str:
+    """Condition on a span: neither a type that passes through nor a subject value."""
+    tests = []
+    if settings.dropped_types:
+        tests.append(f"{span}.etype NOT IN {_listed(sorted(settings.dropped_types))}")
+    if settings.subject_keys:
+        tests.append(f"NOT {is_subject(f'{span}.value', settings)}")
+    return " AND ".join(tests) or "true"
 
 
-def is_subject(value: Column, settings: Settings) -> Column:
-    from veilmark.functions.scalars import strip
-
+def is_subject(value: str, settings: Settings) -> str:
     keys = settings.subject_keys
-    return F.lower(strip(value)).isin(*keys) if keys else F.lit(False)
+    return f"coalesce(lower({strip_sql(value)}) IN {_listed(keys)}, false)" if keys else "false"
 
 
-def entities(text: Column, settings: Settings, dictionary: D.Dictionary) -> Column:
-    """Settled spans of one text, best first; needs an in-row dictionary."""
-    found = pattern_spans(text, settings)
-    if dictionary.literal or dictionary.terms is not None:
-        found.append(D.spans(text, dictionary))
+def _found(text_col: str, settings: Settings, dictionary: D.Dictionary | None) -> Column:
+    """All spans of a text, overlaps included."""
+    text = ident(text_col)
+    parts = [F.expr(pattern_spans(text, settings))]
+    if dictionary is not None and not dictionary.empty:
+        parts.append(D.spans(text_col, dictionary))
     if settings.ner is not None:
-        found.append(_typed(settings.ner(text), settings))
-    return F.when(text.isNotNull(), settle(F.concat(*found), settings))
+        model = settings.ner(F.col(text_col)).cast(SP.SPANS_TYPE)
+        parts.append(F.filter(model, lambda s: s["etype"].isin(*settings.entity_types)))
+    return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
-def _typed(spans: Column, settings: Settings) -> Column:
-    """Cast a model's spans and keep the types of the mode."""
-    return F.filter(spans.cast(SP.SPANS_TYPE), lambda s: s["etype"].isin(*settings.entity_types))
+def with_entities(
+    df: DataFrame, text_col: str, settings: Settings, dictionary: D.Dictionary, only_allowed: bool = False
+) -> DataFrame:
+    """Add ``entities``: the settled spans of a text, best first.
+
+    Needs a dictionary that is searched in the row.  With *only_allowed*, types that pass
+    through and subject values are left out.
+    """
+    spans = settle("_found", settings)
+    if only_allowed:
+        spans = f"filter({spans}, s -> {allowed(settings)})"
+    whole = f"CASE WHEN {ident(text_col)} IS NOT NULL THEN {spans} END"
+    return df.withColumn("_found", _found(text_col, settings, dictionary)).withColumn(
+        "entities", F.expr(whole)
+    ).drop("_found")
 
 
 def detect(
-    df: DataFrame, text_col: str, keep: list[str], settings: Settings, dictionary: D.Dictionary | None = None
+    df: DataFrame,
+    text_col: str,
+    keep: list[str],
+    settings: Settings,
+    dictionary: D.Dictionary | None = None,
+    only_allowed: bool = False,
 ) -> DataFrame:
     """Rows ``keep + entities``, without the text.
 
@@ -76,17 +98,16 @@ def detect(
     only spans are shuffled then, never texts.
     """
     dictionary = D.load(df.sparkSession, settings) if dictionary is None else dictionary
-    text = F.col(text_col)
     if dictionary.in_row:
-        return df.select(*keep, entities(text, settings, dictionary).alias("entities"))
-    found = pattern_spans(text, settings)
-    if settings.ner is not None:
-        found.append(_typed(settings.ner(text), settings))
-    passes = df.select(*keep, F.concat(*found).alias("spans")).unionByName(
-        D.sharded_spans(df, keep, text, dictionary)
+        return with_entities(df, text_col, settings, dictionary, only_allowed).select(*keep, "entities")
+    passes = df.select(*keep, _found(text_col, settings, None).alias("spans")).unionByName(
+        D.sharded_spans(df, keep, text_col, dictionary)
     )
     together = passes.groupBy(*keep).agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    return together.select(*keep, settle(F.col("spans"), settings).alias("entities"))
+    spans = settle("spans", settings)
+    if only_allowed:
+        spans = f"filter({spans}, s -> {allowed(settings)})"
+    return together.select(*keep, F.expr(spans).alias("entities"))
 
 
 def span_rows(detected: DataFrame, keep: list[str], spans_col: str = "entities") -> DataFrame:

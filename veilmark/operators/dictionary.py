@@ -14,6 +14,7 @@ Three ways, chosen by the measured size of the term table:
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from veilmark.config import Settings
 from veilmark.functions.patterns import SCORES
-from veilmark.functions.spans import SPANS_TYPE, empty, find_all, quote
+from veilmark.functions.spans import NO_SPANS, SPANS_TYPE, as_spans, find_all, lit, quote
 from veilmark.operators.common import cut
 
 try:
@@ -44,6 +45,10 @@ class Dictionary:
     def in_row(self) -> bool:
         return self.shards <= 1
 
+    @property
+    def empty(self) -> bool:
+        return self.terms is None and not self.literal
+
 
 def term_table(spark: SparkSession, settings: Settings) -> DataFrame | None:
     """All configured terms as ``(term, etype, score)``."""
@@ -100,51 +105,36 @@ def load(spark: SparkSession, settings: Settings) -> Dictionary:
     return Dictionary(cut(terms) if shards > 1 else terms, (), int(shards))
 
 
-def spans(text: Column, dictionary: Dictionary) -> Column:
+def spans(text_col: str, dictionary: Dictionary) -> Column:
     """Matches of an in-row dictionary as a span array."""
     if dictionary.literal:
-        return _literal_spans(text, dictionary.literal)
+        return F.expr(_literal_spans(f"`{text_col}`", dictionary.literal))
     if dictionary.terms is None:
-        return empty(SPANS_TYPE)
-    return _automaton_column(text, dictionary.terms)
+        return F.expr(NO_SPANS)
+    return _automaton_column(F.col(text_col), dictionary.terms)
 
 
-def sharded_spans(df: DataFrame, keep: list[str], text: Column, dictionary: Dictionary) -> DataFrame:
+def sharded_spans(df: DataFrame, keep: list[str], text_col: str, dictionary: Dictionary) -> DataFrame:
     """Matches of an oversized dictionary as rows ``keep + spans``, one pass per shard."""
     passes = []
     for shard in range(dictionary.shards):
         part = dictionary.terms.filter(
             F.pmod(F.xxhash64("term", "etype"), F.lit(dictionary.shards)) == shard
         )
-        passes.append(df.select(*keep, _automaton_column(text, part).alias("spans")))
+        passes.append(df.select(*keep, _automaton_column(F.col(text_col), part).alias("spans")))
     return reduce(DataFrame.unionByName, passes).filter(F.size("spans") > 0)
 
 
-def _literal_spans(text: Column, terms) -> Column:
-    listed = F.array(
-        *[
-            F.struct(
-                F.lit(t).alias("term"), F.lit(e).alias("etype"), F.lit(s).cast("decimal(3,2)").alias("score")
-            )
-            for t, e, s in terms
-        ]
-    )
-
-    def located(term):
-        hits = find_all(text, F.concat(F.lit("(?iu)"), quote(term["term"])))
-        return F.transform(
-            hits,
-            lambda h: F.struct(
-                term["etype"].alias("etype"), h["value"].alias("value"), h["start"].alias("start"),
-                h["end"].alias("end"), term["score"].alias("score"),
-            ),
-        )
-
-    any_term = F.concat(
-        F.lit("(?iu)"), F.array_join(F.transform(F.array(*[F.lit(t[0]) for t in terms]), quote), "|")
+def _literal_spans(text: str, terms) -> str:
+    """Expression text: an alternation rules texts out, then each term is located."""
+    listed = ", ".join(
+        f"named_struct('term', {lit(t)}, 'etype', {lit(e)}, 'score', {s})" for t, e, s in terms
     )
-    found = F.flatten(F.transform(listed, located))
-    return F.when(F.regexp_like(text, any_term), found).otherwise(empty(SPANS_TYPE))
+    each = find_all(text, f"concat('(?iu)', {quote('d.term')})")
+    located = as_spans(each, "d.etype", "d.score")
+    any_term = "(?iu)" + "|".join(re.sub(r"([\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f])", r"\\\1", t) for t, _, _ in terms)
+    found = f"flatten(transform(array({listed}), d -> {located}))"
+    return f"CASE WHEN rlike({text}, {lit(any_term)}) THEN {found} ELSE {NO_SPANS} END"
 
 
 def _automaton_column(text: Column, terms: DataFrame) -> Column:

@@ -24,9 +24,8 @@ def restore(
     _, back_bytes = measure(registry, "value", "token")
     keys = [F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]
     names = [f"_k{i}" for i in range(len(key))]
-    everything = F.array_distinct(
-        F.flatten(F.array(*[F.coalesce(tokens_in(F.col(c)), F.array().cast("array<string>")) for c in columns]))
-    )
+    found = ", ".join(tokens_in(f"`{c}`") for c in columns)
+    everything = F.expr(f"array_distinct(concat({found}))")
     maps = (
         df.select(*keys, F.explode_outer(everything).alias("token"))
         .filter(F.col("token").isNotNull())
@@ -37,5 +36,5 @@ def restore(
     same = [F.col(k) == F.col(n) for k, n in zip(key, names)]
     joined = df.join(maps, same, "left")
     return joined.select(
-        *[restore_tokens(F.col(c), F.col("_map")).alias(c) if c in columns else F.col(c) for c in df.columns]
+        *[F.expr(restore_tokens(f"`{c}`", "_map")).alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns]
     )

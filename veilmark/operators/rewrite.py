@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.functions.rewrite import replace_values
 from veilmark.operators.common import small
 
-MAP_TYPE = "map<string,string>"
-
 
 def value_maps(hits: DataFrame, key: list[str], lookup: DataFrame, lookup_bytes: int, bound: int) -> DataFrame:
     """Per row key the map of its own values to tokens.
@@ -35,24 +35,22 @@ def rewrite_text(
     bound: int,
     *,
     word_boundary: bool = False,
-    has_hits: Column | None = None,
+    with_hits: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Replace values in *text_col* by the map of the row's key.
 
     Maps within *bound* are broadcast, so texts stay where they are.  Larger ones meet the
-    texts in a shuffle; *has_hits*, a condition on the row, then keeps texts without any
-    span out of it.
+    texts in a shuffle; *with_hits*, which adds a boolean ``has_hits``, then keeps texts
+    without any span out of it.
     """
     columns = df.columns
+    new = F.expr(replace_values(f"`{text_col}`", "mapping", word_boundary)).alias(text_col)
 
     def joined(rows: DataFrame) -> DataFrame:
-        new = replace_values(F.col(text_col), F.col("mapping"), word_boundary)
-        return (
-            rows.join(small(maps, maps_bytes, bound), key, "left")
-            .withColumn(text_col, new)
-            .select(*columns)
-        )
-
-    if maps_bytes <= bound or has_hits is None:
+        both = rows.join(small(maps, maps_bytes, bound), key, "left")
+        return both.select(*[new if c == text_col else F.col(f"`{c}`") for c in columns])
+
+    if maps_bytes <= bound or with_hits is None:
         return joined(df)
-    return joined(df.filter(has_hits)).unionByName(df.filter(~has_hits))
+    marked = with_hits(df)
+    return joined(marked.filter("has_hits")).unionByName(marked.filter("NOT has_hits").select(*columns))

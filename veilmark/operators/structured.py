@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
@@ -88,81 +88,75 @@ def plan_table(
     return TablePlan(df, list(key), order, anchor_col, roles, src)
 
 
-def raw_text(df: DataFrame, name: str) -> Column:
+def raw_text(df: DataFrame, name: str) -> str:
     """A cell as text; nested values as JSON."""
-    kind = df.schema[name].dataType
-    c = F.col(f"`{name}`")
-    nested = isinstance(kind, (StructType, ArrayType, MapType))
-    return F.to_json(c) if nested else c.cast("string")
+    nested = isinstance(df.schema[name].dataType, (StructType, ArrayType, MapType))
+    return f"to_json({DET.ident(name)})" if nested else f"CAST({DET.ident(name)} AS STRING)"
 
 
-def cells(plan: TablePlan, roles: Sequence[str] | None = None) -> DataFrame:
+def cells(plan: TablePlan, roles: Sequence[str]) -> DataFrame:
     """Non-empty cells.  Without an anchor value a row's other cells are not scanned."""
-    wanted = [(i, c, r) for i, (c, r) in enumerate(plan.roles.items()) if roles is None or r in roles]
-    anchor = S.cell_text(raw_text(plan.df, plan.anchor)) if plan.anchor else None
+    anchor = S.cell_text_sql(raw_text(plan.df, plan.anchor)) if plan.anchor else "CAST(NULL AS STRING)"
 
-    def cell(i: int, name: str, role: str) -> Column:
-        text = S.cell_text(raw_text(plan.df, name))
-        if role == SCANNED and anchor is not None:
-            text = F.when(F.col("_anchor").isNotNull(), text)
-        return F.struct(F.lit(i).alias("col"), F.lit(role).alias("role"), text.alias("text"))
+    def cell(i: int, name: str, role: str) -> str:
+        text = S.cell_text_sql(raw_text(plan.df, name))
+        if role == SCANNED and plan.anchor:
+            text = f"CASE WHEN _anchor IS NOT NULL THEN {text} END"
+        return f"named_struct('col', {i}, 'role', '{role}', 'text', {text})"
 
-    rows = plan.df.withColumn("_anchor", F.lit(None).cast("string") if anchor is None else anchor)
+    wanted = ", ".join(cell(i, c, r) for i, (c, r) in enumerate(plan.roles.items()) if r in roles)
     keys = [F.col(k).alias(f"k{i}") for i, k in enumerate(plan.key)]
     return (
-        rows.select(
+        plan.df.withColumn("_anchor", F.expr(anchor))
+        .select(
             *keys, E.order_struct(plan.order_by).alias("ord"), F.col("_anchor").alias("anchor"),
-            F.inline_outer(F.array(*[cell(*w) for w in wanted])),
+            F.expr(f"inline_outer(array({wanted}))"),
         )
-        .filter(F.col("text").isNotNull())
+        .filter("text IS NOT NULL")
     )
 
 
-def is_whole_name(spans: Column, text: Column) -> Column:
-    """A person is among the spans and they cover at least 70 % of the cell."""
-    covered = F.aggregate(spans, F.lit(0), lambda n, s: n + s["end"] - s["start"])
-    return F.exists(spans, lambda s: s["etype"] == "PERSON") & (covered / F.length(text) >= 0.7)
+def is_whole_name(spans: str = "entities", text: str = "text") -> str:
+    """Condition: a person is among the spans and they cover at least 70 % of the cell."""
+    covered = f"aggregate({spans}, 0, (n, s) -> n + s.`end` - s.start)"
+    return f"exists({spans}, s -> s.etype = 'PERSON') AND {covered} / length({text}) >= 0.7"
 
 
-def _hit(value: Column, etype: Column, kind: Column, whole: bool, rank: Column) -> Column:
-    return F.struct(
-        value.alias("value"), etype.alias("etype"), kind.alias("kind"),
-        F.lit(whole).alias("whole"), rank.cast("int").alias("rank"),
-    )
-
-
-def scanned_hits(settings: Settings) -> Column:
+def scanned_hits(settings: Settings) -> str:
     """Hits of a detected cell: the whole cell as one name, or its allowed spans."""
-    masks, text, spans = settings.active_masks, F.col("text"), F.col("entities")
-
-    def one(span: Column, i: Column) -> Column:
-        return _hit(span["value"], span["etype"], E.span_kind(span["etype"], masks), False, i)
+    card = f"WHEN s.etype = 'CREDIT_CARD' THEN '{E.CARD}' " if "CREDIT_CARD" in settings.active_masks else ""
+    kind = f"CASE WHEN s.etype = 'PERSON' THEN '{E.PERSON}' {card}ELSE '{E.TOKEN}' END"
+    name = (
+        f"array(named_struct('value', text, 'etype', 'PERSON', 'kind', '{E.PERSON}', 'whole', true, 'rank', 0))"
+    )
+    parts = (
+        f"transform(filter(entities, s -> {DET.allowed(settings)}), (s, i) -> named_struct("
+        f"'value', s.value, 'etype', s.etype, 'kind', {kind}, 'whole', false, 'rank', i))"
+    )
+    found = f"CASE WHEN {is_whole_name()} THEN {name} ELSE {parts} END"
+    return f"CASE WHEN NOT {DET.is_subject('text', settings)} THEN {found} END"
 
-    name = F.array(_hit(text, F.lit("PERSON"), F.lit(E.PERSON), True, F.lit(0)))
-    parts = F.transform(F.filter(spans, DET.allowed(settings)), one)
-    found = F.when(is_whole_name(spans, text), name).otherwise(parts)
-    return F.when(~DET.is_subject(text, settings), found)
 
+def direct_hits(settings: Settings) -> str:
+    """Hit of an anchor, correlated or forced cell, taken whole and without detection.
 
-def direct_hits(settings: Settings) -> Column:
-    """Hit of an anchor, correlated or forced cell, taken whole and without detection."""
-    text, role, mail = F.col("text"), F.col("role"), F.contains(F.col("text"), F.lit("@"))
-    alone = F.col("anchor").isNull()
-    etype = F.when(mail & (role != ANCHOR), "EMAIL").otherwise("PERSON")
+    An exempt anchor still gives its row a person; its own cell stays as it is.
+    """
+    mail = "contains(text, '@')"
+    etype = f"CASE WHEN {mail} AND role <> '{ANCHOR}' THEN 'EMAIL' ELSE 'PERSON' END"
     kind = (
-        F.when(role == ANCHOR, E.PERSON)
-        .when((role == CORRELATED) & alone, F.when(mail, E.TOKEN).otherwise(E.PLAIN))
-        .when(role == CORRELATED, F.when(mail, E.EMAIL_OF).otherwise(E.ALIAS))
-        .otherwise(F.when(mail, E.TOKEN).otherwise(E.PERSON))
+        f"CASE WHEN role = '{ANCHOR}' THEN '{E.PERSON}' "
+        f"WHEN role = '{CORRELATED}' AND anchor IS NULL THEN CASE WHEN {mail} THEN '{E.TOKEN}' ELSE '{E.PLAIN}' END "
+        f"WHEN role = '{CORRELATED}' THEN CASE WHEN {mail} THEN '{E.EMAIL_OF}' ELSE '{E.ALIAS}' END "
+        f"WHEN {mail} THEN '{E.TOKEN}' ELSE '{E.PERSON}' END"
     )
-    hit = F.array(_hit(text, etype, kind, True, F.lit(0)))
-    # An exempt anchor still gives its row a person; its own cell stays as it is.
-    return F.when((role == ANCHOR) | ~DET.is_subject(text, settings), hit)
+    hit = f"array(named_struct('value', text, 'etype', {etype}, 'kind', {kind}, 'whole', true, 'rank', 0))"
+    return f"CASE WHEN role = '{ANCHOR}' OR NOT {DET.is_subject('text', settings)} THEN {hit} END"
 
 
-def _hit_rows(found: DataFrame, keep: list[str], hit: Column) -> DataFrame:
+def _hit_rows(found: DataFrame, keep: list[str], hit: str) -> DataFrame:
     return (
-        found.select(*keep, F.explode_outer(hit.cast(HIT)).alias("hit"))
+        found.select(*keep, F.expr(f"explode_outer(CAST({hit} AS {HIT}))").alias("hit"))
         .filter(F.col("hit").isNotNull())
         .select(*keep, "hit.*")
     )
@@ -208,7 +202,7 @@ def apply_tokens(
     """
     bound = settings.broadcast_bytes
     narrow = lookup_bytes <= bound
-    df, in_place = _exchange_cells(plan, settings, lookup) if narrow else (plan.df, {})
+    df, in_place = _exchange_cells(plan, lookup) if narrow else (plan.df, {})
     travelling = [scanned] if scanned is not None else []
     if not narrow and plan.direct:
         travelling.append(direct_rows(plan, settings))
@@ -224,34 +218,34 @@ def apply_tokens(
         same = [F.col(k) == F.col(f"k{i}") for i, k in enumerate(plan.key)]
         df = df.join(small(entries, scanned_bytes, bound), same, "left")
     else:
-        df = df.withColumn("_entries", F.array().cast(ENTRIES))
+        df = df.withColumn("_entries", F.expr(f"CAST(NULL AS {ENTRIES})"))
     place = {c: i for i, c in enumerate(plan.roles)}
 
-    def output(name: str) -> Column:
+    def output(name: str) -> str:
         if name not in plan.roles:
-            return F.col(f"`{name}`")
+            return DET.ident(name)
         cell = raw_text(plan.df, name)
-        text = S.cell_text(cell)
+        text = S.cell_text_sql(cell)
+        exempt = DET.is_subject(text, settings)
         if name in in_place:
-            return F.coalesce(in_place[name], cell).alias(name)
-        own = F.filter(F.col("_entries"), lambda e: e["col"] == place[name])
-        whole_tokens = F.transform(F.filter(own, lambda e: e["whole"]), lambda e: e["token"])
-        whole = F.try_element_at(whole_tokens, F.lit(1))
+            return f"coalesce(CASE WHEN NOT {exempt} THEN {in_place[name]} END, {cell})"
+        own = f"filter(_entries, e -> e.col = {place[name]})"
+        whole = f"try_element_at(transform(filter({own}, e -> e.whole), e -> e.token), 1)"
         if plan.roles[name] != SCANNED:
-            return F.coalesce(F.when(~DET.is_subject(text, settings), whole), cell).alias(name)
-        mapping = F.map_from_entries(F.transform(own, lambda e: F.struct(e["value"], e["token"])))
-        changed = F.when(F.size(own) > 0, replace_values(text, mapping, settings.word_boundary))
-        return F.coalesce(whole, changed, cell).alias(name)
+            return f"coalesce(CASE WHEN NOT {exempt} THEN {whole} END, {cell})"
+        mapping = f"map_from_entries(transform({own}, e -> struct(e.value, e.token)))"
+        changed = replace_values(text, mapping, settings.word_boundary)
+        return f"CASE WHEN coalesce(size({own}), 0) <= 0 THEN {cell} ELSE coalesce({whole}, {changed}) END"
 
-    return df.select(*[output(c) for c in plan.df.columns])
+    return df.select(*[F.expr(output(c)).alias(c) for c in plan.df.columns])
 
 
-def _exchange_cells(plan: TablePlan, settings: Settings, lookup: DataFrame):
-    """Broadcast joins for the whole-cell columns; returns the new cells by name."""
+def _exchange_cells(plan: TablePlan, lookup: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """Broadcast joins for the whole-cell columns; returns where to find the new cells."""
     df, new = plan.df, {}
     for i, c in enumerate(plan.direct):
         side = lookup.select(F.col("value").alias(f"_v{i}"), F.col("token").alias(f"_t{i}"))
-        text = S.cell_text(raw_text(plan.df, c))
+        text = F.expr(S.cell_text_sql(raw_text(plan.df, c)))
         df = df.join(F.broadcast(side), text == F.col(f"_v{i}"), "left")
-        new[c] = F.when(~DET.is_subject(text, settings), F.col(f"_t{i}"))
+        new[c] = f"_t{i}"
     return df, new

@@ -136,8 +136,7 @@ class _TextPart:
         self.given, self.settings, self.dictionary = given, settings, dictionary
         key = [*given.key, "ord"]
         keyed = given.df.withColumn("ord", E.order_struct(given.order))
-        detected = DET.detect(keyed, given.text_col, key, settings, dictionary)
-        kept = detected.withColumn("entities", F.filter("entities", DET.allowed(settings)))
+        kept = DET.detect(keyed, given.text_col, key, settings, dictionary, only_allowed=True)
         # Only rows with spans are written, without their text.
         self.hits = cut(DET.span_rows(kept, key))
         self.bound, self.bytes = measure(self.hits, "value")
@@ -147,16 +146,19 @@ class _TextPart:
         given, settings = self.given, self.settings
         scope = list(given.document or given.key)
         maps = REW.value_maps(self.hits, scope, lookup, lookup_bytes, settings.broadcast_bytes)
-        has_hits = None
+        with_hits = None
         if self.dictionary.in_row and given.document is None and settings.ner is None:
-            spans = DET.entities(F.col(given.text_col), settings, self.dictionary)
-            has_hits = F.coalesce(F.exists(spans, DET.allowed(settings)), F.lit(False))
+            with_hits = self._mark
         return REW.rewrite_text(
             # A map entry holds a value and its token; tokens are short.
             given.df, scope, given.text_col, maps, 3 * self.bytes, settings.broadcast_bytes,
-            word_boundary=settings.word_boundary, has_hits=has_hits,
+            word_boundary=settings.word_boundary, with_hits=with_hits,
         )
 
+    def _mark(self, df: DataFrame) -> DataFrame:
+        marked = DET.with_entities(df, self.given.text_col, self.settings, self.dictionary, only_allowed=True)
+        return marked.withColumn("has_hits", F.expr("coalesce(size(entities) > 0, false)")).drop("entities")
+
 
 class _TablePart:
     """Detection and rewriting of one table."""

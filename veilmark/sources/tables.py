@@ -61,10 +61,10 @@ def header_of(lines) -> tuple[int, list[str]]:
 
 def columns(spark: SparkSession, path: str | list[str], recursive: bool = False) -> list[str]:
     """Column names of CSV input, from the heads of the files only."""
-    return _common_header(sniff_csv(list_files(spark, path, recursive).filter("suffix = '.csv'")))[0]
+    return common_header(sniff_csv(list_files(spark, path, recursive).filter("suffix = '.csv'")))[0]
 
 
-def _common_header(sniffed: DataFrame) -> tuple[list[str], int]:
+def common_header(sniffed: DataFrame) -> tuple[list[str], int]:
     heads = sniffed.groupBy("header").agg(F.max("skip").alias("skip")).limit(2).collect()
     if not heads:
         raise TableError("no CSV files found")
@@ -88,7 +88,7 @@ def read_csv(
     ``from_csv``.  Quoted line breaks need the built-in reader.
     """
     sniffed = sniff_csv(list_files(spark, path, recursive).filter("suffix = '.csv'"))
-    header, skip = _common_header(sniffed)
+    header, skip = common_header(sniffed)
     if skip == 0 and not position:
         reader = spark.read.schema(string_schema(header)).options(**CSV_OPTIONS)
         return reader.csv(path, header=True, recursiveFileLookup=recursive, pathGlobFilter="*.[cC][sS][vV]")
@@ -96,9 +96,11 @@ def read_csv(
     return out if position else out.drop(*POSITION)
 
 
-def numbered_lines(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
+def numbered_lines(
+    spark: SparkSession, path: str | list[str], recursive: bool = False, glob: str = "*.[cC][sS][vV]"
+) -> DataFrame:
     """``(path, block, line, value)``: lines counted within their block of the file."""
-    raw = spark.read.text(path, recursiveFileLookup=recursive, pathGlobFilter="*.[cC][sS][vV]").select(
+    raw = spark.read.text(path, recursiveFileLookup=recursive, pathGlobFilter=glob).select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.col("value"),
