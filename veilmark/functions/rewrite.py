@@ -26,21 +26,26 @@ def longest_first(keys: str) -> str:
     return f"array_join(transform({ordered}, k -> {quote('k')}), '|')"
 
 
-def _bind(value: str, name: str, body: str) -> str:
-    return f"transform(array({value}), {name} -> {body})[0]"
-
-
-def replace_values(text: str, mapping: str, word_boundary: bool = False) -> str:
-    """Exchange every occurrence of every key of *mapping* by its token, longest first.
+def key_pattern(mapping: str, word_boundary: bool = False) -> str:
+    """Pattern of all keys of *mapping*; NULL if there are none.
 
     By default a key also matches inside longer words; *word_boundary* limits it to
     whole words.
     """
-    pattern = longest_first("map_keys(m)")
+    pattern = longest_first(f"map_keys({mapping})")
     if word_boundary:
         pattern = f"concat({lit(_LEFT_EDGE)}, {pattern}, {lit(_RIGHT_EDGE)})"
-    woven = _bind(pattern, "pat", _weave(text, "pat", "m[hit]"))
-    return f"CASE WHEN coalesce(size({mapping}), 0) <= 0 THEN {text} ELSE {_bind(mapping, 'm', woven)} END"
+    return f"CASE WHEN coalesce(size({mapping}), 0) > 0 THEN {pattern} END"
+
+
+def replace_values(text: str, mapping: str, pattern: str) -> str:
+    """Exchange every occurrence of every key of *mapping* by its token, longest first.
+
+    *mapping* and *pattern* (from :func:`key_pattern`) should be plain columns: lambdas
+    that refer to an outer lambda's variable cannot be arguments of a Python UDF, and the
+    result of this function may well become one.
+    """
+    return f"CASE WHEN {pattern} IS NULL THEN {text} ELSE {_weave(text, pattern, f'{mapping}[hit]')} END"
 
 
 def tokens_in(text: str) -> str:
@@ -51,5 +56,5 @@ def tokens_in(text: str) -> str:
 
 def restore_tokens(text: str, mapping: str) -> str:
     """Exchange known tokens (any case) by their values; unknown ones stay."""
-    woven = _weave(text, lit(TOKEN), "coalesce(m[upper(hit)], hit)")
-    return f"CASE WHEN coalesce(size({mapping}), 0) <= 0 THEN {text} ELSE {_bind(mapping, 'm', woven)} END"
+    woven = _weave(text, lit(TOKEN), f"coalesce({mapping}[upper(hit)], hit)")
+    return f"CASE WHEN coalesce(size({mapping}), 0) <= 0 THEN {text} ELSE {woven} END"

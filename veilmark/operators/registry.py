@@ -236,9 +236,13 @@ def forward(registry: DataFrame) -> DataFrame:
 
 
 def reverse(registry: DataFrame) -> DataFrame:
-    """``token -> value``: per token the value that had it first; masks never restore."""
+    """``token -> value``: per token the value that had it first; masks never restore.
+
+    The value that took a token's number always had it before any alias.
+    """
+    place = F.struct(F.col("batch"), (~F.col("kind").isin(*NUMBERED)).alias("follows"), F.col("seq"))
     return (
         registry.filter("restorable")
         .groupBy(F.upper("token").alias("token"))
-        .agg(F.min_by("value", F.struct("batch", "seq")).alias("value"))
+        .agg(F.min_by("value", place).alias("value"))
     )

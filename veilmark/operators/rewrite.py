@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.functions.rewrite import replace_values
+from veilmark.functions.rewrite import key_pattern, replace_values
 from veilmark.operators.common import small
 
 
@@ -44,10 +44,12 @@ def rewrite_text(
     without any span out of it.
     """
     columns = df.columns
-    new = F.expr(replace_values(f"`{text_col}`", "mapping", word_boundary)).alias(text_col)
+    pattern = F.expr(key_pattern("mapping", word_boundary))
+    new = F.expr(replace_values(f"`{text_col}`", "mapping", "pattern")).alias(text_col)
 
     def joined(rows: DataFrame) -> DataFrame:
-        both = rows.join(small(maps, maps_bytes, bound), key, "left")
+        with_pattern = maps.withColumn("pattern", pattern)
+        both = rows.join(small(with_pattern, maps_bytes, bound), key, "left")
         return both.select(*[new if c == text_col else F.col(f"`{c}`") for c in columns])
 
     if maps_bytes <= bound or with_hits is None:

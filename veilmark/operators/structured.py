@@ -13,12 +13,12 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, MapType, StructType
+from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 
 from veilmark.config import Settings
 from veilmark.functions import scalars as S
 from veilmark.functions.patterns import ANCHOR_CANDIDATES
-from veilmark.functions.rewrite import replace_values
+from veilmark.functions.rewrite import key_pattern, replace_values
 from veilmark.operators import detect as DET
 from veilmark.operators import dictionary as D
 from veilmark.operators import events as E
@@ -70,7 +70,10 @@ def plan_table(
     scan: Sequence[str] | None = None,
     src: int = 0,
 ) -> TablePlan:
-    """Assign roles.  *scan* limits detection to some columns; by default all others."""
+    """Assign roles.  *scan* limits detection to some columns; by default all others.
+
+    Key columns that are not text are left out of that default and keep their type.
+    """
     anchor_col = resolve_anchor(df.columns, anchor, settings.anchor_field)
     correlated = [c for c in dict.fromkeys(settings.correlated_fields) if c in df.columns]
     forced = set(settings.force_fields if force_fields is None else force_fields)
@@ -82,7 +85,7 @@ def plan_table(
         if c not in roles:
             if c in forced:
                 roles[c] = FORCED
-            elif scan is None or c in scan:
+            elif c in scan if scan is not None else c not in key or df.schema[c].dataType == StringType():
                 roles[c] = SCANNED
     order = list(order_by) if order_by else list(key)
     return TablePlan(df, list(key), order, anchor_col, roles, src)
@@ -220,6 +223,7 @@ def apply_tokens(
     else:
         df = df.withColumn("_entries", F.expr(f"CAST(NULL AS {ENTRIES})"))
     place = {c: i for i, c in enumerate(plan.roles)}
+    df = _with_cell_maps(df, {c: place[c] for c in plan.columns_of(SCANNED)}, settings.word_boundary)
 
     def output(name: str) -> str:
         if name not in plan.roles:
@@ -233,13 +237,21 @@ def apply_tokens(
         whole = f"try_element_at(transform(filter({own}, e -> e.whole), e -> e.token), 1)"
         if plan.roles[name] != SCANNED:
             return f"coalesce(CASE WHEN NOT {exempt} THEN {whole} END, {cell})"
-        mapping = f"map_from_entries(transform({own}, e -> struct(e.value, e.token)))"
-        changed = replace_values(text, mapping, settings.word_boundary)
-        return f"CASE WHEN coalesce(size({own}), 0) <= 0 THEN {cell} ELSE coalesce({whole}, {changed}) END"
+        i = place[name]
+        changed = replace_values(text, f"_map{i}", f"_pattern{i}")
+        return f"CASE WHEN _pattern{i} IS NULL THEN {cell} ELSE coalesce({whole}, {changed}) END"
 
     return df.select(*[F.expr(output(c)).alias(c) for c in plan.df.columns])
 
 
+def _with_cell_maps(df: DataFrame, places: dict[str, int], word_boundary: bool) -> DataFrame:
+    """Per scanned column the map of its own values, and the pattern of their keys."""
+    own = "transform(filter(_entries, e -> e.col = {}), e -> struct(e.value, e.token))"
+    maps = {f"_map{i}": F.expr(f"map_from_entries({own.format(i)})") for i in places.values()}
+    patterns = {f"_pattern{i}": F.expr(key_pattern(f"_map{i}", word_boundary)) for i in places.values()}
+    return df.withColumns(maps).withColumns(patterns) if places else df
+
+
 def _exchange_cells(plan: TablePlan, lookup: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """Broadcast joins for the whole-cell columns; returns where to find the new cells."""
     df, new = plan.df, {}

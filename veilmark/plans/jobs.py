@@ -150,8 +150,8 @@ class _TextPart:
         if self.dictionary.in_row and given.document is None and settings.ner is None:
             with_hits = self._mark
         return REW.rewrite_text(
-            # A map entry holds a value and its token; tokens are short.
-            given.df, scope, given.text_col, maps, 3 * self.bytes, settings.broadcast_bytes,
+            # Per value a map holds the value, its token and its part of the pattern.
+            given.df, scope, given.text_col, maps, 4 * self.bytes, settings.broadcast_bytes,
             word_boundary=settings.word_boundary, with_hits=with_hits,
         )
 
@@ -181,7 +181,7 @@ class _TablePart:
             self.events.append(STR.events(rows, plan.src))
             self.bound = None if self.bound is None else n
             if n:
-                self.scanned, self.bytes = rows, 3 * size
+                self.scanned, self.bytes = rows, 4 * size
 
     def rewrite(self, lookup: DataFrame, lookup_bytes: int) -> DataFrame:
         return STR.apply_tokens(self.plan, self.settings, self.scanned, self.bytes, lookup, lookup_bytes)

@@ -239,8 +239,15 @@ def _lower_list(values) -> str:
     return "(" + ", ".join(lit(v.lower()) for v in values) + ")"
 
 
-@query(f"{ENTS} SELECT doc_id, etype, value FROM ents WHERE lower(value) NOT IN {_lower_list(EXCLUDED)}")
+ENTERING = f"value NOT IN {_lower_list(EXCLUDED)}"
+
+
+@query(
+    "WITH " + settled("documents", "doc_id", "text", STANDARD_TIERS, entering=ENTERING)
+    + f" SELECT doc_id, etype, value FROM ents WHERE lower(value) NOT IN {_lower_list(EXCLUDED)}"
+)
 def exclude_terms(spark, folder):
+    """Spelled as excluded, a term does not even block what it overlaps."""
     settings = Settings(exclude_terms=EXCLUDED)
     return _entity_rows(_documents(spark, folder), "doc_id", settings).select("doc_id", "etype", "value")
 

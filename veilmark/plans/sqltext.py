@@ -53,14 +53,14 @@ def spans(source: str, key: str, text: str, etype: str) -> str:
       WHERE {check}"""
 
 
-def settled(source: str, key: str, text: str, tiers: list[str], tag: str = "") -> str:
+def settled(source: str, key: str, text: str, tiers: list[str], tag: str = "", entering: str = "TRUE") -> str:
     """CTEs ending in ``ents{tag}``: spans of all tiers, better tiers first, no overlaps.
 
-    Valid where spans of equal score never overlap, or the earlier tier is the longer.
+    *entering* is a condition on the spans that take part.  Valid where spans of equal score never overlap, or the earlier tier is the longer.
     """
     parts = []
     for i, etype in enumerate(tiers):
-        parts.append(f"raw{tag}{i} AS (SELECT * FROM ({spans(source, key, text, etype)}))")
+        parts.append(f"raw{tag}{i} AS (SELECT * FROM ({spans(source, key, text, etype)}) WHERE {entering})")
         blocked = " AND ".join(
             f"NOT EXISTS (SELECT 1 FROM acc{tag}{j} b WHERE b.{key} = a.{key} AND a.s < b.e AND b.s < a.e)"
             for j in range(i)

@@ -15,7 +15,7 @@ from veilmark.sources.files import list_files, open_bytes
 
 SNIFF_ROWS = 20
 POSITION = ("_path", "_block", "_line")
-CSV_OPTIONS = {"quote": '"', "escape": '"', "nullValue": "\x00", "emptyValue": ""}
+CSV_OPTIONS = {"quote": '"', "escape": '"'}
 
 
 class TableError(ValueError):
