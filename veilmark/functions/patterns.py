@@ -87,13 +87,18 @@ SPACE = (
 TOKEN = r"\[[^\[\]" + SPACE + r"]+\]"
 
 
+# Two characters that hardly occur in plain prose.
+PAIR = "[0-9.][0-9A-Za-z]"
+
+
 @dataclass(frozen=True)
 class PatternRule:
     """One pattern recogniser.
 
     ``hint`` is a literal and ``guard`` a cheap pattern that every match must contain:
     searching for them first spares the costly pattern on most texts.  ``check`` names a
-    validator in :mod:`veilmark.functions.spans` applied to each candidate.
+    validator in :mod:`veilmark.functions.spans` applied to each candidate.  ``pair`` says
+    that every match contains a match of :data:`PAIR`, so one search serves several rules.
     """
 
     etype: str
@@ -102,18 +107,19 @@ class PatternRule:
     hint: str | None = None
     guard: str | None = None
     check: str | None = None
+    pair: bool = False
 
 
 PATTERN_RULES = {
     r.etype: r
     for r in (
         PatternRule("EMAIL", EMAIL, SCORES["EMAIL"], hint="@"),
-        PatternRule("PHONE", PHONE, SCORES["PHONE"], guard="[+0-9][0-9]"),
-        PatternRule("IP", IP_RUN, SCORES["IP"], guard=r"[0-9]\.[0-9]", check="is_ipv4"),
-        PatternRule("DOMAIN", DOMAIN_RUN, SCORES["DOMAIN"], guard=r"\.[A-Za-z]{2}", check="is_domain"),
+        PatternRule("PHONE", PHONE, SCORES["PHONE"], guard="[+0-9][0-9]", pair=True),
+        PatternRule("IP", IP_RUN, SCORES["IP"], guard=r"[0-9]\.[0-9]", check="is_ipv4", pair=True),
+        PatternRule("DOMAIN", DOMAIN_RUN, SCORES["DOMAIN"], guard=r"\.[A-Za-z]{2}", check="is_domain", pair=True),
         PatternRule("URL", URL, SCORES["URL"], hint="://"),
-        PatternRule("CREDIT_CARD", CARD_RUN, SCORES["CREDIT_CARD"], guard="[0-9]{4}", check="is_card"),
-        PatternRule("IBAN_CODE", IBAN_RUN, SCORES["IBAN_CODE"], guard="[A-Z]{2}[0-9]{2}", check="is_iban"),
+        PatternRule("CREDIT_CARD", CARD_RUN, SCORES["CREDIT_CARD"], guard="[0-9]{4}", check="is_card", pair=True),
+        PatternRule("IBAN_CODE", IBAN_RUN, SCORES["IBAN_CODE"], guard="[A-Z]{2}[0-9]{2}", check="is_iban", pair=True),
         PatternRule("MAC_ADDRESS", MAC, SCORES["MAC_ADDRESS"], guard="[:-][0-9A-Fa-f]{2}"),
         PatternRule("AMOUNT", AMOUNT, SCORES["AMOUNT"], guard="[0-9]"),
     )

@@ -7,6 +7,8 @@ expressions cost one call to parse, against thousands to assemble from Python.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from veilmark.functions import patterns as P
 from veilmark.functions.patterns import PatternRule
 
@@ -111,6 +113,22 @@ def rule_spans(text: str, rule: PatternRule) -> str:
     return as_spans(hits, lit(rule.etype), rule.score)
 
 
+def rules_spans(text: str, rules: Sequence[PatternRule]) -> str:
+    """Spans of several rules.  One cheap test first rules out texts that none can match."""
+    tests = dict.fromkeys(_signal(text, rule) for rule in rules)
+    found = ", ".join(rule_spans(text, rule) for rule in rules)
+    return f"CASE WHEN {' OR '.join(tests)} THEN concat({found}) ELSE {NO_SPANS} END"
+
+
+def _signal(text: str, rule: PatternRule) -> str:
+    """Condition that holds wherever the rule matches."""
+    if rule.pair:
+        return f"rlike({text}, {lit(P.PAIR)})"
+    if rule.hint is not None:
+        return f"contains({text}, {lit(rule.hint)})"
+    return f"rlike({text}, {lit(rule.guard or rule.pattern)})"
+
+
 def quote(literal: str) -> str:
     """Escape a literal for use inside a Java pattern."""
     special = lit(r"([\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f])")

@@ -20,7 +20,7 @@ def ident(column: str) -> str:
 def pattern_spans(text: str, settings: Settings) -> str:
     """Spans of the pattern recognisers that the mode asks for."""
     rules = [PATTERN_RULES[t] for t in settings.entity_types if t in PATTERN_RULES]
-    return "concat(" + ", ".join(SP.rule_spans(text, r) for r in (*rules, *settings.rules)) + ")"
+    return SP.rules_spans(text, (*rules, *settings.rules))
 
 
 def _listed(values) -> str:
