@@ -44,6 +44,10 @@ def compare(spark, con, folder: str, name: str, fn, sql: str | None):
     sql_s = time.time() - began
     if sorted(got.columns) != sorted(want.columns):
         return False, f"columns {sorted(got.columns)} / {sorted(want.columns)}", spark_s, sql_s
+    kinds = {c: (str(got[c].dtype), str(want[c].dtype)) for c in got.columns}
+    apart = {c: k for c, k in kinds.items() if k[0] != k[1] and not {"object", "str"} >= set(k) and len(got)}
+    if apart and not set(str(k) for k in apart.values()) <= {"('object', 'float64')"}:
+        return False, f"types {apart}", spark_s, sql_s
     a, b = rows_of(got), rows_of(want)
     if a != b:
         only_a, only_b = sorted(set(a) - set(b))[:2], sorted(set(b) - set(a))[:2]

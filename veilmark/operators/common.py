@@ -34,3 +34,25 @@ def measure(df: DataFrame, *columns: str) -> tuple[int, int]:
 def small(df: DataFrame, n_bytes: int, bound: int) -> DataFrame:
     """Mark *df* for broadcast if its measured size is within *bound*."""
     return F.broadcast(df) if n_bytes <= bound else df
+
+
+HOT_SHARE = 1000
+
+
+def join_on_value(rows: DataFrame, lookup: DataFrame, lookup_bytes: int, bound: int) -> DataFrame:
+    """Inner join on ``value`` of many rows with a *lookup* of unique values.
+
+    A small lookup is broadcast.  Otherwise values that make up at least a thousandth of
+    the rows, of which there can be a thousand at most, meet their lookup rows in a
+    broadcast join and only the others are shuffled, so no partition fills up with one
+    value.
+    """
+    if lookup_bytes <= bound:
+        return rows.join(F.broadcast(lookup), "value")
+    counts = cut(rows.groupBy("value").agg(F.count(F.lit(1)).alias("rows")))
+    total = counts.agg(F.sum("rows")).first()[0] or 0
+    hot = counts.filter(F.col("rows") * HOT_SHARE >= max(total, 1)).select("value")
+    known = lookup.join(F.broadcast(hot), "value", "left_semi")
+    common = rows.join(F.broadcast(known), "value")
+    rest = rows.join(F.broadcast(hot), "value", "left_anti").join(lookup, "value")
+    return common.unionByName(rest)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.functions.rewrite import restore_tokens, tokens_in
-from veilmark.operators.common import measure, small
+from veilmark.operators.common import join_on_value, measure
 from veilmark.operators.registry import reverse
 
 
@@ -20,18 +20,18 @@ def restore(
     The tokens of a row are looked up by join, so the registry may be of any size; every
     row then gets back a map of just its own tokens.
     """
-    back = reverse(registry)
+    # Looked up by token, which therefore plays the part of the value here.
+    back = reverse(registry).select(F.col("token").alias("value"), F.col("value").alias("original"))
     _, back_bytes = measure(registry, "value", "token")
-    keys = [F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]
     names = [f"_k{i}" for i in range(len(key))]
+    keys = [F.col(k).alias(n) for k, n in zip(key, names)]
     found = ", ".join(tokens_in(f"`{c}`") for c in columns)
     everything = F.expr(f"array_distinct(concat({found}))")
+    present = df.select(*keys, F.explode_outer(everything).alias("value")).filter(F.col("value").isNotNull())
     maps = (
-        df.select(*keys, F.explode_outer(everything).alias("token"))
-        .filter(F.col("token").isNotNull())
-        .join(small(back, back_bytes, bound), "token")
+        join_on_value(present, back, back_bytes, bound)
         .groupBy(*names)
-        .agg(F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("_map"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("value", "original"))).alias("_map"))
     )
     same = [F.col(k) == F.col(n) for k, n in zip(key, names)]
     joined = df.join(maps, same, "left")

@@ -8,19 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.functions.rewrite import key_pattern, replace_values
-from veilmark.operators.common import small
+from veilmark.operators.common import join_on_value, small
 
 
 def value_maps(hits: DataFrame, key: list[str], lookup: DataFrame, lookup_bytes: int, bound: int) -> DataFrame:
     """Per row key the map of its own values to tokens.
 
-    *lookup* has unique values, so a value that fills much of *hits* splits on the hit
-    side only (skew join), and the map of one key is bounded by its own text.
+    The map of one key is bounded by its own text.
     """
     pair = F.struct("value", "token")
     return (
-        hits.select(*key, "value")
-        .join(small(lookup, lookup_bytes, bound), "value")
+        join_on_value(hits.select(*key, "value"), lookup, lookup_bytes, bound)
         .groupBy(*key)
         .agg(F.map_from_entries(F.collect_set(pair)).alias("mapping"))
     )

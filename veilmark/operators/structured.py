@@ -22,7 +22,7 @@ from veilmark.functions.rewrite import key_pattern, replace_values
 from veilmark.operators import detect as DET
 from veilmark.operators import dictionary as D
 from veilmark.operators import events as E
-from veilmark.operators.common import small
+from veilmark.operators.common import join_on_value, small
 
 ANCHOR, CORRELATED, FORCED, SCANNED = "anchor", "correlated", "forced", "scanned"
 ENTRIES = "array<struct<col:int,whole:boolean,value:string,token:string>>"
@@ -213,8 +213,7 @@ def apply_tokens(
     if travelling:
         keys = [f"k{i}" for i in range(len(plan.key))]
         entries = (
-            reduce(DataFrame.unionByName, travelling)
-            .join(small(lookup, lookup_bytes, bound), "value")
+            join_on_value(reduce(DataFrame.unionByName, travelling), lookup, lookup_bytes, bound)
             .groupBy(*keys)
             .agg(F.collect_set(F.struct("col", "whole", "value", "token")).alias("_entries"))
         )

@@ -42,7 +42,7 @@ def spans(source: str, key: str, text: str, etype: str) -> str:
     pattern = lit(rule.pattern)
     check = CHECKS[rule.check] if rule.check else "TRUE"
     return f"""
-      SELECT {key}, '{etype}' AS etype, value, s, s + length(value) AS e,
+      SELECT {key}, '{etype}' AS etype, value, s, CAST(s + length(value) AS INTEGER) AS e,
              CAST({rule.score} AS DECIMAL(3,2)) AS score
       FROM (SELECT {key}, hits[i] AS value,
                    CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g)))
