@@ -95,7 +95,7 @@ def detect(
     """Rows ``keep + entities``, without the text.
 
     With an oversized dictionary the partial results of its passes meet per row key;
-    only spans are shuffled then, never texts.
+    only spans are shuffled then, never texts, and rows without spans are left out.
     """
     dictionary = D.load(df.sparkSession, settings) if dictionary is None else dictionary
     if dictionary.in_row:
@@ -103,7 +103,9 @@ def detect(
     passes = df.select(*keep, _found(text_col, settings, None).alias("spans")).unionByName(
         D.sharded_spans(df, keep, text_col, dictionary)
     )
-    together = passes.groupBy(*keep).agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    # Texts without spans drop out here; the outer form is explained in span_rows.
+    found = passes.select(*keep, F.explode_outer("spans").alias("span")).filter(F.col("span").isNotNull())
+    together = found.groupBy(*keep).agg(F.collect_list("span").alias("spans"))
     spans = settle("spans", settings)
     if only_allowed:
         spans = f"filter({spans}, s -> {allowed(settings)})"

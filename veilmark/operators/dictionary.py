@@ -122,7 +122,7 @@ def sharded_spans(df: DataFrame, keep: list[str], text_col: str, dictionary: Dic
             F.pmod(F.xxhash64("term", "etype"), F.lit(dictionary.shards)) == shard
         )
         passes.append(df.select(*keep, _automaton_column(F.col(text_col), part).alias("spans")))
-    return reduce(DataFrame.unionByName, passes).filter(F.size("spans") > 0)
+    return reduce(DataFrame.unionByName, passes)
 
 
 def _literal_spans(text: str, terms) -> str:
