@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from veilmark.llm.common import MAX_CELLS, bloom_cells, bloom_hits, bloom_words, cut, join_groups, text_or_empty
 
 
-def _with_possible_repeats(rows: DataFrame, max_cells: int) -> DataFrame:
+def with_possible_repeats(rows: DataFrame, max_cells: int) -> DataFrame:
     """Add ``_again``: the hash ``_h`` may occur twice.  *rows* are evaluated twice."""
     cells = bloom_cells(rows.count(), most=max_cells)
     return bloom_hits(rows, bloom_words(rows.select("_h"), cells, at_least=2), "_h", cells, "_again")
@@ -38,7 +38,7 @@ def verdicts(
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.sha2(text, 256).alias("text_sha256"), F.xxhash64(text).alias("_h")
     )
-    tagged = cut(_with_possible_repeats(rows, max_cells).drop("_h"))
+    tagged = cut(with_possible_repeats(rows, max_cells).drop("_h"))
     own = tagged.filter(~F.col("_again")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"),
         F.lit(True).alias("kept"), "text_sha256",
@@ -65,7 +65,7 @@ def dedup(
     """The rows of *docs* that stay, one per text, with all their columns."""
     text = text_or_empty(text_col)
     rows = docs.select(F.struct("*").alias("_row"), F.xxhash64(text).alias("_h"))
-    tagged = _with_possible_repeats(rows, max_cells)
+    tagged = with_possible_repeats(rows, max_cells)
     own = tagged.filter(~F.col("_again")).select("_row.*")
     digest = F.sha2(text_or_empty(f"_row.{text_col}"), 256)
     winners = (

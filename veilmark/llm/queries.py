@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilmark.llm import exact_dedup, host_rules, license_scan, token_planes
+from pyspark.sql import functions as F
+
+from veilmark.llm import exact_dedup, host_rules, license_scan, packing, token_planes, warc_zip
 from veilmark.llm.common import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +93,31 @@ def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.verdicts(table(spark, folder, "documents"))
 
 
+@query()
+def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return packing.pack(packing.tokenise(docs, tokenizer("word_bpe_49k.json"), "word"))
+
+
+@query(
+    """
+    WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+      FROM pages),
+    g AS (SELECT payload_digest, min(page_id) AS first FROM p GROUP BY 1),
+    j AS (SELECT *, payload_bytes >= 100 AND page_id <> first AS again FROM p JOIN g USING (payload_digest))
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN again THEN first END AS refers_to FROM j
+    """
+)
+def op6_warc_zip(spark: SparkSession, folder: str) -> DataFrame:
+    packages = warc_zip.write(table(spark, folder, "pages"), shared_folder(spark, "packages"))
+    page = warc_zip.page_of
+    return warc_zip.read(packages, with_payload=False).select(
+        page("record_id").try_cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.when(F.col("record_type") == "revisit", page("refers_to").try_cast("bigint")).alias("refers_to"),
+    )
+
+
 @query()
 def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.labels(table(spark, folder, "documents"))
