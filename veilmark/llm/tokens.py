@@ -20,9 +20,11 @@ _ASCII_SPACES = str.maketrans({c: " " for c in "\t\n\r\x0b\x0c"})
 
 
 def byte_level_pieces(text: str) -> list[str]:
-    """Cut before each space that a non-space follows: a byte-level pre-tokenizer always does so."""
-    first, *rest = _BEFORE_WORD.split(text)
-    return [first, *[" " + r for r in rest]]
+    """Cut before each space that a non-space follows: a byte-level pre-tokenizer always does so.
+
+    All pieces but the first have lost that space.
+    """
+    return _BEFORE_WORD.split(text)
 
 
 def word_level_pieces(text: str) -> list[str]:
@@ -30,46 +32,52 @@ def word_level_pieces(text: str) -> list[str]:
     return text.translate(_ASCII_SPACES).split(" ")
 
 
-PIECES: dict[str, Callable[[str], list[str]]] = {"byte": byte_level_pieces, "word": word_level_pieces}
+#: How to cut, and what stood before all pieces but the first.
+PIECES: dict[str, tuple[Callable[[str], list[str]], str]] = {
+    "byte": (byte_level_pieces, " "),
+    "word": (word_level_pieces, ""),
+}
 
 
 class Encoder:
     """Encodes texts to little-endian 32-bit ids.
 
     *kind* names how pieces are cut: ``byte`` for byte-level files, ``word`` for files that
-    drop white space.  Up to *keep* short pieces are remembered; when new pieces become
-    frequent again (other languages, other sources), the memory starts anew.
+    drop white space.  Up to *keep* short pieces are remembered; when many new pieces come up
+    after that (other languages, other sources), the memory starts anew.
     """
 
-    def __init__(self, path: str, kind: str, keep: int = 600_000):
+    def __init__(self, path: str, kind: str, keep: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces = PIECES[kind]
+        self.pieces, self.before = PIECES[kind]
         self.keep = keep
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
+
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
 
     def __call__(self, texts: Iterable[str | None]) -> list[bytes]:
         cut = [self.pieces(t or "") for t in texts]
-        known = self.known
-        new = list({p for pieces in cut for p in pieces if p not in known})
-        extra: dict[str, bytes] = {}
-        if new:
-            if len(known) + len(new) > self.keep and len(new) * 4 > sum(map(len, cut)):
-                kept = [p for pieces in cut for p in pieces if p in known]
-                extra.update((p, known[p]) for p in kept)
-                known = self.known = {"": b""}
-            encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            for piece, e in zip(new, encoded):
-                ids = np.array(e.ids, dtype="<u4").tobytes()
-                if len(piece) <= 64 and len(known) < self.keep:
-                    known[piece] = ids
-                else:
-                    extra[piece] = ids
-        if not extra:
-            return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
-        return [b"".join([known[p] if p in known else extra[p] for p in pieces]) for pieces in cut]
+        firsts = self._encode([pieces[0] for pieces in cut])
+        flat = [p for pieces in cut for p in pieces]
+        ids: list[bytes | None] = list(map(self.known.get, flat))
+        if None in ids:
+            new = list({p for p, i in zip(flat, ids) if i is None})
+            if len(self.known) >= self.keep and len(new) * 4 > len(flat):
+                self.known = {}
+            fresh = dict(zip(new, self._encode([self.before + p for p in new])))
+            ids = [fresh[p] if i is None else i for p, i in zip(flat, ids)]
+            if len(self.known) < self.keep:
+                self.known.update((p, i) for p, i in fresh.items() if len(p) <= 64)
+        out, at = [], 0
+        for pieces, first in zip(cut, firsts):
+            out.append(b"".join([first, *ids[at + 1 : at + len(pieces)]]))
+            at += len(pieces)
+        return out
 
 
 @functools.lru_cache(maxsize=2)
