@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from veilmark.llm import exact_dedup, host_rules, license_scan, packing, token_planes, warc_zip
+from veilmark.llm import exact_dedup, host_rules, license_scan, near_dedup, packing, token_planes, warc_zip
 from veilmark.llm.common import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,6 +118,11 @@ def op6_warc_zip(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query()
+def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.groups(table(spark, folder, "documents")).drop("h")
+
+
 @query()
 def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.labels(table(spark, folder, "documents"))
