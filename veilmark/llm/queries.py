@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from veilmark.llm import exact_dedup, host_rules, license_scan, near_dedup, packing, token_planes, warc_zip
+from veilmark.llm import exact_dedup, host_rules, license_scan, near_dedup, packing, suffix_index, token_planes, warc_zip
 from veilmark.llm.common import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,11 @@ def op1_token_planes(spark: SparkSession, folder: str) -> DataFrame:
     return token_planes.read(manifest)
 
 
+@query()
+def op2_suffix_index(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_index.spans(table(spark, folder, "documents"))
+
+
 @query(
     r"""
     WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
