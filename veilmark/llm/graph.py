@@ -18,8 +18,8 @@ def _relabel(edges: DataFrame, parent: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``(node, comp)`` for every node of *edges* ``(a, b)``; ``comp`` is the smallest node reachable.
 
-    Each round every node points to its smallest neighbour, pointers are doubled until they
-    reach a root, and roots become the nodes of the next, smaller graph.  Paths and stars of
+    Each round every node points to its smallest neighbour, pointers are followed in threes until
+    they reach a root, and roots become the nodes of the next, smaller graph.  Paths and stars of
     any length take a logarithmic number of rounds.
     """
     cur = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
@@ -29,11 +29,11 @@ def components(edges: DataFrame) -> DataFrame:
         least = F.least(F.col("a"), F.min("b"))
         parent = cut(ways.groupBy("a").agg(least.alias("parent")).withColumnRenamed("a", "node"))
         while True:
-            up = parent.select(F.col("node").alias("parent"), F.col("parent").alias("up"))
-            jumped = cut(parent.join(up, "parent").select("node", F.col("up").alias("parent"), "parent").toDF(
-                "node", "parent", "before"))
-            settled = jumped.filter("parent <> before").isEmpty()
-            parent = jumped.select("node", "parent")
+            one = parent.select(F.col("node").alias("parent"), F.col("parent").alias("up"))
+            two = one.toDF("up", "top")
+            jumped = cut(parent.join(one, "parent").join(two, "up").select("node", "parent", "up", "top"))
+            settled = jumped.filter("parent <> up").isEmpty()
+            parent = jumped.select("node", F.col("top").alias("parent"))
             if settled:
                 break
         if total is None:
@@ -46,3 +46,15 @@ def components(edges: DataFrame) -> DataFrame:
     if total is None:
         return edges.sparkSession.createDataFrame([], "node bigint, comp bigint")
     return total
+
+
+def refine(comps: DataFrame, more: DataFrame) -> DataFrame:
+    """*comps* with the links *more* ``(a, b)`` added; only the ends of those links are worked on."""
+    for end in ("a", "b"):
+        side = comps.select(F.col("node").alias(end), F.col("comp").alias("_c"))
+        more = more.join(side, end, "left").withColumn(end, F.coalesce("_c", end)).drop("_c")
+    found = components(more)
+    outer = found.withColumnsRenamed({"node": "comp", "comp": "top"})
+    inner = comps.join(outer, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+    new = found.join(comps.select("node"), "node", "left_anti")
+    return cut(inner.unionByName(new))

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from veilmark.llm.common import (
     batches, bloom_cells, bloom_hits, bloom_words, cut, join_groups, mix, possibly_in, text_or_empty, word_hashes, words,
 )
-from veilmark.llm.graph import components
+from veilmark.llm.graph import components, refine
 
 SHINGLE = 5
 SIMILAR, OF = 75, 100
@@ -314,7 +314,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 # -- the operator ----------------------------------------------------------------------------------
 
 
-def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _components(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def checked(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         wanted = cut(classes.select("node", "rep", "h").join(ends, "node"))
@@ -322,17 +322,17 @@ def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> D
 
     buckets = buckets_of(classes)
     first = cut(prune(star_pairs(buckets), classes))
-    links = checked(first)
-    more = cut(open_pairs(buckets, components(links), classes).join(first, ["a", "b"], "left_anti"))
-    return links if more.isEmpty() else links.unionByName(checked(more))
+    comps = components(checked(first))
+    more = cut(open_pairs(buckets, comps, classes).join(first, ["a", "b"], "left_anti"))
+    return comps if more.isEmpty() else refine(comps, checked(more))
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept, h`` (``h``: hash of the text)."""
     rows = cut(profiles(docs, id_col, text_col))
     classes = classes_of(rows)
-    comps = components(_links(docs, classes, id_col, text_col))
-    named = cut(classes.join(comps, "node", "left").select("digest", "size", "rep", F.coalesce("comp", "node").alias("comp")))
+    comps = _components(docs, classes, id_col, text_col)
+    named = classes.join(comps, "node", "left").select("digest", "size", "rep", F.coalesce("comp", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = cut(named.join(least, "comp").select("digest", "size", "component_id"))
     linked = F.expr("n_shingles > 0 AND doc_id IS NOT NULL")
