@@ -1,27 +1,58 @@
-"""From raw documents to packed training sequences, stage by stage."""
+"""From raw documents to packed training sequences, stage by stage.
+
+Every stage takes ``(spark, docs, sf_dir)``, works on all rows of its predecessor and returns a
+DataFrame; its result is written as Parquet and read again as the next stage's input.  All
+stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilmark.llm import exact_dedup, host_rules
+from veilmark.llm import exact_dedup, host_rules, near_dedup, packing, suffix_index
 from veilmark.llm.common import shared_folder
+from veilmark.llm.queries import tokenizer
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules, or whose host fails as a whole, go."""
     return host_rules.clean(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the largest id stays."""
     return exact_dedup.dedup(docs)
 
 
-STAGES = [("quality rules", quality), ("exact dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the one with the smallest id stays."""
+    return near_dedup.dedup(docs)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 400 bytes that occur elsewhere are taken out of the texts; documents stay."""
+    return suffix_index.clean(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokenised pieces with their place in sequences of 2048 ids."""
+    return packing.pack(packing.tokenise(docs, tokenizer("word_bpe_49k.json"), "word"))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("exact dedup", exact),
+    ("near dedup", near),
+    ("suffix-array dedup", repeats),
+    ("best-fit packing", packed),
+]
+
+#: Near copies, repeated strings and a tokenizer's ids are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``; each result is written as Parquet and read again."""
+    """Apply all stages to ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = shared_folder(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):

@@ -54,7 +54,7 @@ def refine(comps: DataFrame, more: DataFrame) -> DataFrame:
         side = comps.select(F.col("node").alias(end), F.col("comp").alias("_c"))
         more = more.join(side, end, "left").withColumn(end, F.coalesce("_c", end)).drop("_c")
     found = components(more)
-    outer = found.withColumnsRenamed({"node": "comp", "comp": "top"})
+    outer = found.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
     inner = comps.join(outer, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
     new = found.join(comps.select("node"), "node", "left_anti")
     return cut(inner.unionByName(new))
