@@ -11,7 +11,7 @@ import pytest
 
 import corpus_pipeline
 from veilmark.llm import (
-    exact_dedup, graph, host_rules, license_scan, near_dedup, packing, piece_lattice, suffix_index, token_planes, warc_zip,
+    exact_dedup, graph, host_rules, license_scan, line_dedup, near_dedup, packing, piece_lattice, suffix_index, token_planes, warc_zip,
 )
 from veilmark.llm.common import shared_folder
 from veilmark.llm.queries import tokenizer
@@ -352,6 +352,34 @@ def test_license_join_is_exact(spark):
     assert got == want
 
 
+def test_line_dedup(spark, nothing):
+    rng = np.random.default_rng(9)
+    rows = [(None, " ".join(LOREM[:30])), (50, None), (51, ""), (52, "a b c d\na b c d")]
+    for k in range(40):
+        ls = []
+        for _ in range(3):
+            ws = list(LOREM[: 30 + 30 * int(rng.integers(3))])
+            for _ in range(int(rng.integers(5))):
+                ws[rng.integers(len(ws))] = f"n{rng.integers(60)}"
+            ls.append(" ".join(rng.permutation(ws)))
+        rows.append((k, "\n".join(ls)))
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    seen, want = [], {}
+    for i, t in order:
+        n = gone = 0
+        for line in (t or "").split("\n"):
+            s = set(line.split())
+            if len(s) >= line_dedup.MIN_TOKENS:
+                n += 1
+                gone += any(10 * len(s & o) >= 9 * len(s | o) for o in seen)
+                seen.append(s)
+        want[i] = (n, gone)
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: (r.n_lines, r.n_removed) for r in line_dedup.summary(frame).collect()}
+    assert got == want and sum(g for _, g in want.values()) > 10
+    assert line_dedup.summary(nothing).count() == 0
+
+
 def test_piece_lattice(spark, docs, nothing):
     from pyspark.sql import functions as F
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from veilmark.llm import exact_dedup, host_rules, license_scan, near_dedup, packing, piece_lattice, suffix_index, token_planes, warc_zip
+from veilmark.llm import exact_dedup, host_rules, license_scan, line_dedup, near_dedup, packing, piece_lattice, suffix_index, token_planes, warc_zip
 from veilmark.llm.common import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,6 +128,11 @@ def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.groups(table(spark, folder, "documents")).drop("h")
 
 
+@query()
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.summary(table(spark, folder, "documents"))
+
+
 @query()
 def op9_piece_lattice(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations")
