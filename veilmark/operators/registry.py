@@ -22,7 +22,6 @@ from veilmark.operators.common import cut
 
 COLUMNS = ["value", "etype", "token", "kind", "n", "restorable", "active", "batch", "seq"]
 NUMBERED = (E.PERSON, E.PLAIN, E.TOKEN)
-MAX_ALIAS_DEPTH = 10
 
 
 class AliasDepthError(RuntimeError):
@@ -130,13 +129,16 @@ def link(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Resolve aliases and correlated e-mails through their anchors.
 
     An anchor may itself be an alias of an earlier row, so the join repeats until nothing
-    is open; usually once.
+    is open: once per link of the longest chain, usually once.
     """
     rows = cut(rows)
     pending = F.col("token").isNull()
-    for _ in range(MAX_ALIAS_DEPTH):
-        if rows.filter(pending).isEmpty():
-            return rows
+    before = None
+    while still := rows.filter(pending).count():
+        # Every round settles at least the next link of each chain.
+        if still == before:
+            raise AliasDepthError(f"{still} aliases follow each other in a circle or have no anchor")
+        before = still
         lookup = rows.filter(~pending).select(F.col("value").alias("anchor"), F.col("token").alias("via"))
         if known is not None:
             lookup = lookup.unionByName(
@@ -149,9 +151,7 @@ def link(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
             .select(*rows.columns)
         )
         rows = cut(rows.filter(~pending).unionByName(resolved))
-    if rows.filter(pending).isEmpty():
-        return rows
-    raise AliasDepthError(f"aliases still open after {MAX_ALIAS_DEPTH} rounds")
+    return rows
 
 
 def overwrite_usernames(rows: DataFrame, usernames: DataFrame, known: DataFrame | None) -> DataFrame:
