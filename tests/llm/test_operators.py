@@ -268,9 +268,29 @@ def test_near_dedup(spark, docs, nothing):
     assert near_dedup.groups(docs).count() == len(ROWS)
 
 
+def test_bitmaps_lose_no_link():
+    rng = np.random.default_rng(8)
+    sets = []
+    for size in (1, 2, 7, 40, 300, 3000):
+        base = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        for share in (0, 0.05, 0.14, 0.15, 0.3, 0.9):
+            changed = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+            sets.append(np.unique(np.where(rng.random(size) < share, changed, base)))
+            sets.append(sets[-1][: -(-len(sets[-1]) * 3 // 4)])
+    maps = near_dedup.bitmaps(sets)
+    dropped = 0
+    for one, a in zip(sets, maps):
+        for other, reach in zip(sets, near_dedup.within_reach(a, maps)):
+            both = len(np.intersect1d(one, other))
+            assert reach or 100 * both < 75 * (len(one) + len(other) - both)
+            dropped += not reach
+    assert dropped > len(sets)
+
+
 def test_open_pairs_meets_all_blocks(spark):
     rng = np.random.default_rng(2)
     sig = rng.integers(-(1 << 62), 1 << 62, near_dedup.BANDS).tolist()
+    sig += near_dedup.bitmaps([np.arange(20, dtype=np.uint64)])[0].tolist()
     classes = spark.createDataFrame([(i, sig) for i in range(40)], "node bigint, sig array<bigint>")
     buckets = spark.createDataFrame([(1, i, 40) for i in range(40)], "bucket bigint, node bigint, n bigint")
     comps = spark.createDataFrame([(i, 0) for i in range(35)], "node bigint, comp bigint")

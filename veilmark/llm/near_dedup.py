@@ -6,7 +6,9 @@
 3.  Candidates are compared 32 minima at a time.  After each batch the chance that a pair with so
     many agreements still has the wanted similarity is known (beta posterior under a uniform
     prior); below ``MISS`` the pair is dropped.
-4.  Survivors are checked on the full sets.  Checked links are the only ones that count.
+4.  A pair goes no further if the parity bitmaps of its sets differ in more bits than similar sets
+    may in shingles; this loses no link.
+5.  Survivors are checked on the full sets.  Checked links are the only ones that count.
 
 Groups are what is asked for, not pairs.  First every member of a bucket is compared with the
 bucket's smallest and largest class only.  Links found this way join most classes of a bucket;
@@ -44,6 +46,7 @@ SIMILAR, OF = 75, 100
 BANDS, ROWS = 32, 4
 MINIMA = BANDS * ROWS
 BATCH = 32
+BITS = 512
 MISS = 1e-6
 BLOCK = 1024
 
@@ -74,6 +77,21 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Per set ``BITS`` bits, each the parity of the set's hashes that fall on it, and the set's size."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    cells = (np.concatenate(sets) % np.uint64(BITS)).astype(np.int64) + np.repeat(np.arange(len(sets)) * BITS, sizes)
+    odd = (np.bincount(cells, minlength=len(sets) * BITS) & 1).astype(np.uint8).reshape(-1, BITS)
+    return np.concatenate([np.packbits(odd, axis=1).view(np.int64), sizes[:, None]], axis=1)
+
+
+def within_reach(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which pairs of rows of ``bitmaps`` may be similar enough: sets differ in no fewer shingles than bits."""
+    differ = np.bitwise_count((one[..., :-1] ^ other[..., :-1]).view(np.uint64)).sum(axis=-1, dtype=np.int64)
+    differ = np.maximum(differ, np.abs(one[..., -1] - other[..., -1]))
+    return (OF + SIMILAR) * differ <= (OF - SIMILAR) * (one[..., -1] + other[..., -1])
+
+
 def least_agreement(similar: float = SIMILAR / OF, miss: float = MISS) -> list[tuple[int, int]]:
     """``(minima compared, agreements below which the pair is dropped)`` after each batch.
 
@@ -110,7 +128,7 @@ def agreeing(one: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, h, n_shingles, digest, sig``; ``sig`` packs the four minima of a band into a number."""
+    """``doc_id, h, n_shingles, digest, sig``: the minima, four of a band in a number, then the bitmap and size."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
@@ -119,7 +137,7 @@ def profiles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for a, b in batches(texts):
                 sets = [shingle_set(words(t, lower=True)) for t in texts[a:b]]
                 full = [s for s in sets if len(s)]
-                found = iter(signatures(full).view(np.int64) if full else ())
+                found = iter(np.concatenate([signatures(full).view(np.int64), bitmaps(full)], axis=1) if full else ())
                 for s in sets:
                     counts.append(len(s))
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
@@ -151,7 +169,7 @@ def classes_of(rows: DataFrame) -> DataFrame:
 
 def buckets_of(classes: DataFrame) -> DataFrame:
     """``bucket, node, n, lo, hi`` of all buckets with two classes or more."""
-    keys = F.transform("sig", lambda v, i: F.xxhash64(i, v))
+    keys = F.transform(F.slice("sig", 1, BANDS), lambda v, i: F.xxhash64(i, v))
     members = classes.select("node", F.explode(keys).alias("bucket"))
     shared = cut(
         members.groupBy("bucket")
@@ -163,17 +181,18 @@ def buckets_of(classes: DataFrame) -> DataFrame:
 
 
 def prune(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` that pass all batches of minima."""
+    """The pairs ``(a, b)`` that pass all batches of minima and the bitmaps."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             n = batch.num_rows
-            one, other = (_minima(batch.column(i), n) for i in (2, 3))
+            (one, one_map), (other, other_map) = (_unpacked(batch.column(i), n) for i in (2, 3))
             hits, done, stay = np.zeros(n, np.int64), 0, np.ones(n, bool)
             for upto, least in _LEAST:
                 hits[stay] += (one[stay, done:upto] == other[stay, done:upto]).sum(axis=1)
                 stay &= hits >= least
                 done = upto
+            stay[stay] = within_reach(one_map[stay], other_map[stay])
             yield batch.select([0, 1]).filter(pa.array(stay))
 
     def side(end: str) -> DataFrame:
@@ -183,9 +202,10 @@ def prune(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a bigint, b bigint")
 
 
-def _minima(column: pa.Array, n: int) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return np.ascontiguousarray(flat).view(np.uint16).reshape(n, MINIMA)
+def _unpacked(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The minima and the bitmaps of *n* signatures."""
+    rows = column.flatten().to_numpy(zero_copy_only=False).reshape(n, BANDS + BITS // 64 + 1)
+    return np.ascontiguousarray(rows[:, :BANDS]).view(np.uint16), np.ascontiguousarray(rows[:, BANDS:])
 
 
 def star_pairs(buckets: DataFrame) -> DataFrame:
@@ -243,7 +263,7 @@ def _meet(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     values, counts = np.unique(comp, return_counts=True)
     if len(values) < 2:
         return
-    minima = _minima(group.column(6), len(node))
+    minima, maps = _unpacked(group.column(6), len(node))
     # Members of the largest component need no turn of their own: the others come to them.
     main = comp == values[counts.argmax()]
     outside = np.flatnonzero(~main)
@@ -256,6 +276,7 @@ def _meet(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             partners &= own != own[k]
         index = np.flatnonzero(partners)
         near = index[agreeing(minima[k], minima[index])]
+        near = near[within_reach(maps[k], maps[near])]
         a_out.append(np.minimum(node[k], node[near]))
         b_out.append(np.maximum(node[k], node[near]))
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], names=["a", "b"])
