@@ -71,6 +71,11 @@ def test_output_names(spark):
         ("IBAN_CODE", "GB29NWBK60161331926819 and GB30NWBK60161331926819, DE89 3704 0044 0532 0130 00", ["GB29NWBK60161331926819", "DE89 3704 0044 0532 0130 00"]),
         ("MAC_ADDRESS", "00:1A:2B:3C:4D:5E", ["00:1A:2B:3C:4D:5E"]),
         ("AMOUNT", "cost $52,340 or 12.50 EUR or € 3", ["$52,340", "12.50 EUR"]),
+        ("EMAIL", "x " + "ab" * 40 + "@mail.example.com end", ["ab" * 40 + "@mail.example.com"]),
+        ("EMAIL", "j@a1.b2.c3.d4.e5.f6.g7.h8.i9.example.com", ["j@a1.b2.c3.d4.e5.f6.g7.h8.i9.example.com"]),
+        ("EMAIL", "a@b.com-x@y.com", ["a@b.com", "-x@y.com"]),
+        ("AMOUNT", "5$20 and $12345678901234567890 or 1234567890123456789 EUR", ["$20", "$12345678901234567890", "1234567890123456789 EUR"]),
+        ("DOMAIN", "at a.b.c.d.e.f.g.h.i.j.example.com", ["a.b.c.d.e.f.g.h.i.j.example.com"]),
     ],
 )
 def test_rules(spark, etype, text, found):
@@ -80,6 +85,21 @@ def test_rules(spark, etype, text, found):
     assert all(text[s["start"]:s["end"]] == s["value"] for s in spans)
 
 
+@pytest.mark.parametrize("etype", [r.etype for r in P.PATTERN_RULES.values() if r.fast])
+def test_fast_forms_find_the_same(spark, etype):
+    rule, rng = P.PATTERN_RULES[etype], random.Random(5)
+    texts = [("".join(rng.choices(["a", "com", "co", ".", "@", "-", "1", "25", ",50", "$", " EUR", " "], k=40)),) for _ in range(800)]
+    df = spark.createDataFrame(texts, "t string")
+    found = [f"regexp_extract_all(t, {SP.lit(form)}, 0)" for form in (rule.fast, rule.pattern)]
+    assert df.filter(F.expr(f"{found[0]} <> {found[1]}")).count() == 0
+    assert df.filter(F.expr(f"size({found[1]}) > 0")).count() > 10
+
+
+def test_long_runs_are_quick(spark):
+    df = spark.createDataFrame([("a1" * 200_000 + " b@c.example.com",)], "t string")
+    assert df.select(F.expr(SP.rule_spans("t", P.PATTERN_RULES["EMAIL"])).alias("s")).first()["s"][0]["value"] == "b@c.example.com"
+
+
 def test_offsets_beyond_one_block(spark):
     text = " ".join(f"é{i} u{i}@mail.example.com" for i in range(700))
     df = spark.createDataFrame([(text,)], "t string")

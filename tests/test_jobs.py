@@ -42,6 +42,22 @@ def test_dictionary_ways_agree(spark, memo, roster, changes):
     assert text_of(got.df) == text_of(wanted.df)
 
 
+@pytest.mark.parametrize("limit", [0, 64])
+def test_letters_fold_alike_in_all_dictionary_ways(spark, limit):
+    docs = spark.createDataFrame([(1, "a ma\u017fter, MASTER and m\u0130x")], "id int, text string")
+    settings = V.Settings(company_terms=["master", "mix"], small_dictionary_terms=limit)
+    text = V.pseudonymise_text(docs, "text", ["id"], settings).df.first()["text"]
+    assert text == "a [COMPANY_1], [COMPANY_2] and [COMPANY_3]"
+
+
+@pytest.mark.parametrize("bound", [0, 32 << 20])
+def test_rows_that_repeat_a_key_keep_their_own_tokens(spark, bound):
+    rows = spark.createDataFrame([(1, "x1"), (1, "x2"), (2, "x2")], "id int, user_id string")
+    run = V.pseudonymise_table(rows, key=["id"], settings=V.Settings(broadcast_bytes=bound), anchor="user_id")
+    tokens = {r["value"]: r["token"] for r in run.registry.collect()}
+    assert sorted(map(tuple, run.df.collect())) == sorted([(1, tokens["x1"]), (1, tokens["x2"]), (2, tokens["x2"])])
+
+
 def test_large_maps_leave_texts_without_hits_alone(spark):
     rows = [(i, f"mail u{i % 7}@a.example.com" if i % 3 else "nothing") for i in range(60)] + [(60, None)]
     df = spark.createDataFrame(rows, "id int, text string").repartition(5)

@@ -8,6 +8,7 @@ from veilmark import Settings, pseudonymise_table
 from veilmark.operators import events as E
 from veilmark.operators import registry as REG
 from veilmark.operators import roster as ROS
+import veilmark as V
 from veilmark.sources import registry_store as STORE
 
 MASKS = {"PERSON": {}, "CREDIT_CARD": {}}
@@ -89,10 +90,21 @@ def test_continuation(spark, tmp_path):
     both = loaded.unionByName(second)
     third = REG.build(people(spark, "Last One"), previous=both)
     assert forward(third)["Last One"] == "[PERSON_5]"
+    STORE.save(both, path)
+    STORE.save(STORE.load(spark, path).unionByName(third), path)
+    assert STORE.load(spark, path).count() == both.count() + third.count()
     STORE.clear(spark, path)
     assert STORE.load(spark, path).count() == 0
 
 
+def test_roster_without_positions(spark):
+    names = spark.createDataFrame([("Cy Fox",), ("Ann Lee",), ("Bob Ray",)], "full_name string")
+    docs = spark.createDataFrame([(1, "Lee met Bob Ray")], "id int, text string")
+    result = V.pseudonymise_text(docs, "text", ["id"], V.Settings(roster=names))
+    tokens = {r["value"]: r["token"] for r in result.registry.collect()}
+    assert [tokens[v] for v in ("Ann Lee", "Lee", "Bob", "Fox")] == ["[PERSON_1]", "[PERSON_1_LAST]", "[PERSON_2_FIRST]", "[PERSON_3_LAST]"]
+
+
 def test_range_numbering_equals_window(spark):
     rnd = random.Random(1)
     names = [" ".join(rnd.sample("ann bea cy dan eva fay".split(), rnd.choice([1, 2, 2]))) for _ in range(300)]

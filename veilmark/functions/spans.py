@@ -107,7 +107,7 @@ CHECKS = {"is_ipv4": is_ipv4, "is_domain": is_domain, "is_card": is_card, "is_ib
 
 
 def rule_spans(text: str, rule: PatternRule) -> str:
-    hits = find_all(text, lit(rule.pattern), rule.hint, rule.guard)
+    hits = find_all(text, lit(rule.fast or rule.pattern), rule.hint, rule.guard)
     if rule.check is not None:
         hits = f"filter({hits}, c -> {CHECKS[rule.check]('c.value')})"
     return as_spans(hits, lit(rule.etype), rule.score)

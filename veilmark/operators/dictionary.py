@@ -161,10 +161,20 @@ def _finder(shared):
     return _LAST[1]
 
 
+class _Folded(dict):
+    def __missing__(self, code: int) -> str:
+        upper = chr(code).upper()
+        # The one letter with a longer lower case is the dotted capital I, which folds to its base.
+        self[code] = (upper if len(upper) == 1 else chr(code)).lower()[0]
+        return self[code]
+
+
+_FOLDED = _Folded()
+
+
 def _fold(text: str) -> str:
-    """Lower case that keeps every character's position."""
-    low = text.lower()
-    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    """Case folding letter by letter, as in the ``(?iu)`` patterns, so positions stay."""
+    return text.lower() if text.isascii() else text.translate(_FOLDED)
 
 
 def _build_finder(terms):

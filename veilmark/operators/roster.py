@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 
 from veilmark.functions import scalars as S
 from veilmark.operators import events as E
+from veilmark.operators.common import cut
 
 
 class RosterError(ValueError):
@@ -54,12 +55,26 @@ def _source(roster: DataFrame):
     return F.col("source") if "source" in roster.columns else F.lit(0)
 
 
+def placed(roster: DataFrame) -> DataFrame:
+    """``source, pos, full_name, email, username`` with a position of its own for every entry.
+
+    Entries follow each other by source, position and name; missing columns count as NULL
+    and entries without a position come last.  Ids grow along a global sort.
+    """
+    kinds = {"source": "bigint", "pos": "bigint", "full_name": "string", "email": "string", "username": "string"}
+    whole = roster.select(
+        *[(F.col(c) if c in roster.columns else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()]
+    ).withColumn("source", F.coalesce("source", F.lit(0)))
+    ordered = whole.orderBy("source", F.col("pos").asc_nulls_last(), "full_name", "username")
+    return cut(ordered.withColumn("pos", F.monotonically_increasing_id()))
+
+
 def events(roster: DataFrame, order: StructType) -> DataFrame:
-    """Phase-0 events: each full name, then its user name as an alias of it."""
+    """Phase-0 events of a placed roster: each full name, then its user name as an alias of it."""
     name, user = S.strip(F.col("full_name")), F.nullif(S.strip(F.col("username")), F.lit(""))
     nothing = F.lit(None).cast(order)
     # Two rosters never share a position: the source goes into the high digits.
-    src = _source(roster).cast("bigint") * F.lit(1 << 48) + F.coalesce(F.col("pos"), F.lit(0))
+    src = _source(roster).cast("bigint") * F.lit(1 << 48) + F.col("pos")
 
     def event(value, kind, anchor, rank):
         return F.struct(

@@ -233,7 +233,8 @@ def apply_tokens(
         if name in in_place:
             return f"coalesce(CASE WHEN NOT {exempt} THEN {in_place[name]} END, {cell})"
         own = f"filter(_entries, e -> e.col = {place[name]})"
-        whole = f"try_element_at(transform(filter({own}, e -> e.whole), e -> e.token), 1)"
+        # By value as well, so rows that repeat a key do not get each other's tokens.
+        whole = f"try_element_at(transform(filter({own}, e -> e.whole AND e.value = {text}), e -> e.token), 1)"
         if plan.roles[name] != SCANNED:
             return f"coalesce(CASE WHEN NOT {exempt} THEN {whole} END, {cell})"
         i = place[name]

@@ -20,7 +20,7 @@ from veilmark.sources.tables import POSITION, numbered_lines, parse_lines, sniff
 READ_SUFFIXES = (".txt", ".eml", ".csv", ".json")
 MAX_LAYOUTS = 200
 ORDER = ["_place", "_block", "_line"]
-JSON_GLOB = "*.{json,JSON,Json}"
+JSON_GLOB = "*.[jJ][sS][oO][nN]"
 
 
 @dataclass(frozen=True)
@@ -41,7 +41,7 @@ def _texts(spark: SparkSession, found: DataFrame, path: str, recursive: bool) ->
     raw = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", str(recursive).lower())
-        .option("pathGlobFilter", "*.{txt,TXT,Txt,eml,EML,Eml}")
+        .option("pathGlobFilter", "*.{[tT][xX][tT],[eE][mM][lL]}")
         .load(path)
         .join(found.select("path", "suffix"), "path")
     )

@@ -102,8 +102,9 @@ def run(
     linked = any(p.linked for p in parts.values())
     usernames = None
     if settings.roster is not None:
-        events = ROS.events(settings.roster, order).unionByName(events)
-        usernames, bound = ROS.usernames(settings.roster), None
+        roster = ROS.placed(settings.roster)
+        events = ROS.events(roster, order).unionByName(events)
+        usernames, bound = ROS.usernames(roster), None
     added = cut(
         REG.build(
             events, settings.active_masks, bound=bound, previous=previous, usernames=usernames,
