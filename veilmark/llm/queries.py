@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from veilmark.llm import exact_dedup, host_rules, license_scan, line_dedup, near_dedup, packing, piece_lattice, suffix_index, token_planes, warc_zip
+from veilmark.llm import exact_dedup, host_rules, license_scan, line_dedup, near_dedup, packing, periodic, piece_lattice, suffix_index, token_planes, warc_zip
 from veilmark.llm.common import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,8 @@ def op9_piece_lattice(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.labels(table(spark, folder, "documents"))
+
+
+@query()
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.digests(periodic.runs(periodic.plant(table(spark, folder, "documents"))))
