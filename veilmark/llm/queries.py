@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from veilmark.llm import exact_dedup, host_rules, license_scan, line_dedup, near_dedup, packing, periodic, piece_lattice, suffix_index, token_planes, warc_zip
+from veilmark.llm import exact_dedup, host_rules, license_scan, line_dedup, mixing, near_dedup, packing, periodic, piece_lattice, suffix_index, token_planes, warc_zip
 from veilmark.llm.common import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,31 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic.digests(periodic.runs(periodic.plant(table(spark, folder, "documents"))))
+
+
+@query(
+    r"""
+    WITH d AS (
+      SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+        md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS turn
+      FROM documents),
+    s AS (SELECT source, CAST(sum(size) AS BIGINT) AS words FROM d GROUP BY 1),
+    w AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM s),
+    p AS (SELECT *,
+        coalesce(sum(3 * words) OVER o, 0) AS given, coalesce(sum(weight) OVER o, 0) AS used,
+        sum(words) OVER () AS all_words, sum(weight) OVER () AS all_weight
+      FROM w WINDOW o AS (ORDER BY 3.0 * words / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    l AS (SELECT max(CAST(all_words - given AS DOUBLE) / CAST(all_weight - used AS DOUBLE)) AS reached FROM p),
+    t AS (SELECT source, words, least(words * CAST(3 AS DOUBLE), weight * reached) AS target FROM w, l),
+    a AS (SELECT d.doc_id, d.size, t.words, t.target, CAST(floor(t.target) AS BIGINT) AS quota,
+        coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+    SELECT doc_id, size, words AS source_size, target, CAST(
+        greatest(0, least(start + size, quota) - start)
+        + greatest(0, least(start + words + size, quota) - start - words)
+        + greatest(0, least(start + 2 * words + size, quota) - start - 2 * words) AS BIGINT) AS taken
+    FROM a
+    """
+)
+def op12_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.taken(table(spark, folder, "documents"))
