@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from veilmark.llm import exact_dedup, host_rules, license_scan, line_dedup, mixing, near_dedup, packing, periodic, piece_lattice, suffix_index, token_planes, warc_zip
+from veilmark.llm import exact_dedup, hard_negatives, host_rules, license_scan, line_dedup, mixing, near_dedup, packing, periodic, piece_lattice, suffix_index, token_planes, warc_zip
 from veilmark.llm.common import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,3 +175,38 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op12_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken(table(spark, folder, "documents"))
+
+
+@query(
+    """
+    WITH v AS (
+      SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+      FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (
+      SELECT a.r AS anchor, a.vec_id AS anchor_id, a.label AS anchor_label, v.r, v.vec_id, v.label,
+        CAST(list_dot_product(a.q, v.q) AS BIGINT) AS score
+      FROM v AS a CROSS JOIN v WHERE a.vec_id % 100 = 0 AND a.r <> v.r),
+    p AS (
+      SELECT anchor, anchor_id, r, vec_id AS positive_id, score AS positive_score FROM s WHERE label = anchor_label
+      QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) <= 5),
+    n AS (
+      SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+        row_number() OVER (PARTITION BY p.anchor, p.r ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM p JOIN s ON p.anchor = s.anchor AND s.label <> s.anchor_label
+        AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score)
+    SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+    FROM n WHERE rank <= 5
+    """
+)
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double"))
+    return hard_negatives.mine(
+        vectors.filter(hard_negatives.usable("embedding")).select(
+            F.col("vec_id").alias("id"), label.alias("label"), whole.alias("vector"), (F.col("vec_id") % 100 == 0).alias("anchor")
+        )
+    )
