@@ -166,3 +166,44 @@ def test_username_overwrites(spark):
     assert got["Ann Bo"] == "[PERSON_2]" and got["x"] == "[PERSON_3]"
     back = {r["token"]: r["value"] for r in REG.reverse(registry).collect()}
     assert back["[PERSON_1]"] == "Ann Bo" and back["[PERSON_2]"] == "Cy Di"
+
+
+def chain_rows(n):
+    """Each row's anchor is the alias the row before has registered."""
+    return [(i, f"v{i}", f"v{i + 1}") for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [1, 24, 100, 5000])
+def test_alias_chains_of_any_length(spark, n):
+    df = spark.createDataFrame(chain_rows(n), "i int, user string, login string").repartition(4)
+    out = pseudonymise_table(df, ["i"], Settings(correlated_fields=("login",)), scan=[])
+    assert {(r.user, r.login) for r in out.df.collect()} == {("[PERSON_1]", "[PERSON_1]")}
+    assert out.registry.count() == n + 1
+
+
+def test_mail_inside_a_chain(spark):
+    rows = [(0, "Ann Lee", "ann"), (1, "ann", "a@x.example.com"), (2, "a@x.example.com", "desk"), (3, "desk", "d@x.example.com")]
+    df = spark.createDataFrame(rows, "i int, user string, login string")
+    out = pseudonymise_table(df, ["i"], Settings(correlated_fields=("login",)), scan=[]).df.orderBy("i").collect()
+    assert [(r.user, r.login) for r in out] == [
+        ("[PERSON_1]", "[PERSON_1]"), ("[PERSON_1]", "[EMAIL_PERSON_1]"),
+        ("[EMAIL_PERSON_1]", "[EMAIL_PERSON_1]"), ("[EMAIL_PERSON_1]", "[EMAIL_PERSON_1]"),
+    ]
+
+
+def linked(spark, rows):
+    """Registry rows ``(value, kind, anchor, token)`` as :func:`REG.link` takes them."""
+    df = spark.createDataFrame(rows, "value string, kind string, anchor string, token string")
+    return df.selectExpr("value", "'PERSON' AS etype", "token", "kind", "0L AS n", "anchor", "struct(value) AS seq")
+
+
+def test_link_reports_circles_and_lost_anchors(spark):
+    ring = [("a", E.ALIAS, "b", None), ("b", E.ALIAS, "c", None), ("c", E.ALIAS, "a", None), ("r", E.PERSON, None, "[PERSON_1]")]
+    with pytest.raises(REG.AliasDepthError, match="circle"):
+        REG.link(linked(spark, ring))
+    with pytest.raises(REG.AliasDepthError, match="no anchor"):
+        REG.link(linked(spark, [("a", E.ALIAS, "gone", None)]))
+    known = spark.createDataFrame([("old", "[PERSON_7]")], "value string, token string")
+    rows = [("x@y.example.com", E.EMAIL_OF, "mid", None), ("mid", E.ALIAS, "old", None)]
+    got = {r.value: r.token for r in REG.link(linked(spark, rows), known).collect()}
+    assert got == {"x@y.example.com": "[EMAIL_PERSON_7]", "mid": "[PERSON_7]"}

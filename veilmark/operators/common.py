@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stage(df: DataFrame) -> DataFrame:
+    """Write *df* as a table in the shared checkpoint folder and read it back.
+
+    Unlike :func:`cut`, whose result keeps the size estimate of the plan it came from, the new plan knows
+    the true size.  Loops need this: estimates that multiply with every join grow without bound.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def measure(df: DataFrame, *columns: str) -> tuple[int, int]:
     """(rows, bytes) of *df*, counting the given string columns plus a row overhead."""
     size: Column = F.lit(48)

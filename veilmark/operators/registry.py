@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from veilmark.functions import scalars as S
 from veilmark.operators import events as E
-from veilmark.operators.common import cut
+from veilmark.operators.common import cut, stage
 
 COLUMNS = ["value", "etype", "token", "kind", "n", "restorable", "active", "batch", "seq"]
 NUMBERED = (E.PERSON, E.PLAIN, E.TOKEN)
@@ -118,40 +118,57 @@ def tokens(masks: dict) -> Column:
     )
 
 
-def _follow(anchor_token: Column) -> Column:
-    """What a linked value becomes once its anchor's token is known."""
+def _follow(anchor_token: Column, mail: Column) -> Column:
+    """What a linked value becomes, given the token at the end of its chain; *mail*: an e-mail is on the way."""
     n = S.person_number(anchor_token)
-    mail = (F.col("kind") == E.EMAIL_OF) & n.isNotNull()
-    return F.when(mail, S.email_token(n)).otherwise(anchor_token)
+    return F.when(mail & n.isNotNull(), S.email_token(n)).otherwise(anchor_token)
 
 
 def link(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Resolve aliases and correlated e-mails through their anchors.
 
-    An anchor may itself be an alias of an earlier row, so the join repeats until nothing
-    is open: once per link of the longest chain, usually once.
+    An anchor may itself be an alias of an earlier row.  Every open row points to its anchor, and
+    while some anchors are open, each pointer is exchanged for the pointer found there, which
+    doubles its reach: a chain of n links takes log2(n) rounds.  On the way a row notes whether an
+    e-mail stands between it and the end, since that turns a person's token into the token of its
+    addresses.  Every round starts from a written table, so plans stay as small as the data.
     """
-    rows = cut(rows)
-    pending = F.col("token").isNull()
-    before = None
-    while still := rows.filter(pending).count():
-        # Every round settles at least the next link of each chain.
-        if still == before:
-            raise AliasDepthError(f"{still} aliases follow each other in a circle or have no anchor")
-        before = still
-        lookup = rows.filter(~pending).select(F.col("value").alias("anchor"), F.col("token").alias("via"))
-        if known is not None:
-            lookup = lookup.unionByName(
-                known.select(F.col("value").alias("anchor"), F.col("token").alias("via"))
+    rows = stage(rows)
+    columns, pending = rows.columns, F.col("token").isNull()
+    way = stage(
+        rows.filter(pending).select("value", "anchor", F.col("anchor").alias("to"), (F.col("kind") == E.EMAIL_OF).alias("mail"))
+    )
+    n_open = way.count()
+    if not n_open:
+        return rows
+    reach = 1
+    while True:
+        further = way.select(F.col("value").alias("to"), F.col("to").alias("_to"), F.col("mail").alias("_mail"))
+        moved = stage(
+            way.join(further, "to", "left").select(
+                "value", "anchor", F.coalesce("_to", "to").alias("to"),
+                (F.col("mail") | F.coalesce("_mail", F.lit(False))).alias("mail"), F.col("_to").isNotNull().alias("moved"),
             )
-        resolved = (
-            rows.filter(pending)
-            .join(lookup, "anchor", "left")
-            .withColumn("token", F.when(F.col("via").isNotNull(), _follow(F.col("via"))))
-            .select(*rows.columns)
         )
-        rows = cut(rows.filter(~pending).unionByName(resolved))
-    return rows
+        way = moved.drop("moved")
+        still = moved.agg(F.count_if("moved")).first()[0]
+        if not still:
+            break
+        # A pointer that still moves after more steps than there are open rows goes round.
+        reach *= 2
+        if reach > 2 * n_open:
+            raise AliasDepthError(f"{still} aliases follow each other in a circle")
+    lookup = rows.filter(~pending).select(F.col("value").alias("to"), F.col("token").alias("via"))
+    if known is not None:
+        lookup = lookup.unionByName(known.select(F.col("value").alias("to"), F.col("token").alias("via")))
+    found = stage(way.join(lookup, "to", "left").select("value", "via", "mail"))
+    lost = found.filter(F.col("via").isNull()).count()
+    if lost:
+        raise AliasDepthError(f"{lost} aliases have no anchor")
+    resolved = rows.filter(pending).drop("token").join(
+        found.select("value", _follow(F.col("via"), F.col("mail")).alias("token")), "value"
+    )
+    return rows.filter(~pending).unionByName(resolved.select(*columns))
 
 
 def overwrite_usernames(rows: DataFrame, usernames: DataFrame, known: DataFrame | None) -> DataFrame:

@@ -462,6 +462,27 @@ def correlated_alias(spark, folder):
     return jobs.pseudonymise_table(contacts, ["o_orderkey"], settings, scan=[]).df
 
 
+CHAIN = 2500
+
+
+@query(
+    f"""
+    WITH src AS (SELECT event_id, event_id // {CHAIN} AS c FROM events),
+    n AS (SELECT c, row_number() OVER (ORDER BY c) AS n FROM src GROUP BY c)
+    SELECT event_id, '[PERSON_' || n || ']' AS badge, '[PERSON_' || n || ']' AS next_badge FROM src JOIN n USING (c)"""
+)
+def alias_chain(spark, folder):
+    """Every row ties the next row's badge to its own: chains of thousands of links share one token."""
+    k = F.col("event_id")
+    last = (k + 1) % CHAIN == 0
+    src = table(spark, folder, "events").select(
+        "event_id", F.concat(F.lit("v"), k.cast("string")).alias("badge"),
+        F.when(last, F.concat(F.lit("end"), k.cast("string"))).otherwise(F.concat(F.lit("v"), (k + 1).cast("string"))).alias("next_badge"),
+    )
+    settings = Settings(anchor_field="badge", correlated_fields=("next_badge",))
+    return jobs.pseudonymise_table(src, ["event_id"], settings, scan=[]).df
+
+
 @query(
     """
     WITH src AS (SELECT event_id AS k, CASE WHEN value < 10 THEN NULL ELSE CAST(user_id AS VARCHAR) END AS anchor,
