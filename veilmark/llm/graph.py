@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import cut
+from veilmark.operators.common import stage
 
 
 def _relabel(edges: DataFrame, parent: DataFrame) -> DataFrame:
@@ -20,18 +20,19 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round every node points to its smallest neighbour, pointers are followed in threes until
     they reach a root, and roots become the nodes of the next, smaller graph.  Paths and stars of
-    any length take a logarithmic number of rounds.
+    any length take a logarithmic number of rounds.  Every round starts from a written table, so the
+    plans of later rounds are no larger than those of the first.
     """
-    cur = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
+    cur = stage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
     total = None
     while not cur.isEmpty():
         ways = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = F.least(F.col("a"), F.min("b"))
-        parent = cut(ways.groupBy("a").agg(least.alias("parent")).withColumnRenamed("a", "node"))
+        parent = stage(ways.groupBy("a").agg(least.alias("parent")).withColumnRenamed("a", "node"))
         while True:
             one = parent.select(F.col("node").alias("parent"), F.col("parent").alias("up"))
             two = one.toDF("up", "top")
-            jumped = cut(parent.join(one, "parent").join(two, "up").select("node", "parent", "up", "top"))
+            jumped = stage(parent.join(one, "parent").join(two, "up").select("node", "parent", "up", "top"))
             settled = jumped.filter("parent <> up").isEmpty()
             parent = jumped.select("node", F.col("top").alias("parent"))
             if settled:
@@ -41,8 +42,8 @@ def components(edges: DataFrame) -> DataFrame:
         else:
             again = parent.withColumnRenamed("node", "comp")
             total = total.join(again, "comp", "left").select("node", F.coalesce("parent", "comp").alias("comp"))
-        total = cut(total)
-        cur = cut(_relabel(cur, parent))
+        total = stage(total)
+        cur = stage(_relabel(cur, parent))
     if total is None:
         return edges.sparkSession.createDataFrame([], "node bigint, comp bigint")
     return total
@@ -57,4 +58,4 @@ def refine(comps: DataFrame, more: DataFrame) -> DataFrame:
     outer = found.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
     inner = comps.join(outer, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
     new = found.join(comps.select("node"), "node", "left_anti")
-    return cut(inner.unionByName(new))
+    return stage(inner.unionByName(new))
