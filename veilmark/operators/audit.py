@@ -29,7 +29,7 @@ def registry_leaks(
 ) -> DataFrame:
     """Any registered value, exact in case, visible in any text: ``key + (value, etype)``.
 
-    Runs the dictionary search over the registry, hence also in passes if it is large.
+    Runs the dictionary search over the registry, hence by a rare-gram index if it is large.
     """
     spark = redacted.sparkSession
     values = forward(registry).select(F.col("value").alias("term")).distinct()
@@ -39,10 +39,7 @@ def registry_leaks(
         small_dictionary_terms=settings.small_dictionary_terms,
     )
     dictionary = D.load(spark, search)
-    if dictionary.in_row:
-        found = redacted.select(*key, D.spans(text_col, dictionary).alias("spans"))
-    else:
-        found = D.sharded_spans(redacted, list(key), text_col, dictionary)
+    found = D.find(redacted, list(key), text_col, dictionary)
     seen = DET.span_rows(found, list(key), "spans").select(*key, "value").distinct()
     types = registry.filter("active").select("value", "etype")
     exempt = list(settings.subject_keys) or [""]

@@ -94,14 +94,14 @@ def detect(
 ) -> DataFrame:
     """Rows ``keep + entities``, without the text.
 
-    With an oversized dictionary the partial results of its passes meet per row key;
-    only spans are shuffled then, never texts, and rows without spans are left out.
+    With an oversized dictionary its matches and those of the patterns meet per row key, and rows
+    without spans are left out.
     """
     dictionary = D.load(df.sparkSession, settings) if dictionary is None else dictionary
     if dictionary.in_row:
         return with_entities(df, text_col, settings, dictionary, only_allowed).select(*keep, "entities")
     passes = df.select(*keep, _found(text_col, settings, None).alias("spans")).unionByName(
-        D.sharded_spans(df, keep, text_col, dictionary)
+        D.find(df, keep, text_col, dictionary)
     )
     # Texts without spans drop out here; the outer form is explained in span_rows.
     found = passes.select(*keep, F.explode_outer("spans").alias("span")).filter(F.col("span").isNotNull())

@@ -8,13 +8,14 @@ Three ways, chosen by the measured size of the term table:
 * few terms: one alternation rules a text out, then each term is located by expression;
 * up to ``dictionary_chars`` characters: an automaton is broadcast and each text is read
   once, in Arrow batches;
-* beyond that: the terms are split into shards within the bound and each shard makes its
-  own pass, giving rows of spans instead of an array column.
+* beyond that: a rare-gram index (:mod:`veilmark.operators.gram_index`).  Terms and texts
+  meet in one equi-join, giving rows of spans instead of an array column.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 from dataclasses import dataclass
 from functools import reduce
 
@@ -25,25 +26,23 @@ from pyspark.sql import functions as F
 from veilmark.config import Settings
 from veilmark.functions.patterns import SCORES
 from veilmark.functions.spans import NO_SPANS, SPANS_TYPE, as_spans, find_all, lit, quote
-from veilmark.operators.common import cut
+from veilmark.operators import gram_index as G
+from veilmark.operators.gram_index import fold
 
 try:
     import ahocorasick
-except ImportError:  # the slower search below stands in
+except ImportError:
     ahocorasick = None
 
 
 @dataclass(frozen=True)
 class Dictionary:
-    """A measured term table and how to search it."""
+    """A measured term table and how to search it: within the row, or by an index of *n_terms* terms."""
 
     terms: DataFrame | None
     literal: tuple[tuple[str, str, str], ...]
-    shards: int
-
-    @property
-    def in_row(self) -> bool:
-        return self.shards <= 1
+    in_row: bool = True
+    n_terms: int = 0
 
     @property
     def empty(self) -> bool:
@@ -91,22 +90,25 @@ def load(spark: SparkSession, settings: Settings) -> Dictionary:
     if settings.roster is None and settings.lexicon is None and not isinstance(company, DataFrame):
         listed = tuple((t, "COMPANY", SCORES["COMPANY"]) for t in dict.fromkeys(company) if t)
         if len(listed) <= settings.small_dictionary_terms:
-            return Dictionary(None, listed, 0)
+            return Dictionary(None, listed)
     terms = term_table(spark, settings)
     if terms is None:
-        return Dictionary(None, (), 0)
+        return Dictionary(None, ())
     row = terms.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("term")).alias("chars")).first()
     n, chars = int(row["n"]), int(row["chars"] or 0)
     if n == 0:
-        return Dictionary(None, (), 0)
-    if n <= settings.small_dictionary_terms and chars <= 64 * settings.small_dictionary_terms:
-        return Dictionary(None, tuple(sorted(tuple(r) for r in terms.collect())), 0)
-    shards = -(-chars // settings.dictionary_chars)
-    return Dictionary(cut(terms) if shards > 1 else terms, (), int(shards))
+        return Dictionary(None, ())
+    if n <= settings.small_dictionary_terms and chars <= min(64 * settings.small_dictionary_terms, settings.dictionary_chars):
+        return Dictionary(None, tuple(sorted(tuple(r) for r in terms.collect())))
+    if chars <= settings.dictionary_chars:
+        return Dictionary(terms, ())
+    return Dictionary(G.index(terms), (), False, n)
 
 
 def spans(text_col: str, dictionary: Dictionary) -> Column:
     """Matches of an in-row dictionary as a span array."""
+    if not dictionary.in_row:
+        raise ValueError("this dictionary is searched by its index; use find()")
     if dictionary.literal:
         return F.expr(_literal_spans(f"`{text_col}`", dictionary.literal))
     if dictionary.terms is None:
@@ -114,15 +116,14 @@ def spans(text_col: str, dictionary: Dictionary) -> Column:
     return _automaton_column(F.col(text_col), dictionary.terms)
 
 
-def sharded_spans(df: DataFrame, keep: list[str], text_col: str, dictionary: Dictionary) -> DataFrame:
-    """Matches of an oversized dictionary as rows ``keep + spans``, one pass per shard."""
-    passes = []
-    for shard in range(dictionary.shards):
-        part = dictionary.terms.filter(
-            F.pmod(F.xxhash64("term", "etype"), F.lit(dictionary.shards)) == shard
-        )
-        passes.append(df.select(*keep, _automaton_column(F.col(text_col), part).alias("spans")))
-    return reduce(DataFrame.unionByName, passes)
+def find(df: DataFrame, keep: list[str], text_col: str, dictionary: Dictionary) -> DataFrame:
+    """Matches of any dictionary as rows ``keep + spans``.
+
+    With an oversized dictionary, texts without a match have no row.
+    """
+    if dictionary.in_row:
+        return df.select(*keep, spans(text_col, dictionary).alias("spans"))
+    return G.search(df, keep, text_col, dictionary.terms, dictionary.n_terms)
 
 
 def _literal_spans(text: str, terms) -> str:
@@ -139,6 +140,8 @@ def _literal_spans(text: str, terms) -> str:
 
 def _automaton_column(text: Column, terms: DataFrame) -> Column:
     """Search by automaton; *terms* is known to be within the broadcast bound."""
+    if ahocorasick is None:
+        warnings.warn("pyahocorasick is not installed: dictionary terms are searched one by one", stacklevel=2)
     context = terms.sparkSession.sparkContext
     shared = context.broadcast([tuple(r) for r in terms.select("term", "etype", "score").collect()])
 
@@ -161,34 +164,18 @@ def _finder(shared):
     return _LAST[1]
 
 
-class _Folded(dict):
-    def __missing__(self, code: int) -> str:
-        upper = chr(code).upper()
-        # The one letter with a longer lower case is the dotted capital I, which folds to its base.
-        self[code] = (upper if len(upper) == 1 else chr(code)).lower()[0]
-        return self[code]
-
-
-_FOLDED = _Folded()
-
-
-def _fold(text: str) -> str:
-    """Case folding letter by letter, as in the ``(?iu)`` patterns, so positions stay."""
-    return text.lower() if text.isascii() else text.translate(_FOLDED)
-
-
 def _build_finder(terms):
     kinds: dict[str, list] = {}
     for term, etype, score in terms:
         # Terms that differ in case only match the same text.
-        labels = kinds.setdefault(_fold(term), [])
+        labels = kinds.setdefault(fold(term), [])
         if (etype, score) not in labels:
             labels.append((etype, score))
     scan = _automaton_scan(kinds) if ahocorasick is not None else _plain_scan(kinds)
 
     def find(text: str) -> list[dict]:
         found, taken = [], {}
-        for end, key in scan(_fold(text)):
+        for end, key in scan(fold(text)):
             start = end - len(key)
             # One term never overlaps itself.
             if start >= taken.get(key, 0):

@@ -145,23 +145,37 @@ def resolve_overlaps(spark, folder):
     )
 
 
-@query(
-    """
-    WITH terms AS (SELECT DISTINCT lower(substr(text, 1, 24)) AS term FROM benchmark),
+PASSAGES = """
+    WITH terms AS (SELECT DISTINCT lower(text) AS term FROM benchmark),
     found AS (SELECT d.doc_id, t.term, lower(d.text) AS low FROM documents d JOIN terms t
               ON contains(lower(d.text), t.term))
     SELECT doc_id, term, CAST((length(low) - length(replace(low, term, ''))) / length(term) AS BIGINT) AS occurrences
     FROM found"""
-)
-def dictionary_company_terms(spark, folder):
-    """Openings of the benchmark passages as company terms, searched in all documents."""
-    terms = table(spark, folder, "benchmark").select(F.substring("text", 1, 24).alias("term")).distinct()
-    dictionary = D.load(spark, Settings(company_terms=terms))
-    found = _documents(spark, folder).select("doc_id", D.spans("text", dictionary).alias("spans"))
-    rows = DET.span_rows(found, ["doc_id"], "spans")
+
+
+def _passages(spark, folder, settings: Settings) -> DataFrame:
+    terms = table(spark, folder, "benchmark").select(F.col("text").alias("term")).distinct()
+    dictionary = D.load(spark, settings.with_(company_terms=terms))
+    rows = DET.span_rows(D.find(_documents(spark, folder), ["doc_id"], "text", dictionary), ["doc_id"], "spans")
     return rows.groupBy("doc_id", F.lower("value").alias("term")).agg(F.count(F.lit(1)).alias("occurrences"))
 
 
+#: With this bound every term table is searched by its index.
+INDEXED = Settings(dictionary_chars=1)
+
+
+@query(PASSAGES)
+def dictionary_company_terms(spark, folder):
+    """The benchmark passages as company terms, searched in all documents."""
+    return _passages(spark, folder, Settings())
+
+
+@query(PASSAGES)
+def dictionary_passage_index(spark, folder):
+    """The same by the rare-gram index."""
+    return _passages(spark, folder, INDEXED)
+
+
 def _customer_roster(spark, folder):
     return table(spark, folder, "customer").select(
         F.col("c_custkey").alias("pos"),
@@ -188,24 +202,33 @@ ORDER_NOTES = """
     FROM orders JOIN customer ON o_custkey = c_custkey"""
 
 
-@query(
-    f"""
+NAMED = f"""
     WITH notes AS ({ORDER_NOTES}),
     terms AS (SELECT c_mktsegment || ' ' || c_name AS term FROM customer
               UNION SELECT 'cu' || c_custkey || 'x' FROM customer)
     SELECT o_orderkey, substr(text, strpos(lower(text), lower(term)), length(term)) AS value,
            CAST(strpos(lower(text), lower(term)) - 1 AS INTEGER) AS start_at
     FROM notes JOIN terms ON contains(lower(text), lower(term))"""
-)
-def dictionary_roster(spark, folder):
-    roster = _customer_roster(spark, folder)
-    dictionary = D.load(spark, Settings(roster=roster))
-    found = _order_notes(spark, folder).select("o_orderkey", D.spans("text", dictionary).alias("spans"))
+
+
+def _named(spark, folder, settings: Settings) -> DataFrame:
+    dictionary = D.load(spark, settings.with_(roster=_customer_roster(spark, folder)))
+    found = D.find(_order_notes(spark, folder), ["o_orderkey"], "text", dictionary)
     return DET.span_rows(found, ["o_orderkey"], "spans").select(
         "o_orderkey", "value", F.col("start").alias("start_at")
     )
 
 
+@query(NAMED)
+def dictionary_roster(spark, folder):
+    return _named(spark, folder, Settings())
+
+
+@query(NAMED)
+def dictionary_roster_index(spark, folder):
+    return _named(spark, folder, INDEXED)
+
+
 @query(
     """
     WITH src AS (SELECT c_custkey, c_name || ' lives in ' || n_name || ', ' || r_name || '.' AS text
@@ -651,18 +674,17 @@ def restore_case_variants(spark, folder):
     return jobs.restore(texts, ["text"], result.registry, ["c_custkey"])
 
 
-@query(
-    f"""{ENTS}, {PAIRS}, after AS ({rewritten('documents', 'doc_id', 'text', 'pairs')}),
+LEAKS = f"""{ENTS}, {PAIRS}, after AS ({rewritten('documents', 'doc_id', 'text', 'pairs')}),
     vals AS (SELECT DISTINCT value FROM ents)
     SELECT 'before' AS stage, count(*) AS leaks FROM documents JOIN vals ON contains(text, value)
     UNION ALL SELECT 'after', count(*) FROM after JOIN vals ON contains(text, value)"""
-)
-def leak_audit(spark, folder):
-    """Visible registered values before and after; the second count must be zero."""
+
+
+def _leaks(spark, folder, settings: Settings) -> DataFrame:
     docs = _documents(spark, folder)
     result = jobs.pseudonymise_text(docs, "text", ["doc_id"])
     counts = [
-        jobs.audit(texts, "text", ["doc_id"], result.registry)
+        jobs.audit(texts, "text", ["doc_id"], result.registry, settings)
         .agg(F.count(F.lit(1)).alias("leaks"))
         .select(F.lit(stage).alias("stage"), "leaks")
         for stage, texts in (("before", docs), ("after", result.df))
@@ -670,6 +692,18 @@ def leak_audit(spark, folder):
     return counts[0].unionByName(counts[1])
 
 
+@query(LEAKS)
+def leak_audit(spark, folder):
+    """Visible registered values before and after; the second count must be zero."""
+    return _leaks(spark, folder, Settings())
+
+
+@query(LEAKS)
+def leak_audit_index(spark, folder):
+    """The same by the rare-gram index, as with a registry of any size."""
+    return _leaks(spark, folder, INDEXED)
+
+
 @query(
     f"""{ENTS}, kept AS (SELECT * FROM ents WHERE lower(value) NOT IN {_lower_list(SUBJECT.values())}),
     {numbered('kept', 'doc_id, rnk')},
