@@ -1,5 +1,9 @@
+import collections
+import csv
+import io
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,14 +55,65 @@ def test_csv_blocks(spark, tmp_path):
     """Small blocks: the preamble is dropped from the first block only."""
     body = "".join(f"{i},v{i}\n" for i in range(2000))
     put(tmp_path, "a.csv", "preamble\nk,v\n" + body)
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
-    try:
-        rows = T.read_csv(spark, str(tmp_path), position=True)
-        assert rows.select("_block").distinct().count() > 2
-        assert [r["k"] for r in rows.orderBy("_block", "_line").collect()] == [str(i) for i in range(2000)]
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    rows = T.read_csv(spark, str(tmp_path), position=True, block_bytes=4096)
+    assert rows.select("_block").distinct().count() > 2
+    assert [r["k"] for r in rows.orderBy("_block", "_line").collect()] == [str(i) for i in range(2000)]
+
+
+def test_line_breaks_in_quotes(spark, tmp_path):
+    put(tmp_path, "a.csv", 'id,note\n1,"call\nq@x.example.com now"\n2,"a ""b""\r\n,c"\r\n3,5" disk\n4,"x"\n')
+    rows = T.read_csv(spark, str(tmp_path)).orderBy("id").collect()
+    assert [tuple(r) for r in rows] == [("1", "call\nq@x.example.com now"), ("2", 'a "b"\r\n,c'), ("3", '5" disk'), ("4", "x")]
+
+
+@pytest.mark.parametrize("block", [1, 2, 7, 64, 1000])
+def test_records_that_cross_blocks(spark, tmp_path, block):
+    """Random cells with quotes, commas and line breaks, against the standard reader."""
+    rng = random.Random(block)
+    for k in range(4):
+        text = "".join(rng.choice('ab,"\n') for _ in range(rng.choice([0, 30, 300])))
+        put(tmp_path, f"r{k}.csv", text)
+        out = io.StringIO()
+        csv.writer(out, lineterminator="\n").writerows([[rng.choice(["", "a", 'x"y', "1,2", "two\nlines", "\n"]) for _ in range(3)] for _ in range(40)])
+        put(tmp_path, f"w{k}.csv", out.getvalue())
+    records, errors = T.csv_records(FILES.list_files(spark, str(tmp_path)), block)
+    got, bad = collections.defaultdict(list), {os.path.basename(r.path): r.error for r in errors.collect()}
+    for r in records.orderBy("path", "block", "line").collect():
+        got[os.path.basename(r.path)].append(list(r.cells))
+    for path in tmp_path.iterdir():
+        text = path.read_text()
+        inside = False
+        for line in text.split("\n"):
+            inside = T.ends_inside(line, inside)
+        assert bad.get(path.name) == (T.UNCLOSED if inside else None)
+        if not inside:
+            want = [r for r in csv.reader(io.StringIO(text, newline="")) if r]
+            # Records of blanks alone are left out.
+            told = lambda r: len(r) > 1 or r[0].strip()
+            assert list(filter(told, got[path.name])) == list(filter(told, want))
+
+
+def test_ends_inside():
+    assert [T.ends_inside(s, False) for s in ('a,"b', '"a""', '"a"",b', 'a"b', '"a"b"c', "", 'x,""', '"')] == [
+        True, True, True, False, False, False, False, True,
+    ]
+    assert [T.ends_inside(s, True) for s in ('b"', 'b""', "b", '",",', '",a"b', '","x')] == [False, True, True, True, False, True]
+
+
+def test_names_that_repeat():
+    assert T.distinct_names(["a", "a", "b", "a", "a.1"]) == ["a", "a.2", "b", "a.3", "a.1"]
+
+
+def test_listing_sees_every_file(spark, tmp_path):
+    for name in ("_h.txt", "e.txt", "sub/_x/deep.TXT", "with blank.txt"):
+        put(tmp_path, name, "")
+    flat = {r.name: (r.suffix, r.length) for r in FILES.list_files(spark, str(tmp_path)).collect()}
+    assert flat == {"_h.txt": (".txt", 0), "e.txt": (".txt", 0), "with blank.txt": (".txt", 0)}
+    every = {r.path for r in FILES.list_files(spark, str(tmp_path), True).collect()}
+    assert f"file:{tmp_path}/sub/_x/deep.TXT" in every and len(every) == 4
+    assert FILES.list_files(spark, f"file://{tmp_path}/e.txt").count() == 1
+    with pytest.raises(FileNotFoundError):
+        FILES.list_files(spark, str(tmp_path / "missing"))
 
 
 def test_write_table_keeps_order_and_letters(spark, tmp_path):
@@ -156,14 +211,68 @@ def test_redact_folder(spark, tmp_path):
     assert texts["a.txt"] == ("a.redacted.txt", "Card 411111XXXXXX1111, mail [EMAIL_1]")
     assert texts["c.eml"] == ("c.redacted.txt", "From: [EMAIL_2]\n\ncall [PHONE_1]\n")
     assert texts["z.txt"][1] == "[EMAIL_4]"
-    assert tuple(result.tables["csv:name,email"].first())[3:] == ("1_A.L.", "[EMAIL_1]")
-    row = result.tables["json"].first()
+    assert tuple(result.table(["name", "email"]).first())[3:] == ("1_A.L.", "[EMAIL_1]")
+    row = result.table(["user", "n", "mail"]).first()
     assert (row["user"], row["n"], row["mail"]) == ("2_U.", "5", "[EMAIL_3]")
+    lines = {os.path.basename(r["output"]): r["text"] for r in result.lines().collect()}
+    assert lines == {"b.redacted.csv": "1_A.L.,[EMAIL_1]", "d.redacted.json": '{"user":"2_U.","n":"5","mail":"[EMAIL_3]"}'}
     errors = {os.path.basename(r["path"]): r["error"] for r in result.files.collect()}
     assert errors["w.docx"] and errors["bad.json"] and errors["a.txt"] is None
     assert tuple(result.summary().first()) == (7, 5, 2)
 
 
+def shown(result):
+    """Rewritten rows by file name."""
+    out = collections.defaultdict(list)
+    for r in result.rows.orderBy("path", "_block", "_line").collect():
+        out[os.path.basename(r["path"])].append(dict(zip(r["names"], r["texts"])))
+    return dict(out)
+
+
+def test_files_of_a_folder_keep_their_own_columns(spark, tmp_path):
+    """A column of one file is no anchor of another: rows without it are still scanned."""
+    put(tmp_path, "a.json", json.dumps([{"user_id": "u1", "email": "a@x.example.com"}, {"user_id": None, "email": "kept@x.example.com"}]))
+    put(tmp_path, "b.json", '{"email": "leak@x.example.com", "big": 12345678901234567890, "x": {"a": [1.50, true, null, "é"]}}')
+    put(tmp_path, "c.csv", "id,note,note\n1,see c@x.example.com,d@x.example.com\n")
+    put(tmp_path, "d.csv", "a,b\n1,2,3\n")
+    put(tmp_path, "e.csv", "")
+    put(tmp_path, "f.json", "[]")
+    put(tmp_path, "g.json", '[1, 2]')
+    put(tmp_path, "_h.txt", "mail h@x.example.com")
+    put(tmp_path, "i.txt", "")
+    result = V.redact_folder(spark, str(tmp_path))
+    rows = shown(result)
+    assert rows["a.json"] == [{"user_id": "1_U.", "email": "[EMAIL_2]"}, {"user_id": None, "email": "kept@x.example.com"}]
+    assert rows["b.json"] == [{"email": "[EMAIL_3]", "big": "12345678901234567890", "x": '{"a":[1.50,true,null,"é"]}'}]
+    assert rows["c.csv"] == [{"id": "1", "note": "see [EMAIL_4]", "note.1": "[EMAIL_5]"}]
+    texts = {os.path.basename(r["path"]): r["text"] for r in result.texts.collect()}
+    assert texts == {"_h.txt": "mail [EMAIL_1]", "i.txt": ""}
+    errors = {os.path.basename(r["path"]): r["error"] for r in result.files.collect()}
+    assert errors["d.csv"] == "a record has 3 cells, the header 2" and errors["e.csv"] == T.NO_COLUMNS
+    assert errors["g.json"] == T.BAD_JSON and errors["f.json"] is None
+    assert tuple(result.summary().first()) == (9, 6, 3)
+
+
+def test_correlated_cells_and_policies_in_a_folder(spark, tmp_path):
+    put(tmp_path, "a.csv", "Employee_ID,login,email,note\nE1,jw,j@x.example.com,asks 10.0.0.1\nE2,ml,m@x.example.com,ok\n ,uk,u@x.example.com,10.0.0.2\n")
+    put(tmp_path, "b.json", json.dumps([{"login": "jw", "who": "E2", "say": "jw and j@x.example.com"}]))
+    settings = V.Settings(correlated_fields=("email", "login"), force_fields=("who",), masking_rules={"CREDIT_CARD": {}})
+    for bound in (0, 32 << 20):
+        rows = shown(V.redact_folder(spark, str(tmp_path), settings.with_(broadcast_bytes=bound)))
+        assert rows["a.csv"] == [
+            {"Employee_ID": "[PERSON_1]", "login": "[PERSON_1]", "email": "[EMAIL_PERSON_1]", "note": "asks [IP_1]"},
+            {"Employee_ID": "[PERSON_2]", "login": "[PERSON_2]", "email": "[EMAIL_PERSON_2]", "note": "ok"},
+            {"Employee_ID": " ", "login": "[PERSON_3]", "email": "[EMAIL_1]", "note": "10.0.0.2"},
+        ]
+        assert rows["b.json"] == [{"login": "jw", "who": "[PERSON_2]", "say": "jw and [EMAIL_PERSON_1]"}]
+
+
+def test_empty_folder(spark, tmp_path):
+    result = V.redact_folder(spark, str(tmp_path))
+    assert tuple(result.summary().first()) == (0, 0, 0)
+    assert result.texts.count() == result.rows.count() == result.lines().count() == 0
+
+
 def test_stream_keeps_tokens(spark, tmp_path):
     source, out, registry = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "registry")
     source.mkdir()

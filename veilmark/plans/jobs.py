@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from veilmark.config import Settings, for_dsar, for_redact
 from veilmark.operators import audit as AUD
+from veilmark.operators import celltable as CELL
 from veilmark.operators import detect as DET
 from veilmark.operators import dictionary as D
 from veilmark.operators import events as E
@@ -19,7 +20,7 @@ from veilmark.operators import restore as RES
 from veilmark.operators import rewrite as REW
 from veilmark.operators import roster as ROS
 from veilmark.operators import structured as STR
-from veilmark.operators.common import cut, measure
+from veilmark.operators.common import cut, measure, stage
 
 
 @dataclass(frozen=True)
@@ -47,6 +48,15 @@ class TableInput:
     scan: Sequence[str] | None = None
 
 
+@dataclass(frozen=True)
+class CellInput:
+    """Rows that bring their own columns: ``names, texts, layout``, as in :mod:`veilmark.operators.celltable`."""
+
+    df: DataFrame
+    key: Sequence[str]
+    order_by: Sequence[str] | None = None
+
+
 @dataclass(frozen=True)
 class RunResult:
     """Rewritten inputs by name, the registry after the run, and the rows it added."""
@@ -68,7 +78,7 @@ class RunResult:
 
 
 def run(
-    inputs: dict[str, TextInput | TableInput],
+    inputs: dict[str, TextInput | TableInput | CellInput],
     settings: Settings | None = None,
     *,
     previous: DataFrame | None = None,
@@ -90,6 +100,10 @@ def run(
         src = 0 if interleave else i
         if isinstance(given, TextInput):
             parts[name] = _TextPart(given, settings, dictionary, src)
+        elif isinstance(given, CellInput):
+            order_by = list(given.order_by or given.key)
+            plan = CELL.CellPlan(given.df, list(given.key), order_by, src, anchor, tuple(force_fields or ()))
+            parts[name] = _CellPart(plan, settings, dictionary)
         else:
             plan = STR.plan_table(
                 given.df, given.key, given.order_by, settings,
@@ -188,6 +202,22 @@ class _TablePart:
         return STR.apply_tokens(self.plan, self.settings, self.scanned, self.bytes, lookup, lookup_bytes)
 
 
+class _CellPart:
+    """Detection and rewriting of rows with columns of their own."""
+
+    hits, bound = None, None
+
+    def __init__(self, plan: CELL.CellPlan, settings: Settings, dictionary: D.Dictionary) -> None:
+        self.plan, self.settings = plan, settings
+        self.linked = bool(settings.correlated_fields)
+        self.rows = stage(CELL.hit_rows(plan, settings, dictionary, CELL.cells(plan, settings)))
+        _, self.bytes = measure(self.rows, "value")
+        self.events = [CELL.events(self.rows, plan.src)]
+
+    def rewrite(self, lookup: DataFrame, lookup_bytes: int) -> DataFrame:
+        return CELL.apply_tokens(self.plan, self.settings, self.rows, 4 * self.bytes, lookup, lookup_bytes)
+
+
 def pseudonymise_text(
     df: DataFrame,
     text_col: str,

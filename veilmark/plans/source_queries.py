@@ -6,24 +6,25 @@ checkpoints, so they grow with the tables and every executor can reach them.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilmark.functions import scalars as S
+from veilmark.operators.common import checkpoint_folder, stage
 from veilmark.plans import folder as FOLDER
 from veilmark.plans.queries import query, table
+from veilmark.sources import files as FILES
 from veilmark.sources import tables as T
 from veilmark.sources.html import html_text
 from veilmark.sources.mail import mail_text
+from veilmark.sources.text import write_texts
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    base = shared or tempfile.mkdtemp(prefix="veilmark-files-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new folder that all executors share."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 @query()
@@ -79,20 +80,78 @@ def csv_preamble(spark, folder):
         .select("c_nationkey", "line").write.partitionBy("c_nationkey").option("compression", "none")
         .mode("overwrite").format("text").save(target)
     )
-    files = T.list_files(spark, target, True)
-    sniffed = T.sniff_csv(files)
-    header, _ = T.common_header(sniffed)
-    raw = T.numbered_lines(spark, target, True, glob="*")
-    return T.parse_lines(raw, sniffed, header).drop(*T.POSITION)
+    return T.read_csv_files(T.list_files(spark, target, True).filter("suffix = '.txt'"))
 
 
-@query()
+MANY = """
+    SELECT CAST(c_nationkey AS VARCHAR) || '_' || c_mktsegment AS stem, c_nationkey % 5 AS kind, c_custkey AS k FROM customer"""
+
+
+@query(
+    f'''
+    WITH c AS ({MANY}),
+    lines AS (
+      SELECT lpad(stem, 14, '0') || CASE kind WHEN 0 THEN '.txt' WHEN 1 THEN '.csv' WHEN 2 THEN '_q.csv' WHEN 3 THEN '.json' ELSE '_n.json' END AS file,
+        kind, k, 'c' || k || '@x.example.com' AS mail, 'cust' || k AS person FROM c),
+    mails AS (SELECT mail, row_number() OVER (ORDER BY file, CASE WHEN kind = 0 THEN -length(mail) END, k) AS n FROM lines),
+    people AS (SELECT person, row_number() OVER (ORDER BY file, k) AS n FROM lines WHERE kind IN (1, 3)),
+    done AS (
+      SELECT file, kind, k, '[EMAIL_' || m.n || ']' AS mail, coalesce(p.n || '_C.', person) AS person, person AS was
+      FROM lines JOIN mails m USING (mail) LEFT JOIN people p USING (person))
+    SELECT file, CAST(NULL AS VARCHAR) AS error, string_agg('write to ' || mail || ' soon', chr(10) ORDER BY k) AS text
+      FROM done WHERE kind = 0 GROUP BY file
+    UNION ALL SELECT file, NULL, person || ',' || mail || ',' || k FROM done WHERE kind = 1
+    UNION ALL SELECT file, NULL, person || ',"ask' || chr(10) || mail || ', ""now"""' FROM done WHERE kind = 2
+    UNION ALL SELECT file, NULL, '{{"user_id":"' || person || '","n":"' || k || '","mail":"' || mail || '"}}' FROM done WHERE kind = 3
+    UNION ALL SELECT file, NULL, '{{"contact":"' || mail || '","who":"' || person || '"}}' FROM done WHERE kind = 4
+    UNION ALL SELECT 'bad' || r_regionkey || '.json', 'invalid JSON', NULL FROM region
+    UNION ALL SELECT 'bad' || r_regionkey || '.csv', 'quoted cell without end', NULL FROM region
+    UNION ALL SELECT 'none' || r_regionkey || '.csv', 'no columns to read', NULL FROM region
+    UNION ALL SELECT 'old' || r_regionkey || '.docx', 'unsupported file type .docx', NULL FROM region
+    UNION ALL SELECT '_e' || r_regionkey || '.txt', NULL, '' FROM region
+    '''
+)
 def folder_batch(spark, folder):
-    """Documents as text files, redacted as one batch: the summary of the run."""
+    """A folder of texts, tables of five layouts, empty and broken files, redacted as one batch."""
     target = scratch(spark, "batch")
-    docs = table(spark, folder, "documents").select("source", "text")
-    docs.write.partitionBy("source").mode("overwrite").text(target)
-    return FOLDER.redact_folder(spark, target, recursive=True).summary()
+    k = F.col("c_custkey").cast("string")
+    mail, person = F.concat(F.lit("c"), k, F.lit("@x.example.com")), F.concat(F.lit("cust"), k)
+    kind = F.col("c_nationkey") % 5
+    ends = F.array(*[F.lit(e) for e in (".txt", ".csv", "_q.csv", ".json", "_n.json")])
+    stem = F.lpad(F.concat_ws("_", F.col("c_nationkey").cast("string"), "c_mktsegment"), 14, "0")
+    line = (
+        F.when(kind == 0, F.concat(F.lit("write to "), mail, F.lit(" soon")))
+        .when(kind == 1, F.concat_ws(",", person, mail, k))
+        .when(kind == 2, F.concat(person, F.lit(',"ask\n'), mail, F.lit(', ""now"""')))
+        .when(kind == 3, F.concat(F.lit('{"user_id": "'), person, F.lit('", "n": '), k, F.lit(', "mail": "'), mail, F.lit('"}')))
+        .otherwise(F.concat(F.lit('{"contact": "'), mail, F.lit('", "who": "'), person, F.lit('"}')))
+    )
+    heads = F.array(*[F.lit(h) for h in ("", "user_id,note,note\n", "who,note\n", "[", "[")])
+    joints = F.array(*[F.lit(j) for j in ("\n", "\n", "\n", ",\n", ",\n")])
+    tails = F.array(*[F.lit(t) for t in ("", "\n", "\n", "]", "]")])
+    # Each file is a group of customers that one program would have written.
+    many = table(spark, folder, "customer").groupBy(F.concat(stem, F.get(ends, kind)).alias("file"), kind.alias("kind")).agg(
+        F.array_sort(F.collect_list(F.struct("c_custkey", line.alias("line")))).alias("ls")
+    )
+    body = F.concat(F.get(heads, F.col("kind")), F.array_join(F.transform("ls", lambda x: x["line"]), "\x00"), F.get(tails, F.col("kind")))
+    written = many.select("file", F.replace(body, F.lit("\x00"), F.get(joints, F.col("kind"))).alias("text"))
+    r = F.col("r_regionkey").cast("string")
+    odd = {("bad", ".json"): "{oops", ("bad", ".csv"): 'a,b\n1,"x\n', ("none", ".csv"): "", ("old", ".docx"): "-", ("_e", ".txt"): "", ("y", ".png"): "-", ("z", ".redacted.txt"): "-"}
+    for (start, end), text in odd.items():
+        written = written.unionByName(table(spark, folder, "region").select(F.concat(F.lit(start), r, F.lit(end)).alias("file"), F.lit(text).alias("text")))
+    outputs = written.select(F.concat(F.lit(f"{target}/"), "file").alias("output"), "text")
+    FILES.make_folder(target)
+    failed = stage(write_texts(outputs)).filter("error IS NOT NULL").first()
+    if failed is not None:
+        raise OSError(failed["error"])
+    done = FOLDER.redact_folder(spark, target)
+    file = F.element_at(F.split("path", "/"), -1).alias("file")
+    none = F.lit(None).cast("string")
+    return (
+        done.texts.select(file, none.alias("error"), "text")
+        .unionByName(done.lines().select(file, none.alias("error"), "text"))
+        .unionByName(done.files.filter("error IS NOT NULL").select(file, "error", none.alias("text")))
+    )
 
 
 @query("SELECT doc_id, 'out/' || doc_id || '.v1.redacted.txt' AS redacted, 'out/' || doc_id || '.v1.restored.eml' AS restored FROM documents")
