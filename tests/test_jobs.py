@@ -257,3 +257,32 @@ def test_hot_values_take_the_broadcast_side(spark):
 
     back = restore(result.df, ["text"], result.registry, ["id"], bound=0)
     assert sorted(map(tuple, back.collect())) == sorted(rows)
+
+
+@pytest.mark.parametrize("bound", [0, 32 << 20])
+def test_texts_are_searched_once(spark, bound):
+    """The plan of the result reads the written spans and holds no detection."""
+    df = spark.createDataFrame([(i, f"u{i}@a.example.com" if i % 2 else "none") for i in range(20)], "id int, text string")
+    run = V.pseudonymise_text(df, "text", ["id"], V.Settings(broadcast_bytes=bound))
+    for frame in (run.df, run.only_hits):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert "luhn_check" not in plan and "@[A-Za-z0-9.-]" not in plan
+    assert run.df.filter("text = 'none'").count() == 10
+
+
+def test_names_of_a_table_do_not_clash_with_those_of_a_job(spark):
+    df = spark.createDataFrame([(1, "a@b.example.com", "o", "e", 2)], "id int, text string, ord string, entities string, `has hits` int")
+    run = V.pseudonymise_text(df, "text", ["id"])
+    assert run.df.columns == df.columns and tuple(run.df.first()) == (1, "[EMAIL_1]", "o", "e", 2)
+    back = V.restore(run.df, ["text"], run.registry)
+    assert tuple(back.first()) == tuple(df.first())
+
+
+def test_restore_of_rows_that_repeat(spark):
+    registry = V.pseudonymise_text(spark.createDataFrame([(1, "a@b.example.com 10.0.0.1")], "id int, text string"), "text", ["id"]).registry
+    rows = [(1, "[email_1]", None), (1, "[IP_1] [IP_9]", "x"), (None, "no", "[EMAIL_1][EMAIL_1]"), (None, None, None), (2, "", "[PERSON_1]")]
+    df = spark.createDataFrame(rows, "id int, a string, b string").withColumn("n", F.expr("NULL"))
+    got = sorted((str((r.id, r.a, r.b)) for r in V.restore(df, ["a", "b"], registry).collect()))
+    assert got == sorted(str(r) for r in [
+        (1, "a@b.example.com", None), (1, "10.0.0.1 [IP_9]", "x"), (None, "no", "a@b.example.coma@b.example.com"), (None, None, None), (2, "", "[PERSON_1]"),
+    ])

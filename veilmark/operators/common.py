@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -36,14 +37,28 @@ def stage(df: DataFrame) -> DataFrame:
     """Write *df* as a table in the shared checkpoint folder and read it back.
 
     Unlike :func:`cut`, whose result keeps the size estimate of the plan it came from, the new plan knows
-    the true size.  Loops need this: estimates that multiply with every join grow without bound.
+    the true size.  Loops need this: estimates that multiply with every join grow without bound.  The table
+    is columnar, so later steps read the columns they need.
     """
     spark = df.sparkSession
+    if not all(_storable(f.dataType) for f in df.schema):
+        return cut(df)
     path = f"{checkpoint_folder(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _storable(kind: T.DataType) -> bool:
+    """Whether a table file can hold the type."""
+    if isinstance(kind, T.StructType):
+        return len(kind) > 0 and all(_storable(f.dataType) for f in kind)
+    if isinstance(kind, T.ArrayType):
+        return _storable(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _storable(kind.keyType) and _storable(kind.valueType)
+    return not isinstance(kind, (T.NullType, T.CalendarIntervalType))
+
+
 def measure(df: DataFrame, *columns: str) -> tuple[int, int]:
     """(rows, bytes) of *df*, counting the given string columns plus a row overhead."""
     size: Column = F.lit(48)

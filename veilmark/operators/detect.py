@@ -68,9 +68,10 @@ def _found(text_col: str, settings: Settings, dictionary: D.Dictionary | None) -
 
 
 def with_entities(
-    df: DataFrame, text_col: str, settings: Settings, dictionary: D.Dictionary, only_allowed: bool = False
+    df: DataFrame, text_col: str, settings: Settings, dictionary: D.Dictionary, only_allowed: bool = False,
+    name: str = "entities",
 ) -> DataFrame:
-    """Add ``entities``: the settled spans of a text, best first.
+    """Add ``entities`` (or *name*): the settled spans of a text, best first.
 
     Needs a dictionary that is searched in the row.  With *only_allowed*, types that pass
     through and subject values are left out.
@@ -80,7 +81,7 @@ def with_entities(
         spans = f"filter({spans}, s -> {allowed(settings)})"
     whole = f"CASE WHEN {ident(text_col)} IS NOT NULL THEN {spans} END"
     return df.withColumn("_found", _found(text_col, settings, dictionary)).withColumn(
-        "entities", F.expr(whole)
+        name, F.expr(whole)
     ).drop("_found")
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,13 +31,12 @@ def rewrite_text(
     bound: int,
     *,
     word_boundary: bool = False,
-    with_hits: Callable[[DataFrame], DataFrame] | None = None,
+    has_hits: str | None = None,
 ) -> DataFrame:
     """Replace values in *text_col* by the map of the row's key.
 
     Maps within *bound* are broadcast, so texts stay where they are.  Larger ones meet the
-    texts in a shuffle; *with_hits*, which adds a boolean ``has_hits``, then keeps texts
-    without any span out of it.
+    texts in a shuffle; the condition *has_hits* then keeps texts without any span out of it.
     """
     columns = df.columns
     pattern = F.expr(key_pattern("mapping", word_boundary))
@@ -50,7 +47,6 @@ def rewrite_text(
         both = rows.join(small(with_pattern, maps_bytes, bound), key, "left")
         return both.select(*[new if c == text_col else F.col(f"`{c}`") for c in columns])
 
-    if maps_bytes <= bound or with_hits is None:
+    if maps_bytes <= bound or has_hits is None:
         return joined(df)
-    marked = with_hits(df)
-    return joined(marked.filter("has_hits")).unionByName(marked.filter("NOT has_hits").select(*columns))
+    return joined(df.filter(has_hits)).unionByName(df.filter(f"NOT ({has_hits})"))

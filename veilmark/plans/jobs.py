@@ -23,6 +23,10 @@ from veilmark.operators import structured as STR
 from veilmark.operators.common import cut, measure, stage
 
 
+#: Of staged texts, the rows with something to replace.
+HAS_SPANS = "coalesce(size(_spans), 0) > 0"
+
+
 @dataclass(frozen=True)
 class TextInput:
     """Texts of a run.  See :func:`pseudonymise_text` for the fields."""
@@ -143,17 +147,26 @@ def _common_order(inputs):
 
 
 class _TextPart:
-    """Detection and rewriting of one text input."""
+    """Detection and rewriting of one text input.
+
+    The input is read and searched once: rows and their spans are written as a columnar table,
+    from which the events take the spans only and the rewriting takes the texts.  An oversized
+    dictionary finds spans by an index; then only they are written.
+    """
 
     linked = False
 
     def __init__(self, given: TextInput, settings: Settings, dictionary: D.Dictionary, src: int) -> None:
-        self.given, self.settings, self.dictionary = given, settings, dictionary
-        key = [*given.key, "ord"]
-        keyed = given.df.withColumn("ord", E.order_struct(given.order))
-        kept = DET.detect(keyed, given.text_col, key, settings, dictionary, only_allowed=True)
-        # Only rows with spans are written, without their text.
-        self.hits = cut(DET.span_rows(kept, key))
+        self.given, self.settings = given, settings
+        key = [*given.key, "_ord"]
+        rows = given.df.withColumn("_ord", E.order_struct(given.order))
+        self.held = None
+        if dictionary.in_row:
+            self.held = stage(DET.with_entities(rows, given.text_col, settings, dictionary, True, "_spans"))
+            kept = self.held.filter(HAS_SPANS).select(*key, "_spans")
+        else:
+            kept = stage(DET.detect(rows, given.text_col, key, settings, dictionary, True).withColumnRenamed("entities", "_spans"))
+        self.hits = DET.span_rows(kept, key, "_spans").withColumnRenamed("_ord", "ord")
         self.bound, self.bytes = measure(self.hits, "value")
         self.events = [E.from_spans(self.hits, settings.active_masks, F.lit(src))]
 
@@ -161,18 +174,13 @@ class _TextPart:
         given, settings = self.given, self.settings
         scope = list(given.document or given.key)
         maps = REW.value_maps(self.hits, scope, lookup, lookup_bytes, settings.broadcast_bytes)
-        with_hits = None
-        if self.dictionary.in_row and given.document is None and settings.ner is None:
-            with_hits = self._mark
-        return REW.rewrite_text(
+        has_hits = HAS_SPANS if self.held is not None and given.document is None else None
+        out = REW.rewrite_text(
             # Per value a map holds the value, its token and its part of the pattern.
-            given.df, scope, given.text_col, maps, 4 * self.bytes, settings.broadcast_bytes,
-            word_boundary=settings.word_boundary, with_hits=with_hits,
+            given.df if self.held is None else self.held, scope, given.text_col, maps, 4 * self.bytes,
+            settings.broadcast_bytes, word_boundary=settings.word_boundary, has_hits=has_hits,
         )
-
-    def _mark(self, df: DataFrame) -> DataFrame:
-        marked = DET.with_entities(df, self.given.text_col, self.settings, self.dictionary, only_allowed=True)
-        return marked.withColumn("has_hits", F.expr("coalesce(size(entities) > 0, false)")).drop("entities")
+        return out.select(*[f"`{c}`" for c in given.df.columns])
 
 
 class _TablePart:
@@ -299,7 +307,7 @@ def dsar_table(
     return pseudonymise_table(df, key, for_dsar(settings or Settings(), subject), **options).df
 
 
-def restore(df: DataFrame, columns: Sequence[str], registry: DataFrame, key: Sequence[str]) -> DataFrame:
+def restore(df: DataFrame, columns: Sequence[str], registry: DataFrame, key: Sequence[str] = ()) -> DataFrame:
     return RES.restore(df, columns, registry, key)
 
 

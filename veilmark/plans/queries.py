@@ -626,6 +626,13 @@ def redact_text(spark, folder):
     return jobs.pseudonymise_text(_documents(spark, folder), "text", ["doc_id"]).df
 
 
+@query(f"{ENTS}, {PAIRS} {rewritten('documents', 'doc_id', 'text', 'pairs')}")
+def redact_text_shuffled(spark, folder):
+    """The same with nothing broadcast: texts with spans meet their maps in a shuffle, others pass by."""
+    settings = Settings(broadcast_bytes=0)
+    return jobs.pseudonymise_text(_documents(spark, folder), "text", ["doc_id"], settings).df
+
+
 @query(
     """
     WITH src AS (SELECT conv_id, turn, text || ' reach me at u' || conv_id || '@chat.example.com or 555-'
@@ -654,6 +661,28 @@ def restore_roundtrip(spark, folder):
     return jobs.restore(result.df, ["text"], result.registry, ["doc_id"])
 
 
+def _clients(spark, folder):
+    """Three text columns: an anchor, a correlated address, and notes of which some have nothing to hide."""
+    k = F.col("c_custkey").cast("string")
+    note = F.when(F.col("c_acctbal") < 0, F.concat(F.lit("seen at 10.1."), F.col("c_nationkey").cast("string"), F.lit(".9"))).otherwise(F.col("c_mktsegment"))
+    return table(spark, folder, "customer").select(
+        "c_custkey", F.col("c_name").alias("name"), F.concat(F.lit("c"), k, F.lit("@x.example.com")).alias("email"), note.alias("note"), "c_acctbal"
+    )
+
+
+@query(
+    """
+    SELECT c_custkey, c_name AS name, 'c' || c_custkey || '@x.example.com' AS email,
+      CASE WHEN c_acctbal < 0 THEN 'seen at 10.1.' || c_nationkey || '.9' ELSE c_mktsegment END AS note, c_acctbal
+    FROM customer"""
+)
+def restore_table(spark, folder):
+    """A table with tokens in several columns, restored; the registry is too large to broadcast."""
+    settings = Settings(correlated_fields=("email",))
+    done = jobs.pseudonymise_table(_clients(spark, folder), ["c_custkey"], settings, scan=["note"])
+    return RES.restore(done.df, ["name", "email", "note"], done.registry, bound=0)
+
+
 @query(
     """
     WITH base AS (SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) AS n FROM customer)
