@@ -23,6 +23,10 @@ class Settings:
     ``lexicon`` is a DataFrame ``(term, etype)`` for names, organisations and places.
     ``ner`` maps a text column to an array of spans (see :mod:`veilmark.functions.spans`)
     and is the place for a user's own model, usually a pandas UDF.
+
+    ``exclude_terms`` and ``subject_values`` are lists, or DataFrames with a ``term`` or ``value`` column
+    of any size.  ``domain_suffixes`` is a DataFrame with a ``suffix`` column (``com``, ``co.uk``), for
+    instance the public suffix list, and replaces the built-in endings of domains.
     """
 
     company_terms: Sequence[str] | DataFrame = ()
@@ -30,13 +34,14 @@ class Settings:
     lexicon: DataFrame | None = None
     ner: Callable[[Column], Column] | None = None
     rules: Sequence[P.PatternRule] = ()
-    exclude_terms: Sequence[str] = ()
+    exclude_terms: Sequence[str] | DataFrame = ()
     passthrough_types: Sequence[str] = ()
     masking_rules: dict = field(default_factory=dict)
     redact_profiles: dict = field(default_factory=dict)
     mask: bool = False
     redact: bool = False
-    subject_values: Sequence[str] = ()
+    subject_values: Sequence[str] | DataFrame = ()
+    domain_suffixes: DataFrame | None = None
     anchor_field: str | None = None
     correlated_fields: Sequence[str] = ()
     force_fields: Sequence[str] = ()
@@ -66,12 +71,23 @@ class Settings:
 
     @property
     def subject_keys(self) -> tuple[str, ...]:
+        if isinstance(self.subject_values, DataFrame):
+            return ()
         return tuple(sorted({v.strip().lower() for v in self.subject_values}))
 
     @property
     def excluded_keys(self) -> tuple[str, ...]:
+        if isinstance(self.exclude_terms, DataFrame):
+            return ()
         return tuple(sorted({t.lower() for t in self.exclude_terms}))
 
+    @property
+    def by_tables(self) -> bool:
+        """Whether a policy or the domain endings come as a table, so that spans meet it in a join."""
+        return self.domain_suffixes is not None or any(
+            isinstance(v, DataFrame) for v in (self.exclude_terms, self.subject_values)
+        )
+
 
 def passthrough_for_tokens(configured: Iterable[str], extra: Iterable[str] = ()) -> frozenset[str]:
     """Configured types and call arguments together, minus the protected types."""

@@ -21,16 +21,6 @@ REDACT_ONLY_TYPES = ("AMOUNT", "IBAN_CODE", "MAC_ADDRESS")
 PROTECTED_STRICT = frozenset({"PERSON", "EMAIL", "COMPANY", "ORG", "CREDIT_CARD"})
 PROTECTED_RELAXED = frozenset({"CREDIT_CARD"})
 
-SCORES = {
-    "EMAIL": "1.00", "CREDIT_CARD": "1.00", "IBAN_CODE": "1.00",
-    "COMPANY": "0.99",
-    "ROSTER": "0.95",
-    "PERSON": "0.85", "ORG": "0.85", "LOC": "0.85", "AMOUNT": "0.85",
-    "IP": "0.60", "URL": "0.60", "MAC_ADDRESS": "0.60",
-    "DOMAIN": "0.50",
-    "PHONE": "0.40",
-}
-
 EMPTY_WORDS = ("nan", "none", "<na>")
 
 ANCHOR_CANDIDATES = (
@@ -49,6 +39,19 @@ MAIL_HEADERS = ("From", "To", "Cc", "Bcc", "Reply-To", "Subject")
 CARD_MASK_DEFAULTS = {"keep_first": 6, "keep_last": 4, "fill_char": "X"}
 MASK_DEFAULTS = {"PERSON": {}, "CREDIT_CARD": {}}
 
+# ---- choices of this library ------------------------------------------------------
+
+SCORES = {
+    "EMAIL": "1.00", "CREDIT_CARD": "1.00", "IBAN_CODE": "1.00",
+    "COMPANY": "0.99",
+    "ROSTER": "0.95",
+    "PERSON": "0.85", "ORG": "0.85", "LOC": "0.85", "AMOUNT": "0.85",
+    "IP": "0.60", "URL": "0.60", "MAC_ADDRESS": "0.60",
+    "DOMAIN": "0.50",
+    "PHONE": "0.40",
+}
+
+# Endings a domain may have unless ``Settings.domain_suffixes`` names others.
 TOP_LEVEL_DOMAINS = (
     "com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "io", "co", "ai",
     "app", "dev", "eu", "uk", "us", "ca", "de", "fr", "es", "it", "nl", "ch", "at",
@@ -74,6 +77,11 @@ IP_VALID = (
     r"^(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
     r"(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
 )
+# A token with colons; what is an address is decided by its groups.  It must not end in a full stop
+# or a single colon, which belong to the sentence.
+IP6_RUN = r"[0-9A-Za-z_]*:[0-9A-Za-z_:.]*(?:::|[0-9A-Za-z_])"
+IP6_GROUPS = r"^[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*$"
+IP6_TAIL = r"^(?:[0-9A-Fa-f]{1,4}:)*" + IP_VALID[1:]
 # A name has 127 labels at most.
 DOMAIN_RUN = r"(?:[A-Za-z0-9-]+\.){1,126}[A-Za-z]{2,}"
 DOMAIN_VALID = r"\.(?:" + "|".join(TOP_LEVEL_DOMAINS) + r")$"
@@ -121,20 +129,30 @@ class PatternRule:
     fast: str | None = None
 
 
-PATTERN_RULES = {
-    r.etype: r
-    for r in (
-        PatternRule("EMAIL", EMAIL, SCORES["EMAIL"], hint="@", fast=run_start("A-Za-z0-9._%+-") + EMAIL),
-        PatternRule("PHONE", PHONE, SCORES["PHONE"], guard="[+0-9][0-9]", pair=True),
-        PatternRule("IP", IP_RUN, SCORES["IP"], guard=r"[0-9]\.[0-9]", check="is_ipv4", pair=True,
-                    fast=run_start("0-9") + IP_RUN),
-        PatternRule("DOMAIN", DOMAIN_RUN, SCORES["DOMAIN"], guard=r"\.[A-Za-z]{2}", check="is_domain", pair=True,
-                    fast=run_start("A-Za-z0-9-") + DOMAIN_RUN),
-        PatternRule("URL", URL, SCORES["URL"], hint="://"),
-        PatternRule("CREDIT_CARD", CARD_RUN, SCORES["CREDIT_CARD"], guard="[0-9]{4}", check="is_card", pair=True),
-        PatternRule("IBAN_CODE", IBAN_RUN, SCORES["IBAN_CODE"], guard="[A-Z]{2}[0-9]{2}", check="is_iban", pair=True),
-        PatternRule("MAC_ADDRESS", MAC, SCORES["MAC_ADDRESS"], guard="[:-][0-9A-Fa-f]{2}"),
-        PatternRule("AMOUNT", AMOUNT, SCORES["AMOUNT"], guard="[0-9]",
-                    fast=f"{_AMOUNT_BEFORE}|{run_start('0-9')}{_AMOUNT_BEHIND}"),
-    )
-}
+_RULES = (
+    PatternRule("EMAIL", EMAIL, SCORES["EMAIL"], hint="@", fast=run_start("A-Za-z0-9._%+-") + EMAIL),
+    PatternRule("PHONE", PHONE, SCORES["PHONE"], guard="[+0-9][0-9]", pair=True),
+    PatternRule("IP", IP_RUN, SCORES["IP"], guard=r"[0-9]\.[0-9]", check="is_ipv4", pair=True,
+                fast=run_start("0-9") + IP_RUN),
+    PatternRule("IP", IP6_RUN, SCORES["IP"], guard=":[0-9A-Fa-f]{0,4}:", check="is_ipv6",
+                fast=run_start("0-9A-Za-z_") + IP6_RUN),
+    PatternRule("DOMAIN", DOMAIN_RUN, SCORES["DOMAIN"], guard=r"\.[A-Za-z]{2}", check="is_domain", pair=True,
+                fast=run_start("A-Za-z0-9-") + DOMAIN_RUN),
+    PatternRule("URL", URL, SCORES["URL"], hint="://"),
+    PatternRule("CREDIT_CARD", CARD_RUN, SCORES["CREDIT_CARD"], guard="[0-9]{4}", check="is_card", pair=True),
+    PatternRule("IBAN_CODE", IBAN_RUN, SCORES["IBAN_CODE"], guard="[A-Z]{2}[0-9]{2}", check="is_iban", pair=True),
+    PatternRule("MAC_ADDRESS", MAC, SCORES["MAC_ADDRESS"], guard="[:-][0-9A-Fa-f]{2}"),
+    PatternRule("AMOUNT", AMOUNT, SCORES["AMOUNT"], guard="[0-9]",
+                fast=f"{_AMOUNT_BEFORE}|{run_start('0-9')}{_AMOUNT_BEHIND}"),
+)
+
+#: The first rule of each type.
+PATTERN_RULES: dict[str, PatternRule] = {}
+for _rule in _RULES:
+    PATTERN_RULES.setdefault(_rule.etype, _rule)
+IPV6_RULE = next(r for r in _RULES if r.check == "is_ipv6")
+
+
+def rules_of(types) -> list[PatternRule]:
+    """All rules that find one of *types*."""
+    return [r for r in _RULES if r.etype in types]

@@ -84,6 +84,22 @@ def is_ipv4(v: str) -> str:
     return f"rlike({v}, {lit(P.IP_VALID)})"
 
 
+def is_ipv6(v: str) -> str:
+    """At most one ``::``, groups of up to four hex digits, eight in all or fewer around ``::``.
+
+    The last two groups may be an IPv4 address.  An address without any decimal digit is not
+    told from code such as ``a::b`` and does not count.
+    """
+    last = "i = size(ps) - 1"
+    fine = f"(p = '' AND size(ps) = 2) OR rlike(p, {lit(P.IP6_GROUPS)}) OR ({last} AND rlike(p, {lit(P.IP6_TAIL)}))"
+    units = "CASE WHEN p = '' THEN 0 WHEN contains(p, '.') THEN size(split(p, ':')) + 1 ELSE size(split(p, ':')) END"
+    total = f"aggregate(transform(ps, p -> {units}), 0, (n, u) -> n + u)"
+    whole = f"CASE size(ps) WHEN 1 THEN {total} = 8 WHEN 2 THEN {total} BETWEEN 1 AND 7 ELSE false END"
+    parts = f"split({v}, '::', -1)"
+    good = f"forall(transform(ps, (p, i) -> {fine}), b -> b) AND {whole}"
+    return f"(rlike({v}, '[0-9]') AND exists(transform(array({parts}), ps -> {good}), b -> b))"
+
+
 def is_domain(v: str) -> str:
     return f"rlike(lower({v}), {lit(P.DOMAIN_VALID)})"
 
@@ -103,11 +119,16 @@ def is_iban(v: str) -> str:
     return f"aggregate(split({turned}, ''), 0, (acc, ch) -> {step}) = 1"
 
 
-CHECKS = {"is_ipv4": is_ipv4, "is_domain": is_domain, "is_card": is_card, "is_iban": is_iban}
+CHECKS = {"is_ipv4": is_ipv4, "is_ipv6": is_ipv6, "is_domain": is_domain, "is_card": is_card, "is_iban": is_iban}
+
+
+def candidates(text: str, rule: PatternRule) -> str:
+    """Hits of a rule's pattern, not checked yet."""
+    return find_all(text, lit(rule.fast or rule.pattern), rule.hint, rule.guard)
 
 
 def rule_spans(text: str, rule: PatternRule) -> str:
-    hits = find_all(text, lit(rule.fast or rule.pattern), rule.hint, rule.guard)
+    hits = candidates(text, rule)
     if rule.check is not None:
         hits = f"filter({hits}, c -> {CHECKS[rule.check]('c.value')})"
     return as_spans(hits, lit(rule.etype), rule.score)

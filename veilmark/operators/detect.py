@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.config import Settings
+from veilmark.functions import scalars as S
 from veilmark.functions import spans as SP
-from veilmark.functions.patterns import PATTERN_RULES
+from veilmark.functions.patterns import PATTERN_RULES, rules_of
 from veilmark.functions.scalars import strip_sql
 from veilmark.operators import dictionary as D
 
@@ -19,7 +22,9 @@ def ident(column: str) -> str:
 
 def pattern_spans(text: str, settings: Settings) -> str:
     """Spans of the pattern recognisers that the mode asks for."""
-    rules = [PATTERN_RULES[t] for t in settings.entity_types if t in PATTERN_RULES]
+    rules = rules_of(settings.entity_types)
+    if settings.domain_suffixes is not None:
+        rules = [r for r in rules if r.etype != "DOMAIN"]
     return SP.rules_spans(text, (*rules, *settings.rules))
 
 
@@ -95,22 +100,78 @@ def detect(
 ) -> DataFrame:
     """Rows ``keep + entities``, without the text.
 
-    With an oversized dictionary its matches and those of the patterns meet per row key, and rows
-    without spans are left out.
+    With an oversized dictionary, or policies and domain endings as tables, spans become rows, meet
+    the tables in joins and are put together per row key; rows without spans are left out then.
     """
     dictionary = D.load(df.sparkSession, settings) if dictionary is None else dictionary
-    if dictionary.in_row:
+    if in_row(settings, dictionary):
         return with_entities(df, text_col, settings, dictionary, only_allowed).select(*keep, "entities")
-    passes = df.select(*keep, _found(text_col, settings, None).alias("spans")).unionByName(
-        D.find(df, keep, text_col, dictionary)
-    )
+    passes = [df.select(*keep, _found(text_col, settings, dictionary if dictionary.in_row else None).alias("spans"))]
+    if not dictionary.in_row:
+        passes.append(D.find(df, keep, text_col, dictionary))
+    if settings.domain_suffixes is not None and "DOMAIN" in settings.entity_types:
+        passes.append(domains_by_table(df, keep, text_col, settings.domain_suffixes))
+    together = reduce(DataFrame.unionByName, passes)
     # Texts without spans drop out here; the outer form is explained in span_rows.
-    found = passes.select(*keep, F.explode_outer("spans").alias("span")).filter(F.col("span").isNotNull())
-    together = found.groupBy(*keep).agg(F.collect_list("span").alias("spans"))
+    found = together.select(F.struct(*keep).alias("_key"), F.explode_outer("spans").alias("span")).filter(F.col("span").isNotNull())
+    excluded = excluded_table(settings)
+    if excluded is not None:
+        # Spelled as excluded, a term does not enter the contest.
+        found = without(found, F.col("span.value"), excluded)
+    per_key = found.groupBy("_key").agg(F.collect_list("span").alias("spans"))
     spans = settle("spans", settings)
     if only_allowed:
         spans = f"filter({spans}, s -> {allowed(settings)})"
-    return together.select(*keep, F.expr(spans).alias("entities"))
+    settled = per_key.select("_key", F.expr(spans).alias("entities"))
+    subjects = subject_keys_table(settings) if only_allowed else None
+    if excluded is not None or subjects is not None:
+        rows = settled.select("_key", F.posexplode("entities").alias("rank", "span"))
+        if excluded is not None:
+            rows = without(rows, F.lower("span.value"), excluded)
+        if subjects is not None:
+            rows = without(rows, F.lower(S.strip(F.col("span.value"))), subjects)
+        ranked = rows.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("rank", "span"))).alias("rs"))
+        settled = ranked.select("_key", F.transform("rs", lambda r: r["span"]).alias("entities"))
+    return settled.select("_key.*", "entities")
+
+
+def in_row(settings: Settings, dictionary: D.Dictionary) -> bool:
+    """Whether all spans of a text can be found and settled without leaving its row."""
+    return dictionary.in_row and not settings.by_tables
+
+
+def excluded_table(settings: Settings) -> DataFrame | None:
+    """``key``: the excluded terms in lower case, if they come as a table."""
+    terms = settings.exclude_terms
+    return terms.select(F.lower("term").alias("key")).distinct() if isinstance(terms, DataFrame) else None
+
+
+def subject_keys_table(settings: Settings) -> DataFrame | None:
+    """``key``: the data subjects' values, trimmed and in lower case, if they come as a table."""
+    values = settings.subject_values
+    return values.select(F.lower(S.strip(F.col("value"))).alias("key")).distinct() if isinstance(values, DataFrame) else None
+
+
+def without(rows: DataFrame, value: Column, keys: DataFrame) -> DataFrame:
+    """The *rows* whose *value* is not among the *keys*; rows without a value stay."""
+    return rows.join(keys.withColumnRenamed("key", "_unwanted"), value == F.col("_unwanted"), "left_anti")
+
+
+def domains_by_table(df: DataFrame, keep: list[str], text_col: str, suffixes: DataFrame) -> DataFrame:
+    """Rows ``keep + spans``: domain names whose last labels are one of *suffixes*.
+
+    A name is looked up once for each number of labels that a suffix may have.
+    """
+    rule = PATTERN_RULES["DOMAIN"]
+    known = suffixes.select(F.lower(F.ltrim(S.strip(F.col("suffix")), F.lit("."))).alias("_ending")).filter("_ending <> ''").distinct()
+    most = known.agg(F.max(F.size(F.split("_ending", r"\."))).alias("n")).first()["n"] or 0
+    names = df.select(F.struct(*keep).alias("_key"), F.expr(f"explode({SP.candidates(ident(text_col), rule)})").alias("hit"))
+    labels = names.withColumn("_labels", F.split(F.lower("hit.value"), r"\."))
+    endings = F.expr(f"transform(sequence(1, least(size(_labels) - 1, {max(most, 1)})), n -> array_join(slice(_labels, -n, n), '.'))")
+    met = labels.select("_key", "hit", F.explode(endings).alias("_ending")).join(known, "_ending").dropDuplicates(["_key", "hit"])
+    return met.groupBy("_key").agg(F.collect_list("hit").alias("hits")).select(
+        "_key.*", F.expr(SP.as_spans("hits", "'DOMAIN'", rule.score)).alias("spans")
+    )
 
 
 def span_rows(detected: DataFrame, keep: list[str], spans_col: str = "entities") -> DataFrame:

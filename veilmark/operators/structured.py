@@ -181,6 +181,15 @@ def scanned_rows(plan: TablePlan, settings: Settings, dictionary: D.Dictionary)
     return _hit_rows(detected, keep, scanned_hits(settings))
 
 
+def spare(rows: DataFrame, settings: Settings, anchored: bool) -> DataFrame:
+    """Hit rows without the values of a table of data subjects; an anchor still gives its row a person."""
+    subjects = DET.subject_keys_table(settings)
+    if subjects is None:
+        return rows
+    anchor = F.col("col") == 0 if anchored else F.lit(False)
+    return rows.filter(anchor).unionByName(DET.without(rows.filter(~anchor), F.lower(S.strip(F.col("value"))), subjects))
+
+
 def events(hit_rows: DataFrame, src: int) -> DataFrame:
     place = E.seq(F.lit(src), F.col("ord"), F.col("col"), F.col("rank"))
     linked = F.col("kind").isin(E.ALIAS, E.EMAIL_OF)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.config import Settings, for_dsar, for_redact
+from veilmark.functions import scalars as S
 from veilmark.operators import audit as AUD
 from veilmark.operators import celltable as CELL
 from veilmark.operators import detect as DET
@@ -115,6 +116,7 @@ def run(
             )
             parts[name] = _TablePart(plan, settings, dictionary)
     events = reduce(DataFrame.unionByName, [e for p in parts.values() for e in p.events])
+    subjects = DET.subject_keys_table(settings)
     bounds = [p.bound for p in parts.values()]
     bound = None if None in bounds else sum(bounds)
     linked = any(p.linked for p in parts.values())
@@ -131,6 +133,8 @@ def run(
     )
     registry = added if previous is None else previous.unionByName(added)
     lookup = REG.forward(registry)
+    if subjects is not None:
+        lookup = stage(DET.without(lookup, F.lower(S.strip(F.col("value"))), subjects))
     _, lookup_bytes = measure(lookup, "value", "token")
     outputs = {name: part.rewrite(lookup, lookup_bytes) for name, part in parts.items()}
     return RunResult(outputs, registry, added, {n: p.hits for n, p in parts.items() if p.hits is not None})
@@ -150,8 +154,8 @@ class _TextPart:
     """Detection and rewriting of one text input.
 
     The input is read and searched once: rows and their spans are written as a columnar table,
-    from which the events take the spans only and the rewriting takes the texts.  An oversized
-    dictionary finds spans by an index; then only they are written.
+    from which the events take the spans only and the rewriting takes the texts.  Spans that need
+    joins, as with an oversized dictionary or policies as tables, are written without texts.
     """
 
     linked = False
@@ -161,7 +165,7 @@ class _TextPart:
         key = [*given.key, "_ord"]
         rows = given.df.withColumn("_ord", E.order_struct(given.order))
         self.held = None
-        if dictionary.in_row:
+        if DET.in_row(settings, dictionary):
             self.held = stage(DET.with_entities(rows, given.text_col, settings, dictionary, True, "_spans"))
             kept = self.held.filter(HAS_SPANS).select(*key, "_spans")
         else:
@@ -196,10 +200,10 @@ class _TablePart:
         self.linked = STR.CORRELATED in plan.roles.values()
         if plan.direct:
             # As many rows as the table has cells, so these are read again, not stored.
-            self.events.append(STR.events(STR.direct_rows(plan, settings), plan.src))
+            self.events.append(STR.events(STR.spare(STR.direct_rows(plan, settings), settings, plan.anchor is not None), plan.src))
             self.bound = None
         if plan.columns_of(STR.SCANNED):
-            rows = cut(STR.scanned_rows(plan, settings, dictionary))
+            rows = stage(STR.spare(STR.scanned_rows(plan, settings, dictionary), settings, False))
             n, size = measure(rows, "value")
             self.events.append(STR.events(rows, plan.src))
             self.bound = None if self.bound is None else n
@@ -218,7 +222,7 @@ class _CellPart:
     def __init__(self, plan: CELL.CellPlan, settings: Settings, dictionary: D.Dictionary) -> None:
         self.plan, self.settings = plan, settings
         self.linked = bool(settings.correlated_fields)
-        self.rows = stage(CELL.hit_rows(plan, settings, dictionary, CELL.cells(plan, settings)))
+        self.rows = stage(STR.spare(CELL.hit_rows(plan, settings, dictionary, CELL.cells(plan, settings)), settings, True))
         _, self.bytes = measure(self.rows, "value")
         self.events = [CELL.events(self.rows, plan.src)]
 

@@ -23,6 +23,7 @@ from veilmark.operators import registry as REG
 from veilmark.operators import restore as RES
 from veilmark.operators import roster as ROS
 from veilmark.operators import structured as STR
+from veilmark.operators import subject as SUB
 from veilmark.operators import summary as SUM
 from veilmark.plans import jobs
 from veilmark.plans.sqltext import (
@@ -119,6 +120,53 @@ _detect(
 )
 
 
+ADDRESSES = """
+    SELECT s_suppkey, 'from ' || CASE s_suppkey % 4
+      WHEN 0 THEN '2001:db8:' || printf('%x', s_suppkey) || '::8a2e:370:7334' WHEN 1 THEN 'fe80::' || printf('%x', s_suppkey) || ':1'
+      WHEN 2 THEN '1:2:3:4:5:6:7:' || printf('%x', s_suppkey) ELSE '::ffff:10.0.0.' || (s_suppkey % 256) END
+      || ', not 12:30:45 or a::b, 1::2::3, 1:2:3:4:5:6:7:8:9 and x' || s_suppkey || '::y.' AS text FROM supplier"""
+
+
+@query(f"WITH src AS ({ADDRESSES}) SELECT s_suppkey, value FROM ({spans('src', 's_suppkey', 'text', 'IP', P.IPV6_RULE)})")
+def detect_ipv6(spark, folder):
+    k = F.col("s_suppkey")
+    x = F.lower(F.hex(k))
+    kind = k % 4
+    address = (
+        F.when(kind == 0, F.concat(F.lit("2001:db8:"), x, F.lit("::8a2e:370:7334")))
+        .when(kind == 1, F.concat(F.lit("fe80::"), x, F.lit(":1")))
+        .when(kind == 2, F.concat(F.lit("1:2:3:4:5:6:7:"), x))
+        .otherwise(F.concat(F.lit("::ffff:10.0.0."), (k % 256).cast("string")))
+    )
+    rest = F.concat(F.lit(", not 12:30:45 or a::b, 1::2::3, 1:2:3:4:5:6:7:8:9 and x"), k.cast("string"), F.lit("::y."))
+    src = table(spark, folder, "supplier").select("s_suppkey", F.concat(F.lit("from "), address, rest).alias("text"))
+    settings = Settings()
+    rows = _entity_rows(src, "s_suppkey", settings)
+    return rows.filter(F.col("etype") == "IP").filter(F.contains("value", F.lit(":"))).select("s_suppkey", "value")
+
+
+@query(
+    """
+    WITH src AS (SELECT c_custkey, c_custkey % 3 AS kind,
+                   'land' || translate(CAST(n_nationkey AS VARCHAR), '0123456789', 'abcdefghij') AS land
+                 FROM customer JOIN nation ON c_nationkey = n_nationkey)
+    SELECT c_custkey, 'www.c' || c_custkey || '.' || CASE kind WHEN 0 THEN land ELSE 'CO.' || land END AS value
+    FROM src WHERE kind < 2"""
+)
+def detect_domain_suffixes(spark, folder):
+    """Domain endings from a table: one per nation, and ``co.`` before it."""
+    nation = table(spark, folder, "nation").select("n_nationkey", F.concat(F.lit("land"), F.translate(F.col("n_nationkey").cast("string"), "0123456789", "abcdefghij")).alias("land"))
+    suffixes = nation.select("land").union(nation.select(F.concat(F.lit(".co."), "land"))).toDF("suffix")
+    k = F.col("c_custkey").cast("string")
+    kind = F.col("c_custkey") % 3
+    ending = F.when(kind == 0, F.col("land")).when(kind == 1, F.concat(F.lit("CO."), "land")).otherwise(F.concat("land", F.lit("x")))
+    src = table(spark, folder, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        "c_custkey", F.concat(F.lit("see www.c"), k, F.lit("."), ending, F.lit(" or file.com today")).alias("text")
+    )
+    rows = _entity_rows(src, "c_custkey", Settings(domain_suffixes=suffixes))
+    return rows.filter("etype = 'DOMAIN'").select("c_custkey", "value")
+
+
 def _entity_rows(df: DataFrame, key: str, settings: Settings) -> DataFrame:
     return DET.span_rows(DET.detect(df, "text", [key], settings, only_allowed=True), [key])
 
@@ -262,6 +310,47 @@ def _lower_list(values) -> str:
     return "(" + ", ".join(lit(v.lower()) for v in values) + ")"
 
 
+def _some_values(spark, folder, column: str) -> DataFrame:
+    """A third of the e-mail addresses of the documents, in capitals."""
+    found = _documents(spark, folder).select(F.expr(f"explode({SP.rule_spans('text', P.PATTERN_RULES['EMAIL'])})").alias("s"))
+    value = F.upper("s.value")
+    third = F.conv(F.substring(F.md5(F.lower("s.value")), 1, 2), 16, 10).cast("int") % 3 == 0
+    return found.filter(third).select(value.alias(column)).distinct()
+
+
+THIRD = "etype = 'EMAIL' AND CAST(('0x' || substr(md5(lower(value)), 1, 2)) AS INTEGER) % 3 = 0"
+
+
+@query(
+    "WITH " + settled("documents", "doc_id", "text", STANDARD_TIERS, entering=f"NOT ({THIRD} AND value = lower(value))")
+    + f" SELECT doc_id, etype, value FROM ents WHERE NOT ({THIRD})"
+)
+def exclude_table(spark, folder):
+    """Excluded terms as a table."""
+    settings = Settings(exclude_terms=_some_values(spark, folder, "term"))
+    return _entity_rows(_documents(spark, folder), "doc_id", settings).select("doc_id", "etype", "value")
+
+
+@query(
+    """
+    WITH src AS (SELECT c_custkey, c_nationkey, c_mktsegment || ' ' || c_name AS full_name, c_name AS last FROM customer),
+    spared AS (SELECT full_name AS v FROM src WHERE c_nationkey < 5),
+    kept AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS n FROM src WHERE c_nationkey >= 5),
+    ips AS (SELECT c_nationkey, row_number() OVER (ORDER BY min(c_custkey)) AS m FROM src GROUP BY 1)
+    SELECT src.c_custkey, CASE WHEN n IS NULL THEN full_name ELSE '[PERSON_' || n || ']' END || ' was at [IP_' || m || ']' AS text
+    FROM src LEFT JOIN kept USING (c_custkey) JOIN ips USING (c_nationkey)"""
+)
+def subject_names(spark, folder):
+    """Everybody of some nations is a data subject: their names, from a table, stay visible."""
+    customer = table(spark, folder, "customer")
+    name = F.concat_ws(" ", "c_mktsegment", "c_name")
+    subjects = customer.filter("c_nationkey < 5").select(F.upper(name).alias("full_name"))
+    roster = customer.select(name.alias("term"), F.lit("PERSON").alias("etype"))
+    text = F.concat(name, F.lit(" was at 10.0.0."), F.col("c_nationkey").cast("string"))
+    settings = Settings(lexicon=roster, subject_values=SUB.subject_table(subjects))
+    return jobs.pseudonymise_text(customer.select("c_custkey", text.alias("text")), "text", ["c_custkey"], settings).df
+
+
 ENTERING = f"value NOT IN {_lower_list(EXCLUDED)}"
 
 

@@ -30,15 +30,21 @@ def iban(compact: str) -> str:
 
 CHECKS = {
     "is_ipv4": f"regexp_matches(value, {lit(P.IP_VALID)})",
+    "is_ipv6": f"""regexp_matches(value, '[0-9]') AND len(string_split(value, '::')) <= 2
+      AND list_bool_and(list_transform(string_split(value, '::'), lambda p, i: (p = '' AND len(string_split(value, '::')) = 2)
+        OR regexp_matches(p, {lit(P.IP6_GROUPS)}) OR (i = len(string_split(value, '::')) AND regexp_matches(p, {lit(P.IP6_TAIL)}))))
+      AND CASE WHEN contains(value, '::') THEN
+        list_sum(list_transform(string_split(value, '::'), lambda p: CASE WHEN p = '' THEN 0 ELSE len(string_split(p, ':')) + CAST(contains(p, '.') AS INTEGER) END)) BETWEEN 1 AND 7
+        ELSE len(string_split(value, ':')) + CAST(contains(value, '.') AS INTEGER) = 8 END""",
     "is_domain": f"regexp_matches(lower(value), {lit(P.DOMAIN_VALID)})",
     "is_card": luhn("regexp_replace(value, '[ -]', '', 'g')"),
     "is_iban": iban("replace(value, ' ', '')"),
 }
 
 
-def spans(source: str, key: str, text: str, etype: str) -> str:
+def spans(source: str, key: str, text: str, etype: str, rule=None) -> str:
     """SELECT of ``key, etype, value, s, e, score`` for one pattern rule."""
-    rule = PATTERN_RULES[etype]
+    rule = rule or PATTERN_RULES[etype]
     pattern = lit(rule.pattern)
     check = CHECKS[rule.check] if rule.check else "TRUE"
     return f"""
