@@ -4,6 +4,7 @@ import io
 import json
 import os
 import random
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ import veilmark as V
 from veilmark.operators.roster import RosterError
 from veilmark.sources import files as FILES
 from veilmark.sources import tables as T
-from veilmark.sources.html import data_text, html_text
+from veilmark.sources.html import html_text
 from veilmark.sources.mail import read_mail
 from veilmark.sources.text import read_texts, write_texts
 from veilmark.streaming.stream import pseudonymise_stream
@@ -131,11 +132,35 @@ def test_roster(spark, tmp_path):
         T.read_roster(spark, put(tmp_path / "bad", "r.csv", "name\nx\n"))
 
 
+class Data(HTMLParser):
+    def handle_data(self, data):
+        self.__dict__.setdefault("found", []).append(data)
+
+
+def parsed(html):
+    parser = Data()
+    parser.feed(html)
+    parser.close()
+    return " ".join(parser.__dict__.get("found", []))
+
+
+HTML = [
+    "<p>Hi<b>you</b></p><script>var x;</script>&amp; all", "just text", "", "a < b <i>c</i>", '<p title="x>y">z</p>',
+    "<!DOCTYPE html><!-- a <b> c -->x<br/>y<?php z ?>w", "<style>p{a:b}</style><STYLE>i>b</STYLE>q",
+    "<script>if (a<b) {t='<p>';}</script>end", "&#233;&#x1F600;&eacute;&nope;&lt;b&gt;", "<div\n class='a'\n>line\nbreak</div>",
+]
+
+
 def test_html(spark):
-    html = "<p>Hi<b>you</b></p><script>var x;</script>&amp; all"
-    assert data_text(html) == "Hi you var x; & all"
-    df = spark.createDataFrame([(html,), (None,)], "h string")
-    assert [r[0] for r in df.select(html_text("h")).collect()] == [data_text(html), None]
+    df = spark.createDataFrame([(h,) for h in [*HTML, None]], "h string")
+    got = [r[0] for r in df.select(html_text("h")).collect()]
+    assert got == [*map(parsed, HTML), None]
+
+
+def test_html_of_any_length(spark):
+    long = "<p>" + "word " * 200_000 + "</p><a href='" + "x" * 500_000 + "'>y</a>" + "<" * 1000
+    df = spark.createDataFrame([(long,)], "h string")
+    assert df.select(html_text("h")).first()[0] == "word " * 200_000 + " y " + " ".join("<" * 1000)
 
 
 MAIL = """From: Ann <ann@x.example.com>

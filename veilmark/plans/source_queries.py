@@ -17,7 +17,8 @@ from veilmark.plans import folder as FOLDER
 from veilmark.plans.queries import query, table
 from veilmark.sources import files as FILES
 from veilmark.sources import tables as T
-from veilmark.sources.html import html_text
+from veilmark.plans.sqltext import lit
+from veilmark.sources.html import MARKUP, RAW_CONTENT, html_text
 from veilmark.sources.mail import mail_text
 from veilmark.sources.text import write_texts
 
@@ -27,7 +28,18 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-@query()
+def _page_text() -> str:
+    """The text of a page; the pages hold four kinds of character references."""
+    markup = lit(MARKUP)
+    known = "replace(replace(replace(replace(d, '&middot;', chr(183)), '&copy;', chr(169)), '&quot;', chr(34)), '&amp;', '&')"
+    return f"""
+      WITH cut AS (SELECT page_id, string_split_regex(html, {markup}) AS ds, regexp_extract_all(html, {markup}) AS ms FROM pages)
+      SELECT page_id, array_to_string(list_filter(flatten(list_transform(range(1, len(ds) + 1), lambda i: [
+        list_transform([ds[i]], lambda d: {known})[1], coalesce(regexp_extract(ms[i], {lit(RAW_CONTENT)}, 1), '')])),
+        lambda p: p <> ''), ' ') AS text FROM cut"""
+
+
+@query(_page_text())
 def html_to_text(spark, folder):
     pages = table(spark, folder, "pages")
     return pages.select("page_id", html_text("html").alias("text"))

@@ -1,16 +1,26 @@
-"""E-mail corpora: raw messages to header block plus body."""
+"""E-mail corpora: raw messages to header block plus body.
+
+A small parser turns every message into its headers and its readable parts; which of them
+make up the text is decided by expressions over those arrays.
+"""
 
 from __future__ import annotations
 
 import email
 import email.policy
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilmark.functions.patterns import MAIL_HEADERS
-from veilmark.sources.html import data_text
+from veilmark.functions.scalars import strip_sql
+from veilmark.functions.spans import lit
+from veilmark.sources.html import text_of
+
+_PARTS = pa.list_(pa.struct([("kind", pa.string()), ("content", pa.string())]))
+_HEADERS = pa.map_(pa.string(), pa.string())
+_SHAPE = "path string, named map<string,string>, parts array<struct<kind:string,content:string>>, problem string"
 
 
 def read_mail(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
@@ -25,48 +35,59 @@ def read_mail(spark: SparkSession, path: str | list[str], recursive: bool = Fals
 
 
 def mail_text(raw: DataFrame) -> DataFrame:
-    """Parse ``(path, content)`` rows; a message without anything readable is an error row."""
-    parsed = raw.select("path", "content").mapInPandas(
-        _parse, "path string, headers string, body string, error string"
+    """Parse ``(path, content)`` rows; a message without anything readable is an error row.
+
+    The body is the best part that is not empty: plain text before HTML before anything else, the
+    first of its kind.
+    """
+    parsed = raw.select("path", "content").mapInArrow(_parse, _SHAPE)
+    names = f"array({', '.join(lit(n) for n in MAIL_HEADERS)})"
+    value = strip_sql("named[lower(n)]")
+    lines = f"filter(transform({names}, n -> CASE WHEN {value} <> '' THEN concat(n, ': ', {value}) END), l -> l IS NOT NULL)"
+
+    def first(kind: str) -> str:
+        return f"try_element_at(transform(filter(parts, p -> {kind}), p -> p.content), 1)"
+
+    chosen = parsed.select(
+        "path", "problem", F.expr(f"array_join({lines}, '\\n')").alias("headers"),
+        F.expr(first("p.kind = 'text/plain'")).alias("plain"), F.expr(first("p.kind = 'text/html'")).alias("html"),
+        F.expr(first("p.kind NOT IN ('text/plain', 'text/html')")).alias("other"),
     )
+    body = F.expr(f"coalesce(plain, {text_of('html')}, other)")
+    filled = chosen.withColumn("body", body).withColumn("body", F.expr(f"CASE WHEN {strip_sql('body')} <> '' THEN body END"))
+    empty = F.col("body").isNull() & (F.col("headers") == "")
+    error = F.coalesce("problem", F.when(empty, F.lit("no readable content")))
     text = F.concat_ws("\n\n", F.nullif("headers", F.lit("")), "body")
-    return parsed.withColumn("text", F.when(F.col("error").isNull(), text))
+    return filled.withColumn("error", error).select(
+        "path", F.when(F.col("problem").isNull(), F.col("headers")).alias("headers"), "body", "error",
+        F.when(F.col("error").isNull(), text).alias("text"),
+    )
 
 
 def _parse(batches):
     for batch in batches:
-        rows = [_split(content) for content in batch["content"]]
-        out = pd.DataFrame(rows, columns=["headers", "body", "error"])
-        out.insert(0, "path", batch["path"].to_numpy())
-        yield out
-
-
-def _split(content: bytes) -> tuple[str | None, str | None, str | None]:
-    """(header block, body or None, error or None) of one raw message."""
-    try:
-        message = email.message_from_bytes(content, policy=email.policy.compat32)
-        values = [(name, str(message.get(name, "")).strip()) for name in MAIL_HEADERS]
-        headers = "\n".join(f"{name}: {value}" for name, value in values if value)
-        body = _body(message)
-    except Exception as problem:  # one broken message must not stop the corpus
-        return None, None, f"unreadable message: {problem}"
-    body = body if body.strip() else None
-    if body is None and not headers:
-        return None, None, "no readable content"
-    return headers, body, None
-
-
-def _body(message) -> str:
-    """Plain text first, then HTML without its tags, then whatever the message holds."""
-    readable = {}
-    for part in message.walk():
-        kind = part.get_content_type()
-        wanted = kind in ("text/plain", "text/html") or not message.is_multipart()
-        data = part.get_payload(decode=True) if wanted and kind not in readable else None
-        if data:
-            readable[kind] = data.decode(part.get_content_charset() or "utf-8", errors="replace")
-    if "text/plain" in readable:
-        return readable["text/plain"]
-    if "text/html" in readable:
-        return data_text(readable["text/html"])
-    return next(iter(readable.values()), "")
+        named, parts, problems = [], [], []
+        for content in batch.column(1).to_pylist():
+            try:
+                message = email.message_from_bytes(content or b"", policy=email.policy.compat32)
+                # Of a header that repeats, the first counts.
+                heads = {k.lower(): str(v) for k, v in reversed(message.items())}
+                found = [{"kind": p.get_content_type(), "content": _content(p)} for p in message.walk() if not p.is_multipart()]
+                named.append(list(heads.items()))
+                # Parts that are no text count only where the message is nothing else.
+                readable = [f for f in found if f["content"] and (f["kind"] in ("text/plain", "text/html") or len(found) == 1)]
+                parts.append(readable)
+                problems.append(None)
+            except Exception as problem:  # one broken message must not stop the corpus
+                named.append([])
+                parts.append([])
+                problems.append(f"unreadable message: {problem}")
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(named, _HEADERS), pa.array(parts, _PARTS), pa.array(problems, pa.string())],
+            names=["path", "named", "parts", "problem"],
+        )
+
+
+def _content(part) -> str:
+    data = part.get_payload(decode=True) or b""
+    return data.decode(part.get_content_charset() or "utf-8", errors="replace")
