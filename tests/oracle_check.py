@@ -19,9 +19,17 @@ def norm(v) -> str:
     return f"{float(v):.6f}" if isinstance(v, (float, decimal.Decimal)) else str(v)
 
 
-def rows_of(pdf) -> list:
-    cols = sorted(pdf.columns)
-    return sorted(repr(tuple(norm(v) for v in row)) for row in pdf[cols].itertuples(index=False, name=None))
+def rows_of(table) -> list:
+    cols = sorted(table.column_names)
+    return sorted(repr(tuple(norm(v) for v in row)) for row in zip(*(table.column(c).to_pylist() for c in cols)))
+
+
+def kind_of(kind) -> str:
+    import pyarrow.types as t
+
+    if t.is_string(kind) or t.is_large_string(kind):
+        return "string"
+    return "decimal" if t.is_decimal(kind) else str(kind)
 
 
 def connect(folder: str):
@@ -35,18 +43,18 @@ def connect(folder: str):
 
 def compare(spark, con, folder: str, name: str, fn, sql: str | None):
     began = time.time()
-    got = fn(spark, folder).toPandas()
+    got = fn(spark, folder).toArrow()
     spark_s = time.time() - began
     if sql is None:
-        return len(got) > 0, f"{len(got)} rows (no SQL)", spark_s, 0.0
+        return got.num_rows > 0, f"{got.num_rows} rows (no SQL)", spark_s, 0.0
     began = time.time()
-    want = con.execute(sql).df()
+    want = con.execute(sql).to_arrow_table()
     sql_s = time.time() - began
-    if sorted(got.columns) != sorted(want.columns):
-        return False, f"columns {sorted(got.columns)} / {sorted(want.columns)}", spark_s, sql_s
-    kinds = {c: (str(got[c].dtype), str(want[c].dtype)) for c in got.columns}
-    apart = {c: k for c, k in kinds.items() if k[0] != k[1] and not {"object", "str"} >= set(k) and len(got)}
-    if apart and not set(str(k) for k in apart.values()) <= {"('object', 'float64')"}:
+    if sorted(got.column_names) != sorted(want.column_names):
+        return False, f"columns {sorted(got.column_names)} / {sorted(want.column_names)}", spark_s, sql_s
+    kinds = {c: (kind_of(got.schema.field(c).type), kind_of(want.schema.field(c).type)) for c in got.column_names}
+    apart = {c: k for c, k in kinds.items() if k[0] != k[1]}
+    if apart:
         return False, f"types {apart}", spark_s, sql_s
     a, b = rows_of(got), rows_of(want)
     if a != b:

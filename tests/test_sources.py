@@ -16,7 +16,7 @@ from veilmark.sources import tables as T
 from veilmark.sources.html import html_text
 from veilmark.sources.mail import read_mail
 from veilmark.sources.text import read_texts, write_texts
-from veilmark.streaming.stream import pseudonymise_stream
+from veilmark.streaming.stream import bucket_of, pseudonymise_stream, wanted_buckets
 
 
 def put(folder, name, content):
@@ -318,3 +318,32 @@ def test_stream_keeps_tokens(spark, tmp_path):
     rows = {r["id"]: r["text"] for r in spark.read.parquet(out).collect()}
     assert rows == {1: "[EMAIL_1]", 2: "[EMAIL_2] and [EMAIL_1]"}
     assert spark.read.parquet(registry).count() == 2
+
+
+def test_batches_read_their_own_buckets(spark):
+    names = spark.createDataFrame([("Ann Lee", "person"), ("Bo", "person")], "value string, kind string").withColumns(
+        {"anchor": F.lit(None).cast("string"), "seq": F.expr("struct(0 AS sub)")}
+    )
+    got = wanted_buckets(names, 1 << 20)
+    values = spark.createDataFrame([(v,) for v in ("Ann Lee", "Ann", "Lee", "Bo")], "value string")
+    assert got == sorted(r.b for r in values.select(bucket_of("value", 1 << 20).alias("b")).collect())
+
+
+def test_stream_of_many_batches_equals_one_run(spark, tmp_path):
+    """Names, their parts and repeats over five batches, against the whole at once."""
+    names = spark.createDataFrame([(f"Ann{i} Lee{i % 3}", "PERSON") for i in range(10)], "term string, etype string")
+    settings = V.Settings(lexicon=names)
+    rows = [(i, f"Ann{i % 10} Lee{i % 10 % 3} wrote to u{i % 7}@x.example.com") for i in range(25)]
+    schema = "id bigint, text string"
+    for k in range(5):
+        spark.createDataFrame(rows[5 * k : 5 * k + 5], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{k}"))
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+        run = pseudonymise_stream(
+            stream, "text", ["id"], str(tmp_path / "reg"), str(tmp_path / "out"), str(tmp_path / "state"), settings, buckets=8
+        )
+        assert run.awaitTermination(300)
+    want = V.pseudonymise_text(spark.createDataFrame(rows, schema), "text", ["id"], settings)
+    got = spark.read.parquet(str(tmp_path / "out")).select("id", "text")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.df.collect()))
+    stored = spark.read.parquet(str(tmp_path / "reg"))
+    assert {(r.value, r.token) for r in stored.collect()} == {(r.value, r.token) for r in want.registry.collect()}

@@ -12,6 +12,7 @@ Columns: ``value, etype, token, kind, n, restorable, active, batch, seq``.  Rows
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,25 @@ class AliasDepthError(RuntimeError):
     pass
 
 
+@dataclass(frozen=True)
+class Previous:
+    """What a run needs of an earlier registry: the rows of its values, the highest number per type, the last batch."""
+
+    rows: DataFrame
+    tops: DataFrame
+    batch: int
+
+
+def tops(registry: DataFrame) -> DataFrame:
+    """``etype, top``: the highest number of each type."""
+    return registry.filter(F.col("kind").isin(*NUMBERED)).groupBy("etype").agg(F.max("n").alias("top"))
+
+
+def whole(registry: DataFrame) -> Previous:
+    """An earlier registry that is read as a whole."""
+    return Previous(registry, tops(registry), registry.agg(F.max("batch")).first()[0] or 0)
+
+
 def earliest(events: DataFrame) -> DataFrame:
     """The first event of every value."""
     event = F.struct("etype", "kind", "anchor", "seq")
@@ -202,7 +222,7 @@ def build(
     masks: dict | None = None,
     *,
     bound: int | None = None,
-    previous: DataFrame | None = None,
+    previous: Previous | DataFrame | None = None,
     usernames: DataFrame | None = None,
     linked: bool = False,
     single_task_rows: int = 1_000_000,
@@ -215,7 +235,9 @@ def build(
     anchor.
     """
     masks = masks or {}
-    known = None if previous is None else forward(previous)
+    if isinstance(previous, DataFrame):
+        previous = whole(previous)
+    known = None if previous is None else forward(previous.rows)
     rows = winners(events, known)
     if bound is None:
         rows = cut(rows)
@@ -223,10 +245,9 @@ def build(
     rows = number(rows, bound, single_task_rows)
     batch = 0
     if previous is not None:
-        batch = 1 + (previous.agg(F.max("batch")).first()[0] or 0)
-        top = previous.filter(F.col("kind").isin(*NUMBERED)).groupBy("etype").agg(F.max("n").alias("top"))
+        batch = 1 + previous.batch
         # One row per type.
-        rows = rows.join(F.broadcast(top), "etype", "left").withColumn(
+        rows = rows.join(F.broadcast(previous.tops), "etype", "left").withColumn(
             "n", F.col("n") + F.coalesce(F.col("top"), F.lit(0))
         )
     rows = rows.withColumn("token", tokens(masks)).select(

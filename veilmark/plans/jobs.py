@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -86,13 +86,16 @@ def run(
     inputs: dict[str, TextInput | TableInput | CellInput],
     settings: Settings | None = None,
     *,
-    previous: DataFrame | None = None,
+    previous: DataFrame | Callable[[DataFrame], REG.Previous] | None = None,
     anchor: str | None = None,
     force_fields: Sequence[str] | None = None,
     interleave: bool = False,
 ) -> RunResult:
     """Texts and tables with one registry.
 
+    *previous* is an earlier registry, or a function that gives the part of it that the events of
+    this run need.
+
     Values are numbered input by input in the given order, or, with *interleave*, by the
     order columns alone.  The order columns must have the same types in all inputs.
     """
@@ -125,13 +128,15 @@ def run(
         roster = ROS.placed(settings.roster)
         events = ROS.events(roster, order).unionByName(events)
         usernames, bound = ROS.usernames(roster), None
+    if previous is not None:
+        previous = REG.whole(previous) if isinstance(previous, DataFrame) else previous(events)
     added = cut(
         REG.build(
             events, settings.active_masks, bound=bound, previous=previous, usernames=usernames,
             linked=linked, single_task_rows=settings.single_task_rows,
         )
     )
-    registry = added if previous is None else previous.unionByName(added)
+    registry = added if previous is None else previous.rows.unionByName(added)
     lookup = REG.forward(registry)
     if subjects is not None:
         lookup = stage(DET.without(lookup, F.lower(S.strip(F.col("value"))), subjects))

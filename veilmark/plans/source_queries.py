@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from veilmark.functions import scalars as S
 from veilmark.operators.common import checkpoint_folder, stage
 from veilmark.plans import folder as FOLDER
-from veilmark.plans.queries import query, table
+from veilmark.plans.queries import ENTS, query, table
 from veilmark.sources import files as FILES
 from veilmark.sources import tables as T
-from veilmark.plans.sqltext import lit
+from veilmark.plans.sqltext import lit, numbered, rewritten
 from veilmark.sources.html import MARKUP, RAW_CONTENT, html_text
 from veilmark.sources.mail import mail_text
 from veilmark.sources.text import write_texts
+from veilmark.streaming.stream import pseudonymise_stream
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -172,3 +173,27 @@ def output_names(spark, folder):
     return table(spark, folder, "documents").select(
         "doc_id", S.redacted_name(path, ".txt").alias("redacted"), S.restored_name(path).alias("restored")
     )
+
+
+BATCH_OF = "CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 ELSE 2 END"
+
+
+@query(
+    f"""{ENTS}, placed AS (SELECT ents.*, {BATCH_OF} AS batch FROM ents JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)),
+    {numbered('placed', 'batch, doc_id, rnk')},
+    pairs AS (SELECT placed.doc_id, placed.value, reg.token FROM placed JOIN reg USING (value))
+    {rewritten('documents', 'doc_id', 'text', 'pairs')}"""
+)
+def stream_tokens(spark, folder):
+    """The documents arrive language by language; every batch continues the tokens of those before."""
+    target = scratch(spark, "stream")
+    docs = table(spark, folder, "documents").select("doc_id", "text", F.expr(BATCH_OF).alias("batch"))
+    shape = "doc_id bigint, text string"
+    for k in range(3):
+        docs.filter(F.col("batch") == k).drop("batch").write.parquet(f"{target}/in/batch={k}")
+        arriving = spark.readStream.schema(shape).option("recursiveFileLookup", True).parquet(f"{target}/in")
+        query_ = pseudonymise_stream(
+            arriving, "text", ["doc_id"], f"{target}/registry", f"{target}/out", f"{target}/state", buckets=16
+        )
+        query_.awaitTermination()
+    return spark.read.parquet(f"{target}/out").select("doc_id", "text")
