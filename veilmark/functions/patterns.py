@@ -146,6 +146,13 @@ _RULES = (
                 fast=f"{_AMOUNT_BEFORE}|{run_start('0-9')}{_AMOUNT_BEHIND}"),
 )
 
+# Not looked for unless asked for: Settings(rules=[SECRET_RULE]).  Keys and passwords made by machines
+# spread their characters evenly, words do not.
+SECRET_RUN = r"[A-Za-z0-9+/_=-]{20,}"
+SECRET_BITS = 3.0
+SECRET_RULE = PatternRule("SECRET", SECRET_RUN, "0.70", guard="[0-9][A-Za-z]|[A-Za-z][0-9]", check="is_secret",
+                          fast=run_start("A-Za-z0-9+/_=-") + SECRET_RUN)
+
 #: The first rule of each type.
 PATTERN_RULES: dict[str, PatternRule] = {}
 for _rule in _RULES:

@@ -100,6 +100,15 @@ def is_ipv6(v: str) -> str:
     return f"(rlike({v}, '[0-9]') AND exists(transform(array({parts}), ps -> {good}), b -> b))"
 
 
+def is_secret(v: str) -> str:
+    """Letters and digits, and at least ``SECRET_BITS`` of entropy per character."""
+    counts = "transform(array_distinct(cs), c -> CAST(size(filter(cs, x -> x = c)) AS DOUBLE))"
+    lost = f"aggregate({counts}, 0D, (b, n) -> b + n * log2(n))"
+    bits = f"round(log2(size(cs)) - {lost} / size(cs), 9)"
+    spread = f"exists(transform(array(split({v}, '')), cs -> {bits}), b -> b >= {P.SECRET_BITS})"
+    return f"(rlike({v}, '[0-9]') AND rlike({v}, '[A-Za-z]') AND {spread})"
+
+
 def is_domain(v: str) -> str:
     return f"rlike(lower({v}), {lit(P.DOMAIN_VALID)})"
 
@@ -119,7 +128,7 @@ def is_iban(v: str) -> str:
     return f"aggregate(split({turned}, ''), 0, (acc, ch) -> {step}) = 1"
 
 
-CHECKS = {"is_ipv4": is_ipv4, "is_ipv6": is_ipv6, "is_domain": is_domain, "is_card": is_card, "is_iban": is_iban}
+CHECKS = {"is_ipv4": is_ipv4, "is_ipv6": is_ipv6, "is_domain": is_domain, "is_card": is_card, "is_iban": is_iban, "is_secret": is_secret}
 
 
 def candidates(text: str, rule: PatternRule) -> str:

@@ -19,6 +19,7 @@ from veilmark.operators import audit as AUD
 from veilmark.operators import detect as DET
 from veilmark.operators import dictionary as D
 from veilmark.operators import events as E
+from veilmark.operators import profile as PRO
 from veilmark.operators import registry as REG
 from veilmark.operators import restore as RES
 from veilmark.operators import roster as ROS
@@ -167,6 +168,13 @@ def detect_domain_suffixes(spark, folder):
     return rows.filter("etype = 'DOMAIN'").select("c_custkey", "value")
 
 
+@query(f"SELECT doc_id, value FROM ({spans('documents', 'doc_id', 'text', 'SECRET', P.SECRET_RULE)})")
+def detect_secrets(spark, folder):
+    """Keys and passwords by the entropy of their characters."""
+    found = DET.detect(_documents(spark, folder), "text", ["doc_id"], Settings(rules=[P.SECRET_RULE]))
+    return DET.span_rows(found, ["doc_id"]).filter("etype = 'SECRET'").select("doc_id", "value")
+
+
 def _entity_rows(df: DataFrame, key: str, settings: Settings) -> DataFrame:
     return DET.span_rows(DET.detect(df, "text", [key], settings, only_allowed=True), [key])
 
@@ -705,6 +713,77 @@ def multi_table_registry(spark, folder):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query(
+    """
+    WITH src AS (SELECT CASE WHEN value < 10 THEN NULL ELSE user_id END AS anchor, event_type, user_id % 7 AS team FROM events),
+    long AS (SELECT anchor, 'event_type' AS field, event_type AS v FROM src UNION ALL SELECT anchor, 'team', 't' || team FROM src),
+    per AS (SELECT field, v, count(*) AS n, count(*) - count(anchor) AS alone, count(DISTINCT anchor) AS anchors FROM long GROUP BY ALL)
+    SELECT field, CAST(sum(n) AS BIGINT) AS cells, CAST(sum(alone) AS BIGINT) AS without_anchor,
+      CAST(count_if(anchors > 0) AS BIGINT) AS "values", CAST(count_if(anchors > 1) AS BIGINT) AS shared_values, max(anchors) AS most_anchors
+    FROM per GROUP BY field"""
+)
+def anchor_profile(spark, folder):
+    """Would the user id do as an anchor of event types and teams?"""
+    events = table(spark, folder, "events").select(
+        F.when(F.col("value") >= 10, F.col("user_id")).alias("user_id"), "event_type",
+        F.concat(F.lit("t"), (F.col("user_id") % 7).cast("string")).alias("team"),
+    )
+    return PRO.anchor_profile(events, "user_id", ["event_type", "team"])
+
+
+@query(
+    """
+    WITH src AS (SELECT event_id AS k, user_id, 'u' || user_id || '@x.example.com' AS mail, props FROM events),
+    n AS (SELECT user_id, row_number() OVER (ORDER BY min(k)) AS n FROM src GROUP BY 1)
+    SELECT k AS event_id, '[PERSON_' || n || ']' AS user_id, '[EMAIL_' || n || '] ' || props AS props FROM src JOIN n USING (user_id)"""
+)
+def anchored_cells(spark, folder):
+    """The other columns of an anchored table are searched, nested text included."""
+    src = table(spark, folder, "events").select(
+        "event_id", "user_id", F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@x.example.com "), "props").alias("props")
+    )
+    return jobs.pseudonymise_table(src, ["event_id"], scan=["props"]).df
+
+
+@query(
+    """
+    WITH src AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS n,
+                   row_number() OVER (PARTITION BY c_acctbal < 0 ORDER BY c_custkey) AS m, c_acctbal < 0 AS low FROM customer)
+    SELECT c_custkey, n || '_C.' AS name, 'card 411111XXXXXX1111' || CASE WHEN low THEN ' owes [AMOUNT_' || m || ']' ELSE '' END AS note FROM src"""
+)
+def redact_people(spark, folder):
+    """One-way redaction of a table: names and cards masked, amounts found as well."""
+    owes = F.when(F.col("c_acctbal") < 0, F.concat(F.lit(" owes $"), F.col("c_custkey").cast("string"))).otherwise(F.lit(""))
+    note = F.concat(F.lit("card 4111 1111 1111 1111"), owes)
+    src = table(spark, folder, "customer").select("c_custkey", F.col("c_name").alias("name"), note.alias("note"))
+    return jobs.redact_table(src, ["c_custkey"], scan=["note"])
+
+
+@query(
+    """
+    WITH base AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS n FROM customer)
+    SELECT c_custkey, 'seen: [PERSON_' || n || '] and [EMAIL_' || n || ']' AS text FROM base"""
+)
+def model_names(spark, folder):
+    """A model of the user's own finds the names."""
+    customer = table(spark, folder, "customer")
+    mail = F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@x.example.com"))
+    src = customer.select("c_custkey", F.concat(F.lit("seen: "), "c_name", F.lit(" and "), mail).alias("text"))
+    model = lambda c: F.expr(SP.as_spans(SP.find_all("text", SP.lit("Customer#[0-9]+")), "'PERSON'", "0.85"))
+    return jobs.pseudonymise_text(src, "text", ["c_custkey"], Settings(ner=model)).df
+
+
+@query(
+    f"""{ENTS}, {numbered('ents', 'doc_id, rnk')}
+    SELECT DISTINCT ents.doc_id, ents.value FROM ents"""
+)
+def own_values(spark, folder):
+    """The audit of each text for its own values, on the texts as they were."""
+    docs = _documents(spark, folder)
+    run = jobs.pseudonymise_text(docs, "text", ["doc_id"])
+    return jobs.audit(docs, "text", ["doc_id"], run.registry, hits=run.only_hits)
+
+
 # ---- rewriting, restoring, auditing ---------------------------------------------
 
 PAIRS = f"{numbered('ents', 'doc_id, rnk')}, pairs AS (SELECT ents.doc_id, ents.value, reg.token FROM ents JOIN reg USING (value))"
@@ -744,6 +823,22 @@ def redact_paragraphs(spark, folder):
     return jobs.pseudonymise_text(turns, "text", ["conv_id", "turn"], document=["conv_id"]).df
 
 
+@query(
+    """
+    WITH p AS (SELECT conv_id, lpad(CAST(conv_id % 1000 AS VARCHAR), 3, '0') AS p, min(conv_id) OVER (PARTITION BY conv_id % 1000) AS f
+               FROM conversations GROUP BY conv_id),
+    m AS (SELECT p, row_number() OVER (ORDER BY min(f)) AS m FROM p GROUP BY p)
+    SELECT conv_id, turn, CASE WHEN turn = 0 THEN 'call [PHONE_' || m || ']' ELSE 'ref x5[PHONE_' || m || ']9' END AS text
+    FROM conversations JOIN p USING (conv_id) JOIN m USING (p)"""
+)
+def paragraphs_share(spark, folder):
+    """A number found in the first turn is replaced in the others too, where nothing would find it."""
+    number = F.concat(F.lit("555-"), F.lpad((F.col("conv_id") % 1000).cast("string"), 3, "0"), F.lit("-1234"))
+    text = F.when(F.col("turn") == 0, F.concat(F.lit("call "), number)).otherwise(F.concat(F.lit("ref x5"), number, F.lit("9")))
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", text.alias("text"))
+    return jobs.pseudonymise_text(turns, "text", ["conv_id", "turn"], document=["conv_id"]).df
+
+
 @query("SELECT doc_id, text FROM documents")
 def restore_roundtrip(spark, folder):
     result = jobs.pseudonymise_text(_documents(spark, folder), "text", ["doc_id"])

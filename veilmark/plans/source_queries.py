@@ -13,14 +13,17 @@ from pyspark.sql import functions as F
 
 from veilmark.functions import scalars as S
 from veilmark.operators.common import checkpoint_folder, stage
+from veilmark.operators import registry as REG
 from veilmark.plans import folder as FOLDER
+from veilmark.plans import jobs
 from veilmark.plans.queries import ENTS, query, table
 from veilmark.sources import files as FILES
+from veilmark.sources import registry_store as STORE
 from veilmark.sources import tables as T
 from veilmark.plans.sqltext import lit, numbered, rewritten
 from veilmark.sources.html import MARKUP, RAW_CONTENT, html_text
 from veilmark.sources.mail import mail_text
-from veilmark.sources.text import write_texts
+from veilmark.sources.text import read_texts, write_texts
 from veilmark.streaming.stream import pseudonymise_stream
 
 
@@ -197,3 +200,48 @@ def stream_tokens(spark, folder):
         )
         query_.awaitTermination()
     return spark.read.parquet(f"{target}/out").select("doc_id", "text")
+
+
+@query("SELECT 's' || s_suppkey || '.txt' AS file, s_name || chr(10) || 'Straße ' || s_suppkey AS text FROM supplier")
+def text_files(spark, folder):
+    """One file per supplier, written by tasks and read back whole."""
+    target = scratch(spark, "texts")
+    FILES.make_folder(target)
+    k = F.col("s_suppkey").cast("string")
+    out = table(spark, folder, "supplier").select(
+        F.concat(F.lit(f"{target}/s"), k, F.lit(".txt")).alias("output"), F.concat("s_name", F.lit("\nStraße "), k).alias("text")
+    )
+    failed = stage(write_texts(out)).filter("error IS NOT NULL").first()
+    if failed is not None:
+        raise OSError(failed["error"])
+    return read_texts(spark, target).select(F.element_at(F.split("path", "/"), -1).alias("file"), "text")
+
+
+@query(
+    """SELECT CAST(c_custkey AS VARCHAR) AS "Kunde Nr", 'a "b", ' || c_name || chr(10) || 'ü' AS note, CAST(NULL AS VARCHAR) AS empty,
+    CAST(c_nationkey AS VARCHAR) AS nation FROM customer"""
+)
+def table_files(spark, folder):
+    """A table written as delimited files, columns in order, and read back by its header."""
+    target = scratch(spark, "table")
+    note = F.concat(F.lit('a "b", '), "c_name", F.lit("\nü"))
+    src = table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("Kunde Nr"), note.alias("note"), F.lit(None).cast("string").alias("empty"), F.col("c_nationkey").alias("nation")
+    )
+    T.write_table(src, target, ["Kunde Nr", "note", "empty", "nation"])
+    if T.columns(spark, target) != src.columns:
+        raise T.TableError("the columns have changed")
+    return T.read_csv(spark, target)
+
+
+@query(f"{ENTS}, {numbered('ents', 'doc_id, rnk')} SELECT value, token FROM reg")
+def registry_saved(spark, folder):
+    """The registry of a run, saved twice, cleared, saved and loaded."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    registry = jobs.pseudonymise_text(docs, "text", ["doc_id"]).registry
+    target = scratch(spark, "saved")
+    STORE.save(registry.limit(0), target)
+    STORE.save(registry, target)
+    STORE.clear(spark, target)
+    STORE.save(STORE.load(spark, target).unionByName(registry), target)
+    return REG.forward(STORE.load(spark, target))

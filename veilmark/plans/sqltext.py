@@ -30,6 +30,8 @@ def iban(compact: str) -> str:
 
 CHECKS = {
     "is_ipv4": f"regexp_matches(value, {lit(P.IP_VALID)})",
+    "is_secret": f"""regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND round(log2(length(value)) - list_sum(
+      list_transform(list_transform(list_distinct(string_split(value, '')), lambda c: length(value) - length(replace(value, c, ''))), lambda n: n * log2(n))) / length(value), 9) >= {P.SECRET_BITS}""",
     "is_ipv6": f"""regexp_matches(value, '[0-9]') AND len(string_split(value, '::')) <= 2
       AND list_bool_and(list_transform(string_split(value, '::'), lambda p, i: (p = '' AND len(string_split(value, '::')) = 2)
         OR regexp_matches(p, {lit(P.IP6_GROUPS)}) OR (i = len(string_split(value, '::')) AND regexp_matches(p, {lit(P.IP6_TAIL)}))))
