@@ -423,18 +423,3 @@ def test_piece_lattice(spark, docs, nothing):
     counts = {r.id: (r.n_words, r.n_tokens) for r in piece_lattice.digests(frame, table, ["id"]).collect()}
     assert counts[2] == counts[3] == (0, 0) and counts[0][1] == len(got[0].ids)
     assert piece_lattice.digests(nothing, table, ["doc_id"]).count() == 0
-
-
-def test_pipeline_stages(spark, docs):
-    frame = docs
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert names == ["quality rules", "exact dedup", "near dedup", "suffix-array dedup", "best-fit packing"]
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, frame, "")
-        path = shared_folder(spark, "stage")
-        out.write.parquet(path)
-        again = spark.read.parquet(path)
-        if k < len(names) - 1:
-            assert again.columns == docs.columns
-        frame = again
-    assert frame.count() > 0

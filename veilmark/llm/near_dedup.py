@@ -367,17 +367,19 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of *docs* that stay, one document per group, with all their columns.
 
-    Only rows that may be on the list of those to drop are shuffled.
+    Only rows that may be on the list of those to drop are shuffled; they meet it by id and text hash.
     """
-    dropped = cut(groups(docs, id_col, text_col).filter("NOT kept").select(F.xxhash64("doc_id", "h").alias("_k")).distinct())
-    key = F.xxhash64(F.col(id_col).cast("bigint"), F.xxhash64(text_or_empty(text_col)))
-    packed = docs.select(F.struct("*").alias("_row"), key.alias("_k"))
-    return without(packed, dropped).select("_row.*")
+    dropped = cut(
+        groups(docs, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("_i"), F.col("h").alias("_t")).distinct()
+    )
+    place = F.col(id_col).cast("bigint").alias("_i"), F.xxhash64(text_or_empty(text_col)).alias("_t")
+    return without(docs.select(F.struct("*").alias("_row"), *place), dropped).select("_row.*")
 
 
 def without(packed: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Rows whose ``_k`` is not among *dropped*; most never leave their task."""
+    """Rows whose ``_i, _t`` is not among *dropped*; most never leave their task."""
     cells = bloom_cells(dropped.count())
-    tested = bloom_hits(packed, bloom_words(dropped, cells), "_k", cells, "_in")
+    key = F.xxhash64("_i", "_t").alias("_k")
+    tested = bloom_hits(packed.select("*", key), bloom_words(dropped.select(key), cells), "_k", cells, "_in")
     stay = tested.filter(~F.col("_in")).drop("_in")
-    return stay.unionByName(tested.filter("_in").drop("_in").join(dropped, "_k", "left_anti"))
+    return stay.unionByName(tested.filter("_in").drop("_in").join(dropped, ["_i", "_t"], "left_anti"))
