@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from veilmark.operators.common import checkpoint_folder, cut
 
 __all__ = [
-    "cut", "shared_folder", "open_output", "open_input", "attempt_name", "join_groups", "bloom_cells",
+    "cut", "shared_folder", "bound_batches", "open_output", "open_input", "attempt_name", "join_groups", "bloom_cells",
     "bloom_words", "bloom_hits", "possibly_in", "text_or_empty", "words", "word_hashes", "mix", "batches",
 ]
 
@@ -57,6 +57,16 @@ def attempt_name(stem: str, suffix: str) -> str:
     return f"{stem}-{uuid.uuid4().hex}{suffix}"
 
 
+def bound_batches(spark: SparkSession, n_bytes: int = 4 << 20) -> None:
+    """Let Arrow batches of this session hold about *n_bytes*, unless the session has set its own bound.
+
+    The usual bound is a number of rows, which bounds nothing where texts are long.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(name) is None:
+        spark.conf.set(name, str(n_bytes))
+
+
 # -- joins ---------------------------------------------------------------------------------------
 
 

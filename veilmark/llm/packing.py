@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilmark.llm.common import batches, cut, text_or_empty
-from veilmark.llm.tokens import END_ID, encoder
+from veilmark.llm.tokens import END_ID, KEEP, encoder
 
 CAPACITY = 2048
 #: The sweep keeps one run list per length, so the capacity bounds what the driver holds.
@@ -41,14 +41,14 @@ PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint
 
 def tokenise(
     docs: DataFrame, tokenizer_path: str, kind: str = "word", *, capacity: int = CAPACITY, id_col: str = "doc_id",
-    text_col: str = "text", end_id: int = END_ID,
+    text_col: str = "text", end_id: int = END_ID, keep: int = KEEP,
 ) -> DataFrame:
     """Pieces of at most *capacity* ids: ``doc_id, piece, start, length, ids_crc32``; texts stay where they are."""
     end = np.array([end_id], "<u4").tobytes()
     step = capacity * 4
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path, kind)
+        encode = encoder(tokenizer_path, kind, keep)
         for batch in parts:
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out: list[tuple] = []

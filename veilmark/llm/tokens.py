@@ -47,7 +47,7 @@ class Encoder:
     after that (other languages, other sources), the memory starts anew.
     """
 
-    def __init__(self, path: str, kind: str, keep: int = 1_000_000):
+    def __init__(self, path: str, kind: str, keep: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -80,7 +80,10 @@ class Encoder:
         return out
 
 
+KEEP = 1_000_000
+
+
 @functools.lru_cache(maxsize=2)
-def encoder(path: str, kind: str) -> Encoder:
-    """One encoder per worker and file."""
-    return Encoder(path, kind)
+def encoder(path: str, kind: str, keep: int = KEEP) -> Encoder:
+    """One encoder per worker and file, which remembers *keep* pieces (about 250 bytes each)."""
+    return Encoder(path, kind, keep)
