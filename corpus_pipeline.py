@@ -22,37 +22,38 @@ from veilmark.llm.common import bound_batches, shared_folder
 from veilmark.llm.queries import tokenizer
 
 
+BATCH_BYTES = 1 << 20
 #: Word pieces a worker remembers; more save time, fewer save memory.
-PIECES_KEPT = 200_000
+PIECES_KEPT = 40_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules, or whose host fails as a whole, go."""
-    bound_batches(spark)
+    bound_batches(spark, BATCH_BYTES)
     return host_rules.clean(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the largest id stays."""
-    bound_batches(spark)
+    bound_batches(spark, BATCH_BYTES)
     return exact_dedup.dedup(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the one with the smallest id stays."""
-    bound_batches(spark)
+    bound_batches(spark, BATCH_BYTES)
     return near_dedup.dedup(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 400 bytes that occur elsewhere are taken out of the texts; documents stay."""
-    bound_batches(spark)
+    bound_batches(spark, BATCH_BYTES)
     return suffix_index.clean(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokenised pieces with their place in sequences of 2048 ids."""
-    bound_batches(spark)
+    bound_batches(spark, BATCH_BYTES)
     return packing.pack(packing.tokenise(docs, tokenizer("word_bpe_49k.json"), "word", keep=PIECES_KEPT))
 
 
