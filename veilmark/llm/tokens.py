@@ -15,6 +15,8 @@ from collections.abc import Callable, Iterable
 import numpy as np
 
 END_ID = 0
+#: Pieces a worker remembers.
+KEEP = 1_000_000
 _BEFORE_WORD = re.compile(r" (?=[^\s\x1c-\x1f])")
 _ASCII_SPACES = str.maketrans({c: " " for c in "\t\n\r\x0b\x0c"})
 
@@ -47,7 +49,7 @@ class Encoder:
     after that (other languages, other sources), the memory starts anew.
     """
 
-    def __init__(self, path: str, kind: str, keep: int):
+    def __init__(self, path: str, kind: str, keep: int = KEEP):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -80,9 +82,6 @@ class Encoder:
         return out
 
 
-KEEP = 1_000_000
-
-
 @functools.lru_cache(maxsize=2)
 def encoder(path: str, kind: str, keep: int = KEEP) -> Encoder:
     """One encoder per worker and file, which remembers *keep* pieces (about 250 bytes each)."""
