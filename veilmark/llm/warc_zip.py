@@ -5,8 +5,13 @@ records are gzip members of their own, and ``indexes/index.cdxj``, which has pla
 of every record.  The reader gets the end of the file, follows the ZIP or ZIP64 directory to
 the members, reads the index, and then only the byte ranges of the records; ranges that follow
 each other are fetched together.  Packages without an index are indexed by walking the archive
-member.  Records are dealt out by blocks of the package, so one large package is read by many
-tasks.
+member, and so are archive members no index line names.  Indexes may be deflated or gzipped, give
+places as text and name archives without their folder; archives may hold plain records.  Records are
+dealt out by blocks of the package, so one large package is read by many tasks.
+
+What cannot be read ends no job: a package without a directory, an archive member that is not
+stored, an index line without a place and a damaged record each give one row that has ``error``;
+all other records are read.
 
 Writing: of records with equal payloads of at least ``least`` bytes, the one with the smallest
 page id is a response and the others revisit it.
@@ -18,6 +23,7 @@ gives no package.
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import json
@@ -36,6 +42,7 @@ from veilmark.llm.exact_dedup import with_possible_repeats
 
 LEAST = 100
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+GZIP = b"\x1f\x8b"
 BLOCK = 8 << 20
 FETCH = 4 << 20
 #: A crawl time is part of every record; tables without one get this.
@@ -100,16 +107,28 @@ class Package:
             yield Member(name.decode("utf-8" if flags & 0x800 else "cp437"), method, size, packed, header)
             at += 46 + n_name + n_extra + n_comment
 
+    def read(self, name: str) -> bytes:
+        """The bytes of a stored or deflated member, such as an index."""
+        m = self.members[name]
+        raw = self.source.read_at(m.packed, self._begin(m))
+        if m.method not in (0, 8):
+            raise ValueError(f"{name} has compression method {m.method}")
+        raw = raw if m.method == 0 else zlib.decompress(raw, -15)
+        return gzip.decompress(raw) if raw[:2] == GZIP else raw
+
     def place(self, name: str) -> tuple[int, int]:
         """Offset and length of the bytes of a stored member."""
         m = self.members[name]
         if m.method != 0:
             raise ValueError(f"{name} is not stored; its records cannot be read by range")
+        return self._begin(m), m.packed
+
+    def _begin(self, m: Member) -> int:
         local = self.source.read_at(30, m.header)
         if local[:4] != self.LOCAL:
             raise ValueError("damaged local header")
         n_name, n_extra = struct.unpack_from("<HH", local, 26)
-        return m.header + 30 + n_name + n_extra, m.packed
+        return m.header + 30 + n_name + n_extra
 
 
 def _wide(extra: bytes, *values: int) -> list[int]:
@@ -175,7 +194,10 @@ def parse_record(raw: bytes) -> dict:
 
 
 def walk(source, start: int, length: int) -> Iterator[tuple[int, int]]:
-    """``(offset, length)`` of the gzip members of an archive without index."""
+    """``(offset, length)`` of the records of an archive without index, gzip members or plain."""
+    if source.read_at(min(2, length), start) != GZIP:
+        yield from _walk_plain(source, start, length)
+        return
     at, began, end = start, start, start + length
     unpack = zlib.decompressobj(31)
     while at < end:
@@ -188,6 +210,25 @@ def walk(source, start: int, length: int) -> Iterator[tuple[int, int]]:
                 data = unpack.unused_data
                 yield began - start, at - len(data) - began
                 began, unpack = at - len(data), zlib.decompressobj(31)
+    if began < end:
+        raise ValueError(f"the archive ends within the record at {began - start}")
+
+
+def _walk_plain(source, start: int, length: int) -> Iterator[tuple[int, int]]:
+    at, end = start, start + length
+    while at < end:
+        head, n = b"", 1 << 12
+        while b"\r\n\r\n" not in head and len(head) < min(n, end - at):
+            head = source.read_at(min(n, end - at), at)
+            n *= 4
+        head, mark, _ = head.partition(b"\r\n\r\n")
+        if not mark or not head.startswith(b"WARC/"):
+            raise ValueError(f"no record at {at - start}")
+        size = len(head) + 4 + int(_fields(head)["content-length"]) + 4
+        if at + size > end:
+            raise ValueError(f"the archive ends within the record at {at - start}")
+        yield at - start, size
+        at += size
 
 
 # -- writing ---------------------------------------------------------------------------------------
@@ -248,80 +289,163 @@ def write(
 # -- reading ---------------------------------------------------------------------------------------
 
 
+def _reason(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}"
+
+
+def _archive(package: Package, name: str) -> str:
+    """The archive member that an index means; most indexes leave the folder out."""
+    for known in (name, f"archive/{name}"):
+        if known in package.members:
+            return known
+    raise ValueError(f"no archive {name}")
+
+
+def _entries(package: Package, places: dict[str, tuple[int, int]]) -> Iterator[tuple[str | None, int | None, int | None, str | None]]:
+    """``archive, offset in the package, length, error`` of the lines of all indexes."""
+    for name in package.members:
+        # A .idx file only leads to parts of another index.
+        if not name.startswith("indexes/") or name.endswith((".idx", "/")):
+            continue
+        try:
+            lines = package.read(name).splitlines()
+        except Exception as e:
+            yield None, None, None, _reason(e)
+            continue
+        for line in lines:
+            if not line.strip() or line.startswith(b"!") or b"{" not in line:
+                continue
+            try:
+                entry = json.loads(line[line.index(b"{") :])
+                archive = _archive(package, entry["filename"])
+                offset, length = int(entry["offset"]), int(entry["length"])
+                if archive not in places:
+                    continue
+                start, size = places[archive]
+                if not 0 <= offset < offset + length <= size:
+                    raise ValueError(f"place {offset}, {length} is outside of {archive}")
+                yield archive, start + offset, length, None
+            except Exception as e:
+                yield None, None, None, _reason(e)
+
+
+def _records(source) -> Iterator[tuple[int | None, int | None, str | None]]:
+    """``offset, length, error`` of all records of one package."""
+    package, places = Package(source), {}
+    for name in package.members:
+        if name.startswith("archive/") and not name.endswith("/"):
+            try:
+                places[name] = package.place(name)
+            except Exception as e:
+                yield None, None, _reason(e)
+    named = set()
+    for archive, offset, length, error in _entries(package, places):
+        named.add(archive)
+        yield offset, length, error
+    for archive, (start, size) in places.items():
+        if archive not in named:
+            try:
+                for offset, length in walk(source, start, size):
+                    yield start + offset, length, None
+            except Exception as e:
+                yield None, None, f"{archive}: {_reason(e)}"
+
+
+LOCATED = "path string, offset bigint, length bigint, error string"
+
+
 def locate(packages: DataFrame) -> DataFrame:
-    """``path, offset, length`` of every record of the packages in column ``path``."""
+    """``path, offset, length`` of every record of the packages in column ``path``, and rows with ``error``."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             for path in batch.column(0).to_pylist():
-                with open_input(path) as source:
-                    package = Package(source)
-                    found: list[tuple[int, int]] = []
-                    starts = {n: package.place(n) for n in package.members if n.startswith("archive/")}
-                    indexes = [n for n in package.members if n.startswith("indexes/")]
-                    for name in indexes:
-                        start, size = package.place(name)
-                        for line in source.read_at(size, start).splitlines():
-                            entry = json.loads(line[line.index(b"{") :])
-                            found.append((starts[entry["filename"]][0] + entry["offset"], entry["length"]))
-                    if not indexes:
-                        for start, size in starts.values():
-                            found += [(start + o, n) for o, n in walk(source, start, size)]
-                offsets, lengths = zip(*found) if found else ((), ())
-                yield pa.RecordBatch.from_pydict(
-                    {"path": pa.array([path] * len(found), pa.string()), "offset": pa.array(offsets, pa.int64()),
-                     "length": pa.array(lengths, pa.int64())}
+                found: list[tuple] = []
+                try:
+                    with open_input(path) as source:
+                        found.extend(_records(source))
+                except Exception as e:
+                    found.append((None, None, _reason(e)))
+                columns = list(zip(*found)) or [()] * 3
+                arrays = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string()))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([path] * len(found), pa.string()), *arrays], names=["path", "offset", "length", "error"]
                 )
 
     spread = packages.select("path").repartition(max(1, packages.count()), "path")
-    return spread.mapInArrow(run, "path string, offset bigint, length bigint")
+    return spread.mapInArrow(run, LOCATED)
 
 
 RECORD = (
     "record_id string, record_type string, url string, payload_digest string, refers_to string, "
-    "payload_bytes bigint, payload binary"
+    "payload_bytes bigint, payload binary, path string, offset bigint, error string"
 )
+_KINDS = [pa.string()] * 5 + [pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.string()]
+
+
+def _agrees(said: str, payload: bytes) -> bool:
+    """Whether a digest in hexadecimal or base 32 is the payload's; one of an unknown kind is not judged."""
+    kind, _, value = said.partition(":")
+    if kind not in ("md5", "sha1", "sha256", "sha512"):
+        return True
+    digest = hashlib.new(kind, payload).digest()
+    return value.lower() == digest.hex() or value.upper().rstrip("=") == base64.b32encode(digest).decode().rstrip("=")
 
 
 def _row(raw: bytes, with_payload: bool) -> tuple:
-    r = parse_record(gzip.decompress(raw))
-    h = r["headers"]
-    said = h.get("warc-payload-digest", "").removeprefix("sha256:")
+    r = parse_record(gzip.decompress(raw) if raw[:2] == GZIP else raw)
+    h, error = r["headers"], None
+    said = h.get("warc-payload-digest", "")
     if h["warc-type"] == "revisit":
-        digest, size = said, int(r["http"].get("content-length", 0))
+        digest, size = said.removeprefix("sha256:"), int(r["http"].get("content-length", 0))
     else:
         digest, size = hashlib.sha256(r["payload"]).hexdigest(), len(r["payload"])
-        if said and said != digest:
-            raise ValueError(f"payload of {h.get('warc-record-id')} does not match its digest")
+        if not _agrees(said, r["payload"]):
+            error = "the payload does not match its digest"
     payload = r["payload"] if with_payload else None
     return (h.get("warc-record-id"), h["warc-type"], h.get("warc-target-uri"), digest, h.get("warc-refers-to"), size,
-            payload)
+            payload, error)
+
+
+def _rows(path: str, data: bytes, begin: int, places: list[tuple[int, int]], with_payload: bool) -> Iterator[tuple]:
+    for offset, length in places:
+        try:
+            *fields, error = _row(data[offset - begin : offset - begin + length], with_payload)
+        except Exception as e:
+            fields, error = [None] * 7, _reason(e)
+        yield *fields, path, offset, error
 
 
 def read(packages: DataFrame, with_payload: bool = True) -> DataFrame:
-    """The records of the packages in column ``path``; digests of payloads are checked."""
+    """The records of the packages in column ``path``; digests of payloads are checked.
+
+    A record that cannot be read has its place and ``error``; one whose payload differs from its
+    digest is returned with ``error``.
+    """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source, at_path = None, None
-        kinds = [pa.string()] * 5 + [pa.int64(), pa.binary()]
+        names = [f.split()[0] for f in RECORD.split(", ")]
         for batch in parts:
             rows = list(zip(*(c.to_pylist() for c in batch.columns)))
             k = 0
             while k < len(rows):
-                path, start, length = rows[k]
-                end, last = start + length, k + 1
-                while last < len(rows) and rows[last][:2] == (path, end) and end - start < FETCH:
-                    end += rows[last][2]
-                    last += 1
-                if path != at_path:
-                    if source is not None:
-                        source.close()
-                    source, at_path = open_input(path), path
-                data = source.read_at(end - start, start)
-                out = [_row(data[o - start : o - start + n], with_payload) for _, o, n in rows[k:last]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=[f.split()[0] for f in RECORD.split(", ")]
-                )
+                path, start, length, error = rows[k]
+                last = k + 1
+                if error is not None:
+                    out = [(*[None] * 7, path, None, error)]
+                else:
+                    end = start + length
+                    while last < len(rows) and rows[last][:2] == (path, end) and end - start < FETCH:
+                        end += rows[last][2]
+                        last += 1
+                    if path != at_path:
+                        if source is not None:
+                            source.close()
+                        source, at_path = open_input(path), path
+                    data = source.read_at(end - start, start)
+                    out = list(_rows(path, data, start, [r[1:3] for r in rows[k:last]], with_payload))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _KINDS)], names=names)
                 k = last
         if source is not None:
             source.close()
