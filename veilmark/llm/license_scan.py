@@ -1,14 +1,17 @@
 """License labels of documents: exact phrases, and an exact containment join with license templates.
 
-A text is cut into blocks: a line, or a run of lines of at most 100 bytes each, as hard-wrapped
-notices have; a blank line always ends a block.  A template is found in a block whose word set
-holds at least ``threshold`` of the template's word set.  Words are put in one global order, the
-rarest in the corpus first.  A block that reaches the needed overlap must share one of the
-template's first ``size - need + 1`` words (prefix filter), have at least ``need`` template words
-(length filter), and leave room for the rest behind the shared word (positional filter).  What
-passes is verified on the full sets, so no block is lost or found wrongly.
-
-Only words of some template can add to an overlap, so blocks are reduced to those words.
+A template is looked for in windows of the text, whatever its lines: a template of up to ``w`` words,
+``w`` a power of two, in windows of ``2 w`` words that begin every ``w`` words.  So any stretch of
+``w`` words lies within a window, and words that are further apart never make up a notice.  A template
+is found in a window whose word set holds at least ``threshold`` of the template's word set; short
+templates, of fewer than ``WHOLE`` words, must be there whole, since one word may be all that tells
+them from ordinary text.  Words are put in one global order, the rarest in the corpus first.  A window
+that reaches the needed overlap must share one of the template's first ``size - need + 1`` words
+(prefix filter), have at least ``need`` template words (length filter), and leave room for the rest
+behind the shared word (positional filter).  What passes is verified on the full sets, so no window is
+lost or found wrongly.
+
+Only words of some template can add to an overlap, so windows are reduced to those words.
 Templates are a parameter and their number is bounded (``MAX_TEMPLATES``): their prefix index
 is what is broadcast.  Counts come from all documents.
 
@@ -69,7 +72,9 @@ TEMPLATES = {
 }
 
 THRESHOLD = 0.8
-WRAPPED = 100
+#: Templates of fewer different words are found as a whole only.
+WHOLE = 10
+LEAST_WIDTH = 8
 MAX_TEMPLATES = 10_000
 
 # Separators 00-2F, 3A-40, 5B-60, 7B-7F become spaces and A-Z are lowered; other bytes stay.
@@ -87,32 +92,37 @@ class Template:
     label: str
     words: tuple[str, ...]
     need: int
+    width: int
 
 
-def prepare(templates: dict[str, str], threshold: float) -> list[Template]:
+def prepare(templates: dict[str, str], threshold: float, whole: int = WHOLE) -> list[Template]:
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"at most {MAX_TEMPLATES} templates")
     made = []
     for label, text in sorted(templates.items()):
-        ws = sorted({w.decode("utf-8") for w in license_words(text.encode())})
+        ordered = license_words(text.encode())
+        ws = sorted({w.decode("utf-8") for w in ordered})
         if ws:
-            made.append(Template(label, tuple(ws), max(1, math.ceil(threshold * len(ws) - 1e-9))))
+            need = len(ws) if len(ws) < whole else max(1, math.ceil(threshold * len(ws) - 1e-9))
+            made.append(Template(label, tuple(ws), need, max(LEAST_WIDTH, 1 << (len(ordered) - 1).bit_length())))
     return made
 
 
-def blocks(raw: bytes) -> Iterator[bytes]:
-    held: list[bytes] = []
-    for line in raw.split(b"\n"):
-        short = len(line) <= WRAPPED
-        if held and (not short or not line.strip()):
-            yield b" ".join(held)
-            held = []
-        if not short:
-            yield line
-        elif line.strip():
-            held.append(line)
-    if held:
-        yield b" ".join(held)
+def windows(known: list[tuple[int, int]], width: int) -> Iterator[tuple[int, list[int]]]:
+    """``(first word, sorted template words)`` of windows of ``2 * width`` words.
+
+    *known* are the places and numbers of the template words of a text.  Windows without one, and
+    those that hold no more than the window before, are left out.
+    """
+    cells: dict[int, set[int]] = {}
+    for at, word in known:
+        cells.setdefault(at // width, set()).add(word)
+    for c, own in cells.items():
+        behind = cells.get(c + 1)
+        if behind is not None:
+            yield c * width, sorted(own | behind)
+        elif c - 1 not in cells:
+            yield c * width, sorted(own)
 
 
 def phrase_places(ws: list[bytes], phrases: dict[tuple[bytes, ...], str]) -> list[tuple[int, str]]:
@@ -147,28 +157,32 @@ def word_counts(docs: DataFrame, vocabulary: set[str], text_col: str) -> dict[st
 
 
 def scan(
-    docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, *,
+    docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, *, whole: int = WHOLE,
     id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``(documents, matches)``.
 
     documents: ``row, doc_id, n_words, n_base, first_word, last_word, base_labels`` (an array);
-    matches: ``row, block, template, overlap, containment``, one for every block and template
-    that meet the threshold.
+    matches: ``row, block, template, overlap, containment``, one for every window and template
+    that meet the threshold; ``block`` is the number of the window's first word.
     """
     named = {tuple(k.encode().split()): v for k, v in (PHRASES if phrases is None else phrases).items()}
-    made = prepare(TEMPLATES if templates is None else templates, threshold)
+    made = prepare(TEMPLATES if templates is None else templates, threshold, whole)
     counts = word_counts(docs, {w for t in made for w in t.words}, text_col)
     order = sorted(counts, key=lambda w: (counts[w], w))
     rank = {w.encode(): i for i, w in enumerate(order)}
     ranked = [sorted(rank[w.encode()] for w in t.words) for t in made]
     index = [
-        (word, t.label, place, len(ws), t.need, ws)
+        (word, t.width, t.label, place, len(ws), t.need, ws)
         for t, ws in zip(made, ranked)
         for place, word in enumerate(ws[: len(ws) - t.need + 1])
     ]
+    # Per width: the words that can start a match, and the fewest template words of a match.
+    widths = {
+        w: (frozenset(i[0] for i in index if i[1] == w), min(t.need for t in made if t.width == w))
+        for w in sorted({t.width for t in made})
+    }
     first_words = {order[i[0]].encode() for i in index}
-    least = min((t.need for t in made), default=0)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
@@ -186,34 +200,33 @@ def scan(
                 out["labels"].append(sorted({v for _, v in places}))
                 found = []
                 if not first_words.isdisjoint(have):
-                    for k, block in enumerate(blocks(raw)):
-                        own = set(license_words(block))
-                        if not first_words.isdisjoint(own):
-                            known = sorted(rank[w] for w in own if w in rank)
-                            if len(known) >= least:
-                                found.append({"block": k, "words": known})
+                    known = [(k, rank[w]) for k, w in enumerate(ws) if w in rank]
+                    for width, (begins, least) in widths.items():
+                        for k, own in windows(known, width):
+                            if len(own) >= least and not begins.isdisjoint(own):
+                                found.append({"block": k, "width": width, "words": own})
                 out["blocks"].append(found)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(
-                pa.struct([("block", pa.int32()), ("words", pa.list_(pa.int32()))]))]
+                pa.struct([("block", pa.int64()), ("width", pa.int32()), ("words", pa.list_(pa.int32()))]))]
             arrays = [batch.column(0), *[pa.array(v, k) for v, k in zip(out.values(), kinds)]]
             yield pa.RecordBatch.from_arrays(arrays, names=NAMES)
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     schema = (
         f"doc_id {kind}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, "
-        "base_labels array<string>, blocks array<struct<block:int,words:array<int>>>"
+        "base_labels array<string>, blocks array<struct<block:bigint,width:int,words:array<int>>>"
     )
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(run, schema)
     rows = cut(rows).withColumn("row", F.monotonically_increasing_id())
 
     spark = docs.sparkSession
     prefixes = spark.createDataFrame(
-        index, "word int, template string, t_at int, t_size int, need int, t_words array<int>"
+        index, "word int, width int, template string, t_at int, t_size int, need int, t_words array<int>"
     )
     block = rows.filter(F.size("blocks") > 0).select("row", F.inline("blocks"))
     size = F.size("words")
-    shared = block.select("row", "block", "words", F.posexplode("words").alias("b_at", "word")).join(
-        F.broadcast(prefixes), "word"
+    shared = block.select("row", "block", "width", "words", F.posexplode("words").alias("b_at", "word")).join(
+        F.broadcast(prefixes), ["word", "width"]
     )
     room = 1 + F.least(F.col("t_size") - F.col("t_at") - 1, size - F.col("b_at") - 1)
     candidates = shared.filter((size >= F.col("need")) & (room >= F.col("need")))
