@@ -9,8 +9,9 @@ sets.  A line is removed if an earlier line, by document id and place, is simila
 
 Lines with equal sets are one set from the start.  To decide about a set one earlier partner is
 enough: the first that passes the filters is verified, and only sets whose partner fails get all
-their others verified.  Frequent tokens are split into blocks that meet pairwise, so no task gets a
-whole list and pairs are written only where they pass the filters.
+their others verified, in a second meeting of the tokens those sets have.  Frequent tokens are split into
+blocks that meet pairwise, so no task gets a whole list and pairs are written only where they pass the
+filters.  Prefix entries are made from the sets when they are needed and never written down.
 
 Defined cases: null texts have no lines; lines with fewer than ``MIN_TOKENS`` distinct words stay;
 rows without an id come before all others; rows that repeat id and text are one document.
@@ -23,16 +24,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import cut, join_groups, possibly_in, shared_folder, text_or_empty, word_hashes
+from veilmark.llm.common import batches, bloom_cells, bloom_hits, bloom_words, join_groups, possibly_in, text_or_empty
+from veilmark.operators.common import stage
 
 MIN_TOKENS = 5
 #: Similarity as a fraction, so that thresholds are exact.
 SIMILAR, OF = 9, 10
 CELLS = 1 << 18
 BLOCK = 4096
+#: Word hashes a worker remembers.
+TOKENS_KEPT = 400_000
 
 
 def _up(a, b):
@@ -49,14 +54,57 @@ def token_counts(docs: DataFrame, text_col: str) -> np.ndarray:
     return out
 
 
-def line_tokens(line: bytes) -> np.ndarray:
-    return np.unique(word_hashes(line.split()))
+class _Tokens(dict):
+    def __missing__(self, word: bytes) -> int:
+        value = xxhash.xxh64_intdigest(word, 42)
+        if len(self) < TOKENS_KEPT:
+            self[word] = value
+        return value
+
 
+_CACHE = _Tokens()
 
-def _cells(found: list[bytes]) -> np.ndarray:
-    import xxhash
 
-    return np.array([xxhash.xxh64_intdigest(w, 42) & (CELLS - 1) for w in found], np.int64)
+def token_hashes(found: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words, the same as Spark's ``xxhash64``: their low bits are the words' cells."""
+    return np.fromiter(map(_CACHE.__getitem__, found), dtype=np.uint64, count=len(found))
+
+
+def line_tokens(line: bytes) -> np.ndarray:
+    return np.unique(token_hashes(line.split()))
+
+
+def _sketches(found: list[bytes], sizes: list[int], rarity: np.ndarray) -> tuple:
+    """Of lines with *sizes* words each, all in *found*: which take part, and their
+    ``digest, n, lo, hi, prefix`` (an Arrow array each)."""
+    tokens = token_hashes(found)
+    line = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((tokens, line))
+    tokens, line = tokens[order], line[order]
+    new = np.ones(len(tokens), bool)
+    new[1:] = (tokens[1:] != tokens[:-1]) | (line[1:] != line[:-1])
+    tokens, line = tokens[new], line[new]
+    n = np.bincount(line, minlength=len(sizes))
+    part = np.flatnonzero(n >= MIN_TOKENS)
+    kept = (n >= MIN_TOKENS)[line]
+    tokens, n = tokens[kept], n[part]
+    ends = np.cumsum(n)
+    begins = ends - n
+    raw = tokens.tobytes()
+    digests = [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(begins.tolist(), ends.tolist())]
+    place = tokens >> np.uint64(50)
+    bit = np.uint64(1) << (place & np.uint64(63))
+    high = (place & np.uint64(64)) != 0
+    words = [np.bitwise_xor.reduceat(np.where(w, bit, np.uint64(0)), begins) if len(n) else np.empty(0, np.uint64)
+             for w in (~high, high)]
+    owner = np.repeat(np.arange(len(n)), n)
+    by_rarity = np.lexsort((tokens, rarity[(tokens & np.uint64(CELLS - 1)).astype(np.int64)], owner))
+    size = n - _up(SIMILAR * n, OF) + 1
+    first = np.arange(len(tokens)) - begins[owner] < size[owner]
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens[by_rarity][first].view(np.int64)))
+    lo, hi = (pa.array(w.view(np.int64)) for w in words)
+    return part, pa.array(digests, pa.binary()), pa.array(n.astype(np.int64)), lo, hi, prefix
 
 
 def lines(docs: DataFrame, counts, id_col: str, text_col: str) -> DataFrame:
@@ -65,24 +113,23 @@ def lines(docs: DataFrame, counts, id_col: str, text_col: str) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = counts.value
         for batch in parts:
-            out: list[tuple] = []
-            for doc_id, h, text in zip(*(c.to_pylist() for c in batch.columns)):
-                for k, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
-                    found = list(set(line.split()))
-                    n = len(found)
-                    if n < MIN_TOKENS:
-                        continue
-                    tokens = word_hashes(found)
-                    order = np.lexsort((tokens, rarity[_cells(found)]))
-                    prefix = tokens[order[: n - _up(SIMILAR * n, OF) + 1]]
-                    bits = np.bincount((tokens >> np.uint64(50)).astype(np.int64) & 127, minlength=128) & 1
-                    lo, hi = np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
-                    digest = hashlib.blake2b(np.sort(tokens).tobytes(), digest_size=16).digest()
-                    out.append((doc_id, h, k, digest, n, lo, hi, prefix.view(np.int64)))
-            if out:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(),
-                         pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=NAMES)
+            texts = batch.column(2).to_pylist()
+            for a, b in batches(texts):
+                found: list[bytes] = []
+                sizes, rows, numbers = [], [], []
+                for row in range(a, b):
+                    for k, line in enumerate(texts[row].encode("utf-8", "surrogatepass").split(b"\n")):
+                        ws = line.split()
+                        if len(ws) >= MIN_TOKENS:
+                            found += ws
+                            sizes.append(len(ws))
+                            rows.append(row)
+                            numbers.append(k)
+                if sizes:
+                    part, *sketch = _sketches(found, sizes, rarity)
+                    at = pa.array(np.array(rows, np.int64)[part])
+                    number = pa.array(np.array(numbers, np.int32)[part])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), number, *sketch], names=NAMES)
 
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("t"))
@@ -94,48 +141,102 @@ def lines(docs: DataFrame, counts, id_col: str, text_col: str) -> DataFrame:
 NAMES = ["doc_id", "h", "line", "digest", "n", "lo", "hi", "prefix"]
 
 
-def index(sets: DataFrame) -> DataFrame:
-    """Prefix entries of tokens that two sets or more have, dealt into blocks that meet pairwise."""
-    entries = sets.select("node", "first", "n", "lo", "hi", F.posexplode("prefix").alias("pos", "token"))
-    shared = cut(sets.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-                 .filter("c > 1"))
-    likely = possibly_in(entries, F.col("token"), shared.select("token"), shared.count())
-    met = join_groups(likely, shared, "token", "c")
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    met = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return met.select(
-        "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "pos", "lo",
-        "hi", F.col("first.doc_id").alias("d"), F.col("first.h").alias("h"), F.col("first.line").alias("l"),
-        F.col("first.has_id").cast("int").alias("g"),
-    )
+def shared_tokens(sets: DataFrame) -> DataFrame:
+    """``token, c``: prefix tokens of two sets or more and their number of sets."""
+    tokens = sets.select(F.explode("prefix").alias("token"))
+    return stage(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
 
 
-def _partners(group: pa.Table, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    i, j = group["i"][0].as_py(), group["j"][0].as_py()
-    v = {c: group[c].to_numpy() for c in ("own", "node", "n", "pos", "lo", "hi", "d", "h", "l", "g", "wanted")}
-    order = np.lexsort((v["l"], v["h"], np.nan_to_num(v["d"]), v["g"]))
+def index(sets: DataFrame, shared: DataFrame) -> DataFrame:
+    """Prefix entries of the *shared* tokens, dealt into blocks that meet pairwise.
+
+    Few tokens fill more than one block; only entries that may be theirs are joined with the counts.
+    Entries of other tokens that pass the Bloom test stay alone or meet as they should.
+    """
+    entries = sets.select(
+        F.posexplode("prefix").alias("pos", "token"), "node", "n", "lo", "hi", F.coalesce("first.doc_id", F.lit(0)).alias("d"),
+        F.col("first.h").alias("h"), F.col("first.line").alias("l"), F.col("first.has_id").cast("int").alias("g"), "wanted",
+    )
+    likely = possibly_in(entries, F.col("token"), shared.select("token"), shared.count())
+    large = shared.filter(F.col("c") > BLOCK)
+    cells = bloom_cells(large.count())
+    tested = bloom_hits(likely, bloom_words(large.select("token"), cells), "token", cells, "_large")
+    alone = tested.filter("NOT _large").select("*", F.lit(None).cast("bigint").alias("c"))
+    met = join_groups(tested.filter("_large"), large, "token", "c", "left").unionByName(alone)
+    blocks = F.ceil(F.coalesce("c", F.lit(1)) / BLOCK).cast("int")
+    met = met.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return met.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *ENTRY)
+
+
+ENTRY = ["own", "node", "n", "pos", "lo", "hi", "d", "h", "l", "g", "wanted"]
+#: Lists up to this size are met by distance, all at once; longer ones row by row of a matrix.
+SHORT = 48
+MATRIX = 1 << 18
+
+
+def _alike(v: dict, a: np.ndarray, b: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Whether the parity bitmaps of entries *a* and *b* leave room for *need* common tokens."""
+    differ = (np.bitwise_count(v["lo"][a] ^ v["lo"][b]).astype(np.int64) + np.bitwise_count(v["hi"][a] ^ v["hi"][b]))
+    return differ <= v["n"][a] + v["n"][b] - 2 * need
+
+
+def _passing(v: dict, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the pairs of entries (*a* earlier than *b*) pass all filters."""
+    need = _up(SIMILAR * (v["n"][a] + v["n"][b]), SIMILAR + OF)
+    ok = np.minimum(v["left"][a], v["left"][b]) >= need
+    ok &= (v["i"][b] == v["j"][b]) | (v["own"][a] != v["own"][b])
+    at = np.flatnonzero(ok)
+    ok[at] = _alike(v, a[at], b[at], need[at])
+    return ok
+
+
+def _partners(v: dict, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of entries of whole lists; the columns *v* are in no special order."""
+    order = np.lexsort((v["l"], v["h"], v["d"], v["g"], v["j"], v["i"], v["token"]))
     v = {c: x[order] for c, x in v.items()}
-    left = v["n"] - v["pos"]
-    a_out, b_out = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for k in np.flatnonzero(v["wanted"]):
-        if not k:
-            continue
-        total = v["n"][:k] + v["n"][k]
-        need = _up(SIMILAR * total, SIMILAR + OF)
-        ok = np.minimum(left[:k], left[k]) >= need
-        if i != j:
-            ok &= v["own"][:k] != v["own"][k]
-        at = np.flatnonzero(ok)
-        if len(at):
-            # For signed numbers numpy counts the bits of the absolute value.
-            differ = (np.bitwise_count((v["lo"][at] ^ v["lo"][k]).view(np.uint64)).astype(np.int64)
-                      + np.bitwise_count((v["hi"][at] ^ v["hi"][k]).view(np.uint64)))
-            at = at[differ <= total[at] - 2 * need[at]]
-            at = at if every else at[:1]
-            a_out.append(v["node"][at])
-            b_out.append(np.full(len(at), v["node"][k]))
-    return np.concatenate(a_out), np.concatenate(b_out)
+    v["left"] = v["n"] - v["pos"]
+    new = np.ones(len(order), bool)
+    new[1:] = (v["token"][1:] != v["token"][:-1]) | (v["i"][1:] != v["i"][:-1]) | (v["j"][1:] != v["j"][:-1])
+    begins = np.flatnonzero(new)
+    sizes = np.diff([*begins, len(order)])
+    begin = np.repeat(begins, sizes)
+    rows = np.flatnonzero(v["wanted"] & (np.repeat(sizes, sizes) <= SHORT))
+    none = np.empty(0, np.int64)
+    a_out, b_out, first = [none], [none], np.full(len(order), -1)
+    for distance in range(1, SHORT):
+        rows = rows[rows - distance >= begin[rows]]
+        if not len(rows):
+            break
+        b = rows[_passing(v, rows - distance, rows)]
+        if every:
+            a_out.append(b - distance)
+            b_out.append(b)
+        else:
+            # Distances grow, so what stays is the earliest.
+            first[b] = b - distance
+    found = np.flatnonzero(first >= 0)
+    a_out.append(first[found])
+    b_out.append(found)
+    for start, size in zip(begins[sizes > SHORT].tolist(), sizes[sizes > SHORT].tolist()):
+        wanted = start + np.flatnonzero(v["wanted"][start : start + size])
+        step = max(1, MATRIX // size)
+        for k in range(0, len(wanted), step):
+            b = wanted[k : k + step]
+            a = np.arange(start, b[-1])
+            total = v["n"][b][:, None] + v["n"][a]
+            ok = np.minimum(v["left"][b][:, None], v["left"][a]) >= _up(SIMILAR * total, SIMILAR + OF)
+            ok &= a < b[:, None]
+            y, x = np.nonzero(ok)
+            x, y = a[x], b[y]
+            good = _passing(v, x, y)
+            x, y = x[good], y[good]
+            if not every:
+                y, at = np.unique(y, return_index=True)
+                x = x[at]
+            a_out.append(x)
+            b_out.append(y)
+    return v["node"][np.concatenate(a_out)], v["node"][np.concatenate(b_out)]
 
 
 def candidates(entries: DataFrame, every: bool) -> DataFrame:
@@ -143,24 +244,26 @@ def candidates(entries: DataFrame, every: bool) -> DataFrame:
     n_parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["token", "i", "j"]
     dealt = entries.repartition(n_parts, *order).sortWithinPartitions(*order)
+    names = [*order, *ENTRY]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def groups():
-            held, held_key = [], None
+        def whole_lists():
+            held: list[dict] = []
             for batch in parts:
-                keys = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
-                bounds = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-                for a, b in zip(bounds, bounds[1:]):
-                    key = tuple(keys[a])
-                    if held and key != held_key:
-                        yield pa.Table.from_batches(held)
-                        held = []
-                    held, held_key = [*held, batch.slice(a, b - a)], key
+                v = {c: batch.column(k).to_numpy(zero_copy_only=False) for k, c in enumerate(names)}
+                v |= {c: v[c].view(np.uint64) for c in ("lo", "hi")} | {c: v[c].astype(np.int64) for c in ("n", "pos")}
+                last = [v[c] == v[c][-1] for c in order]
+                tail = int(np.flatnonzero(~(last[0] & last[1] & last[2]))[-1]) + 1 if not all(x.all() for x in last) else 0
+                if tail or (held and any(held[-1][c][-1] != v[c][0] for c in order)):
+                    held.append({c: x[:tail] for c, x in v.items()})
+                    yield {c: np.concatenate([h[c] for h in held]) for c in names}
+                    held = []
+                held.append({c: x[tail:] for c, x in v.items()})
             if held:
-                yield pa.Table.from_batches(held)
+                yield {c: np.concatenate([h[c] for h in held]) for c in names}
 
-        for group in groups():
-            a, b = _partners(group, every)
+        for v in whole_lists():
+            a, b = _partners(v, every)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -172,9 +275,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, t
 
     def fetch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            tokens = [line_tokens(t.encode("utf-8", "surrogatepass").split(b"\n")[k]).tobytes()
-                      for k, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.binary())], names=["node", "tokens"])
+            nodes, tokens = [], []
+            for wanted_lines, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                parts_of = text.encode("utf-8", "surrogatepass").split(b"\n")
+                for one in wanted_lines:
+                    nodes.append(one["node"])
+                    tokens.append(line_tokens(parts_of[one["line"]]).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(tokens, pa.binary())], names=["node", "tokens"])
 
     def check(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
@@ -186,50 +293,64 @@ def confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, t
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = cut(ends.join(sets, "node").select("node", "first.doc_id", "first.h", "first.line"))
+    # A document's text is read once, however many of its lines are wanted.
+    places = ends.join(sets, "node").select("first.doc_id", "first.h", F.struct("first.line", "node").alias("one"))
+    wanted = stage(places.groupBy("doc_id", "h").agg(F.collect_list("one").alias("lines")))
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("t"))
-    keys = wanted.select(F.xxhash64("doc_id", "h").alias("k")).distinct()
+    keys = wanted.select(F.xxhash64("doc_id", "h").alias("k"))
     likely = possibly_in(rows, F.xxhash64("doc_id", "h"), keys, wanted.count())
     same = likely["doc_id"].eqNullSafe(wanted["doc_id"]) & (likely["h"] == wanted["h"])
-    found = likely.join(wanted, same).select("node", "line", "t").mapInArrow(fetch, "node bigint, tokens binary")
-    found = cut(found.dropDuplicates(["node"]))
+    found = likely.join(wanted, same).select("lines", "t").mapInArrow(fetch, "node bigint, tokens binary")
+    found = stage(found.dropDuplicates(["node"]))
     for end in ("a", "b"):
         pairs = pairs.join(found.select(F.col("node").alias(end), F.col("tokens").alias(f"t{end}")), end)
-    return cut(pairs.select("a", "b", "ta", "tb").mapInArrow(check, "a bigint, b bigint"))
+    return stage(pairs.select("a", "b", "ta", "tb").mapInArrow(check, "a bigint, b bigint"))
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, h, line, gone`` of every line that takes part; ``h`` is the hash of the document's text."""
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(token_counts(docs, text_col))
-    path = f"{shared_folder(spark, 'lines')}/lines"
-    lines(docs, counts, id_col, text_col).write.parquet(path)
-    found = spark.read.parquet(path)
+    found = stage(lines(docs, counts, id_col, text_col))
     place = F.struct(F.col("doc_id").isNotNull().alias("has_id"), "doc_id", "h", "line")
     grouped = found.groupBy("digest").agg(
         F.min(F.struct(place.alias("first"), "n", "lo", "hi", "prefix")).alias("s"), F.count(F.lit(1)).alias("size")
     )
-    sets = cut(grouped.select("digest", "size", "s.*")).withColumn("node", F.monotonically_increasing_id())
-    entries = cut(index(sets))
-    first = cut(candidates(entries.withColumn("wanted", F.lit(True)), every=False))
+    sets = stage(grouped.select(F.monotonically_increasing_id().alias("node"), "digest", "size", "s.*"))
+    shared = shared_tokens(sets)
+    first = stage(candidates(index(sets.withColumn("wanted", F.lit(True)), shared), every=False))
     good = confirmed(first, sets, docs, id_col, text_col).select(F.col("b").alias("node")).distinct()
-    failed = cut(first.select(F.col("b").alias("node")).distinct().join(good, "node", "left_anti"))
+    failed = stage(first.select(F.col("b").alias("node")).distinct().join(good, "node", "left_anti"))
     if not failed.isEmpty():
-        mark = failed.withColumn("wanted", F.lit(True))
-        wanted = F.coalesce("wanted", F.lit(False)).alias("wanted")
-        again = entries.join(mark, "node", "left").select(*entries.columns, wanted)
-        others = cut(candidates(again, every=True).join(first, ["a", "b"], "left_anti"))
+        marked = stage(sets.join(failed.withColumn("wanted", F.lit(True)), "node", "left").select(
+            *sets.columns, F.coalesce("wanted", F.lit(False)).alias("wanted")))
+        theirs = marked.filter("wanted").select(F.explode("prefix").alias("token")).distinct()
+        again = index(marked, stage(shared.join(theirs, "token", "left_semi")))
+        others = stage(candidates(again, every=True).join(first, ["a", "b"], "left_anti"))
         more = confirmed(others, sets, docs, id_col, text_col)
         good = good.unionByName(more.select(F.col("b").alias("node")).distinct())
     matched = good.withColumn("matched", F.lit(True))
-    decided = cut(sets.join(matched, "node", "left").select("digest", "size", "first", "matched"))
+    decided = stage(sets.join(matched, "node", "left").select("digest", "size", "first", "matched"))
     gone = F.coalesce("matched", F.lit(False)) | ~place.eqNullSafe(F.col("first"))
     return join_groups(found.select("doc_id", "h", "line", "digest"), decided, "digest", "size").select(
         "doc_id", "h", "line", gone.alias("gone")
     )
 
 
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """*docs* without the removed lines; all rows and columns stay, and so does the order of the lines left."""
+    lost = removed(docs, id_col, text_col).filter("gone").groupBy("doc_id", "h").agg(F.collect_set("line").alias("lines"))
+    packed = docs.select(F.struct("*").alias("_d"))
+    old = F.col("_d")[text_col]
+    same = F.col("_d")[id_col].cast("bigint").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.coalesce(old, F.lit(""))) == F.col("h"))
+    left = F.filter(F.split(old, "\n"), lambda line, k: ~F.array_contains("lines", k))
+    new = F.when(F.col("lines").isNull(), old).otherwise(F.array_join(left, "\n"))
+    return packed.join(lost, same, "left").select(
+        *[(new if c == text_col else F.col("_d")[c]).alias(c) for c in docs.columns]
+    )
+
+
 def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_lines`` that take part, ``n_removed, first_removed`` (line from 0)."""
     per = removed(docs, id_col, text_col).groupBy("doc_id", "h").agg(
