@@ -74,3 +74,26 @@ def test_gram_of_a_term_is_the_rarest(spark):
     # The first grams of the three are shared, later ones are not.
     assert all(rows[t].off + 8 > len("common-") for t in ("common-alpha", "common-beta", "common-gamma"))
     assert G.cells_of(1) == 1 << 10 and G.cells_of(1 << 40) == G.MAX_CELLS
+
+
+def test_work_is_bounded_by_characters_not_rows():
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["a" * 10, None, "b" * (G.CHUNK_CHARS + 5), "", "c" * 7] + ["dé" * 5000] * 400
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([t or "" for t in texts])], names=["_keep", "_text"])
+    parts = list(G._chunks(batch, 1))
+    assert [t for _, (folded,) in parts for t in folded] == [t or "" for t in texts]
+    assert all(len(f) == 1 or sum(len(t.encode()) for t in f) <= G.CHUNK_CHARS for _, (f,) in parts) and len(parts) > 5
+    # Grams of joined texts never reach from one into the next.
+    letters, first, lengths = G.joined(["abcd", "", "x", "efghi"])
+    at, row = G.places(first, lengths, 4)
+    assert at.tolist() == [0, 5, 6] and row.tolist() == [0, 3, 3] and len(letters) == 10
+    assert np.array_equal(G.gram_hashes(letters, 4)[at[1:]], G.gram_hashes(G.codes("efghi"), 4))
+    assert G.places(first, lengths, 4, lengths == 5)[1].tolist() == [3, 3]
+
+
+def test_grams_of_all_terms_are_found(spark):
+    terms = [(f"name {i:05d} of firm", "ORG", "0.85") for i in range(300)] + [(f"n{i}x", "PERSON", "0.99") for i in range(300)]
+    texts = [(i, f"{'filler ' * (i % 9)}Name {i:05d} OF firm and n{i}x") for i in range(300)]
+    assert searched(spark, texts, terms) == brute(texts, terms)

@@ -16,16 +16,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.functions.spans import SPANS_TYPE
-from veilmark.operators.common import stage
+from veilmark.operators.common import HOT_SHARE, stage
 
 #: Lengths of grams; a term has grams of the largest length it can hold.
 SIZES = (1, 2, 4, 8)
 #: Bound of the broadcast filter, in bits.
 MAX_CELLS = 1 << 26
+#: Bytes of texts that are worked on at once; a longer text is worked on alone.
+CHUNK_CHARS = 1 << 20
 LABELS = "array<struct<etype:string,score:string>>"
 GRAMS = "array<struct<gram:bigint,pos:int>>"
 FOUND = "array<struct<etype:string,value:string,start:int,end:int,score:string>>"
@@ -68,6 +71,37 @@ def gram_size(length: int) -> int:
     return max(s for s in SIZES if s <= length)
 
 
+def joined(folded: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letters of all texts in a row, and where each begins and how long it is."""
+    lengths = np.array([len(t) for t in folded], np.int64)
+    return codes("".join(folded)), np.cumsum(lengths) - lengths, lengths
+
+
+def places(first: np.ndarray, lengths: np.ndarray, size: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Where the grams of *size* characters of the (*wanted*) joined texts begin, and the text of each."""
+    n = np.maximum(lengths - size + 1, 0)
+    if wanted is not None:
+        n = np.where(wanted, n, 0)
+    row = np.repeat(np.arange(len(n)), n)
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + first[row], row
+
+
+def _chunks(batch: pa.RecordBatch, *columns: int) -> Iterator[tuple[pa.RecordBatch, list[list[str]]]]:
+    """Stretches of *batch* of about :data:`CHUNK_CHARS` folded characters, with the folded texts of *columns*.
+
+    What is worked out per character is bounded by this, and not by the rows of a batch.
+    """
+    sizes = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < batch.num_rows:
+        done = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, done + CHUNK_CHARS, side="right")))
+        part = batch.slice(start, end - start)
+        yield part, [[fold(t) for t in part.column(c).to_pylist()] for c in columns]
+        start = end
+
+
 # -- the terms ---------------------------------------------------------------------------------------
 
 
@@ -84,21 +118,36 @@ def index(terms: DataFrame) -> DataFrame:
 
     def all_grams(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            for row, term in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                size = gram_size(len(term))
-                gram, off = np.unique(gram_hashes(codes(term), size), return_index=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(gram), row)), pa.array(np.full(len(gram), size), pa.int32()),
-                     pa.array(off, pa.int32()), pa.array(gram.view(np.int64))],
-                    names=["row", "size", "off", "gram"],
-                )
+            for rows, (terms,) in _chunks(batch, 1):
+                numbers = np.asarray(rows.column(0))
+                letters, first, lengths = joined(terms)
+                wanted = np.array([gram_size(n) for n in lengths.tolist()], np.int32)
+                for size in np.unique(wanted).tolist():
+                    at, row = places(first, lengths, size, wanted == size)
+                    gram, off = gram_hashes(letters, size)[at], at - first[row]
+                    # Of a gram that repeats in a term the first place counts.
+                    order = np.lexsort((off, gram, row))
+                    gram, off, row = gram[order], off[order], row[order]
+                    new = np.ones(len(row), bool)
+                    new[1:] = (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(numbers[row[new]]), pa.array(np.full(int(new.sum()), size), pa.int32()),
+                         pa.array(off[new].astype(np.int32)), pa.array(gram[new].view(np.int64))],
+                        names=["row", "size", "off", "gram"],
+                    )
 
     listed = terms.select("term", "etype", F.col("score").cast("string")).mapInArrow(folded, "term string, etype string, score string")
     one = stage(listed.groupBy("term").agg(F.collect_set(F.struct("etype", "score")).cast(LABELS).alias("labels")))
     known = one.withColumn("row", F.monotonically_increasing_id())
     grams = stage(known.select("row", "term").mapInArrow(all_grams, "row bigint, size int, off int, gram bigint"))
-    shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rarest = grams.join(shared, "gram").groupBy("row").agg(F.min(F.struct("n", "off", "size", "gram")).alias("best"))
+    shared = stage(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    # Grams of a thousandth of the rows, of which there can be a thousand, would crowd a task.
+    hot = shared.filter(F.col("n") * HOT_SHARE >= max(total, 1))
+    counted = grams.join(F.broadcast(hot), "gram").unionByName(
+        grams.join(F.broadcast(hot.select("gram")), "gram", "left_anti").join(shared, "gram")
+    )
+    rarest = counted.groupBy("row").agg(F.min(F.struct("n", "off", "size", "gram")).alias("best"))
     return stage(known.join(rarest, "row").select("term", "labels", "best.size", "best.off", "best.gram"))
 
 
@@ -142,16 +191,29 @@ def search(df: DataFrame, keep: list[str], text_col: str, terms: DataFrame, n_te
 
     def look_up(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, bits = shared.value
-        kind = pa.list_(pa.struct([("gram", pa.int64()), ("pos", pa.int32())]))
         for batch in parts:
-            places = []
-            for text in batch.column(1).to_pylist():
-                letters = codes(fold(text))
-                found = [(h[at], at) for h in (gram_hashes(letters, s) for s in sizes) for at in (np.flatnonzero(_maybe(bits, cells, h)),)]
-                gram, pos = (np.concatenate(c) for c in zip(*found))
-                places.append([{"gram": g, "pos": p} for g, p in zip(gram.view(np.int64).tolist(), pos.tolist())])
-            with_grams = pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, kind)], names=["_keep", "_text", "_grams"])
-            yield with_grams.filter(pa.array([bool(p) for p in places], pa.bool_()))
+            for rows, (texts,) in _chunks(batch, 1):
+                letters, first, lengths = joined(texts)
+                row, gram, pos = [], [], []
+                for size in sizes:
+                    hashes = gram_hashes(letters, size)
+                    hit = np.flatnonzero(_maybe(bits, cells, hashes))
+                    text = np.searchsorted(first, hit, side="right") - 1
+                    # A gram may not reach into the next text.
+                    inside = hit + size <= first[text] + lengths[text]
+                    hit, text = hit[inside], text[inside]
+                    row.append(text)
+                    gram.append(hashes[hit])
+                    pos.append(hit - first[text])
+                row, gram, pos = (np.concatenate(c) if c else np.empty(0, np.int64) for c in (row, gram, pos))
+                order = np.argsort(row, kind="stable")
+                counts = np.bincount(row, minlength=len(texts))
+                values = pa.StructArray.from_arrays(
+                    [pa.array(gram[order].view(np.int64), pa.int64()), pa.array(pos[order].astype(np.int32))], ["gram", "pos"]
+                )
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
+                with_grams = pa.RecordBatch.from_arrays([*rows.columns, lists], names=["_keep", "_text", "_grams"])
+                yield with_grams.filter(pa.array(counts > 0))
 
     rows = df.filter(F.col(text_col).isNotNull()).select(F.struct(*keep).alias("_keep"), F.col(text_col).alias("_text"))
     kept_type = rows.schema["_keep"].dataType.simpleString()
@@ -171,18 +233,33 @@ def search(df: DataFrame, keep: list[str], text_col: str, terms: DataFrame, n_te
 
 def _verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compare the places with the text; a term never overlaps itself."""
-    kind = pa.list_(
-        pa.struct([("etype", pa.string()), ("value", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.string())])
-    )
     for batch in parts:
-        out = []
-        for text, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            low, spans, taken = fold(text), [], {}
-            for p in sorted(places, key=lambda p: p["start"]):
-                term, start = p["term"], p["start"]
-                end = start + len(term)
-                if start >= taken.get(term, 0) and low.startswith(term, start):
-                    taken[term] = end
-                    spans += [{**label, "value": text[start:end], "start": start, "end": end} for label in p["labels"]]
-            out.append(spans)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["_keep", "spans"])
+        for rows, (folded,) in _chunks(batch, 1):
+            texts, listed = rows.column(1).to_pylist(), rows.column(2)
+            counts = pc.list_value_length(listed).to_numpy(zero_copy_only=False)
+            begins, names, labels = listed.flatten().flatten()
+            row, start = np.repeat(np.arange(len(texts)), counts), np.asarray(begins)
+            order = np.lexsort((start, row)).tolist()
+            rows_of, starts, terms = row.tolist(), start.tolist(), names.to_pylist()
+            good, values, last, taken = [], [], -1, {}
+            for i in order:
+                r, at, term = rows_of[i], starts[i], terms[i]
+                if r != last:
+                    last, taken = r, {}
+                if at >= taken.get(term, 0) and folded[r].startswith(term, at):
+                    taken[term] = end = at + len(term)
+                    good.append(i)
+                    values.append(texts[r][at:end])
+            at = np.array(good, np.int64)
+            held = labels.take(pa.array(at))
+            each = np.repeat(np.arange(len(at)), pc.list_value_length(held).to_numpy(zero_copy_only=False))
+            etype, score = held.flatten().flatten()
+            value = pa.array(values, pa.string()).take(pa.array(each))
+            first = start[at][each].astype(np.int32)
+            end = first + np.array([len(v) for v in values], np.int32)[each]
+            spans = pa.StructArray.from_arrays(
+                [etype, value, pa.array(first), pa.array(end), score], ["etype", "value", "start", "end", "score"]
+            )
+            per = np.bincount(row[at][each], minlength=len(texts))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32)), spans)
+            yield pa.RecordBatch.from_arrays([rows.column(0), lists], names=["_keep", "spans"])
