@@ -462,3 +462,46 @@ def test_piece_lattice_keeps_rows_together(spark):
     same = {}
     for r in per:
         assert same.setdefault(texts[r._row], r.ids_hash) == r.ids_hash
+
+
+def test_piece_lattice_fits_log_probabilities(spark):
+    """Expected counts against all ways to cut each word, and the query's scores add up to probabilities."""
+    import math
+
+    rows = [("▁", 0, -0.0), ("a", 1, -1.0), ("b", 2, -2.0), ("ab", 3, -3.0), ("▁a", 4, -4.0), ("ba", 5, -5.0), ("zz", 6, -1e9)]
+    kind = "piece string, id int, score double, is_byte boolean"
+    table = spark.createDataFrame([(*r, False) for r in rows] + [("<0x41>", 7, 0.0, True)], kind)
+    counts = {"▁abab": 5, "▁a": 3, "▁bab": 2, "▁xab": 1}
+
+    def ways(word, pieces):
+        if not word:
+            yield []
+        for k in range(1, len(word) + 1):
+            if word[:k] in pieces or k == 1:
+                for rest in ways(word[k:], pieces):
+                    yield [word[:k], *rest]
+
+    weigh = {p: 1 / (min(max(-s, 0), len(rows)) + 1) for p, _, s in rows}
+    score = {p: math.log(w / sum(weigh.values())) for p, w in weigh.items()}
+    for _ in range(piece_lattice.ROUNDS):
+        unknown, sums = min(score.values()) + piece_lattice.UNKNOWN, dict.fromkeys(score, 0.0)
+        for word, n in counts.items():
+            weights = [(w, math.exp(sum(score.get(p, unknown) for p in w))) for w in ways(word, score)]
+            for w, x in weights:
+                for p in w:
+                    if p in sums:
+                        sums[p] += n * x / sum(y for _, y in weights)
+        sums = {p: max(v, piece_lattice.LEAST_COUNT) for p, v in sums.items()}
+        score = {p: math.log(v / sum(sums.values())) for p, v in sums.items()}
+    words = spark.createDataFrame(list(counts.items()), "word string, n bigint")
+    fitted = piece_lattice.fit(words, table)
+    got = {r.piece: r.score for r in fitted.collect() if not r.is_byte}
+    assert got.keys() == score.keys() and all(abs(got[p] - score[p]) < 1e-5 for p in score)
+    assert fitted.filter("is_byte").count() == 1
+    turns = spark.createDataFrame([(i, 0, w.replace("▁", "")) for i, (w, n) in enumerate(counts.items()) for _ in range(n)], "conv_id int, turn int, text string")
+    # Frequent pieces win, where merge ranks prefer whatever came first among the merges.
+    ids = {r.text: r.ids for r in piece_lattice.encode(turns, table, fitted=True).distinct().collect()}
+    for word in ("▁abab", "▁bab", "▁a"):
+        best = max(ways(word, score), key=lambda w: sum(score.get(p, -1e3) for p in w))
+        by_piece = {p: i for p, i, _ in rows}
+        assert ids[word[1:]] == [by_piece[p] for p in best]
