@@ -193,3 +193,42 @@ def test_result_can_feed_a_python_udf(spark):
     df = df.withColumn("p", F.expr(R.key_pattern("m")))
     out = df.withColumn("r", F.expr(R.replace_values("t", "m", "p")))
     assert out.select(size("r")).first()[0] == len("[X_1] b")
+
+
+def test_large_maps_are_rewritten_like_small_ones(spark):
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from veilmark.operators import rewrite as REW
+
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("ab_1é \U0001F600") for _ in range(n))
+    values = {word(rng.randint(1, 5)) for _ in range(300)}
+    mapping = {v: f"[T_{i}]" for i, v in enumerate(sorted(values))}
+    assert len(mapping) > REW.LARGE_MAP
+    texts = [word(400), "", "plain", None]
+    maps = spark.createDataFrame([(i, mapping) for i in range(4)] + [(4, {"a": "[X]"})], "id int, mapping map<string,string>")
+    df = spark.createDataFrame([*enumerate(texts), (4, "ab a"), (5, "ab a")], "id int, text string")
+    either = "|".join(re.escape(k) for k in sorted(mapping, key=lambda k: (-len(k), k)))
+    for bounded in (False, True):
+        pattern = rf"(?<![^\W])(?:{either})(?![^\W])" if bounded else either
+        want = [None if t is None else re.sub(pattern, lambda m: mapping[m[0]], t) for t in texts]
+        out = REW.rewrite_text(df, ["id"], "text", maps, 0, 1 << 20, word_boundary=bounded, large=True)
+        got = dict(out.select("id", "text").collect())
+        assert [got[i] for i in range(4)] == want
+        assert got[4] == ("ab [X]" if bounded else "[X]b [X]") and got[5] == "ab a"
+
+
+def test_look_up_does_not_try_every_value():
+    import time
+
+    from veilmark.operators import rewrite as REW
+
+    mapping = {f"c{i}@x.example.com": f"[{i}]" for i in range(40000)}
+    text = "\n".join(f"write to {k} soon" for k in mapping)
+    began = time.perf_counter()
+    out = REW.exchanger(mapping, False)(text)
+    assert out == "\n".join(f"write to {t} soon" for t in mapping.values())
+    assert time.perf_counter() - began < 30

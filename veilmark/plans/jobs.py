@@ -184,10 +184,11 @@ class _TextPart:
         scope = list(given.document or given.key)
         maps = REW.value_maps(self.hits, scope, lookup, lookup_bytes, settings.broadcast_bytes)
         has_hits = HAS_SPANS if self.held is not None and given.document is None else None
+        large = REW.widest(self.hits, scope, self.bound) > REW.LARGE_MAP
         out = REW.rewrite_text(
             # Per value a map holds the value, its token and its part of the pattern.
             given.df if self.held is None else self.held, scope, given.text_col, maps, 4 * self.bytes,
-            settings.broadcast_bytes, word_boundary=settings.word_boundary, has_hits=has_hits,
+            settings.broadcast_bytes, word_boundary=settings.word_boundary, has_hits=has_hits, large=large,
         )
         return out.select(*[f"`{c}`" for c in given.df.columns])
 
