@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from veilmark.llm import (
@@ -505,3 +506,25 @@ def test_piece_lattice_fits_log_probabilities(spark):
         best = max(ways(word, score), key=lambda w: sum(score.get(p, -1e3) for p in w))
         by_piece = {p: i for p, i, _ in rows}
         assert ids[word[1:]] == [by_piece[p] for p in best]
+
+
+def test_open_pairs_gives_no_more_links_than_members(spark):
+    """Checked where they meet, a bucket of n similar texts gives a tree of links, not all pairs."""
+    rows = [(i, " ".join([*LOREM[:80], f"x{i}"])) for i in range(30)]
+    rows += [(30 + i, " ".join([*LOREM[:80], *LOREM[300 : 322 + i % 3], f"y{i}"])) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    classes = near_dedup.cut(near_dedup.classes_of(near_dedup.profiles(docs, "doc_id", "text")).withColumn("node", F.col("rep")))
+    # One bucket, no links yet.
+    buckets = classes.select(F.lit(1).cast("bigint").alias("bucket"), "node", F.lit(len(rows)).alias("n"))
+    comps = spark.createDataFrame([], "node bigint, comp bigint")
+
+    def texts(nodes):
+        return near_dedup.texts_of(docs, classes.select("node", "rep", "h").join(nodes, "node"), "doc_id", "text")
+
+    found = [tuple(r) for r in near_dedup.open_pairs(buckets, comps, classes, texts=texts).collect()]
+    sets = [shingles(t) for _, t in rows]
+    links = {(a, b) for b in range(len(rows)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert set(found) <= links and len(found) < len(rows) < len(links)
+    assert roots(len(rows), found) == roots(len(rows), links)
+    parted = near_dedup.open_pairs(buckets, comps, classes, block=9, texts=texts).collect()
+    assert {tuple(r) for r in parted} <= links and roots(len(rows), [tuple(r) for r in parted]) == roots(len(rows), links)

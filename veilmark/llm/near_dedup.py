@@ -13,8 +13,9 @@
 Groups are what is asked for, not pairs.  First every member of a bucket is compared with the
 bucket's smallest and largest class only.  Links found this way join most classes of a bucket;
 then pairs are compared inside tasks only where a bucket still holds several components, and
-only across components.  Large buckets are split into blocks, so no task gets a whole bucket and
-pairs are not written out before they survive.  No pair of one bucket that could join two
+only across components.  Large buckets are split into blocks, so no task gets a whole bucket.
+There the pairs that pass 3 and 4 are checked on the full sets at once, and only links that join
+two components leave the task, at most one for each of its rows.  No pair of one bucket that could join two
 components is left uncompared.
 
 A pair at the threshold is missed by the bands with a chance of 5e-6.
@@ -28,7 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -214,8 +215,11 @@ def star_pairs(buckets: DataFrame) -> DataFrame:
     return low.unionByName(high).distinct()
 
 
-def open_pairs(buckets: DataFrame, comps: DataFrame, classes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Pruned pairs ``(a, b)`` of one bucket that lie in different components."""
+def open_members(buckets: DataFrame, comps: DataFrame) -> DataFrame:
+    """``bucket, node, comp, main, n_main, n_out`` of the buckets that still hold several components.
+
+    ``main`` tells the members of the bucket's largest component, ``n_main`` and ``n_out`` count them and the others.
+    """
     placed = cut(
         buckets.select("bucket", "node", "n").join(comps, "node", "left")
         .select("bucket", "node", "n", F.coalesce("comp", "node").alias("comp"))
@@ -224,13 +228,40 @@ def open_pairs(buckets: DataFrame, comps: DataFrame, classes: DataFrame, block:
         placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("n").alias("size"))
         .filter("x <> y").select("bucket", "size")
     )
-    rows = join_groups(placed, mixed, "bucket", "size").join(classes.select("node", "sig"), "node")
-    n_blocks = F.ceil(F.col("size") / block).cast("int")
-    own = F.pmod(F.xxhash64("node"), n_blocks).cast("int")
-    # A block meets every block of its bucket once; within a task rows of a meeting stand together.
-    met = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    rows = cut(join_groups(placed, mixed, "bucket", "size"))
+    largest = F.max(F.struct("k", "comp")).alias("top")
+    sizes = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(largest, F.sum("k").alias("size"))
+    sizes = cut(sizes.select("bucket", F.col("top.comp").alias("top"), F.col("top.k").alias("n_main"), "size"))
+    return join_groups(rows.drop("size"), sizes, "bucket", "size").select(
+        "bucket", "node", "comp", (F.col("comp") == F.col("top")).alias("main"), "n_main", (F.col("size") - F.col("n_main")).alias("n_out")
+    )
+
+
+def open_pairs(
+    buckets: DataFrame, comps: DataFrame, classes: DataFrame, block: int = BLOCK,
+    texts: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Pruned pairs ``(a, b)`` of one bucket that lie in different components.
+
+    Members of the largest component only meet the others, so their blocks do not meet each other.
+
+    *texts* gives ``(node, body)`` for a table of nodes.  With it pairs are checked on the full sets where they meet,
+    and only links that join two components of the meeting are given: they connect all that its
+    links connect and are fewer than its members, however many pairs there are.
+    """
+    members = cut(open_members(buckets, comps))
+    rows = members.join(classes.select("node", "sig"), "node")
+    if texts is not None:
+        rows = rows.join(texts(members.select("node").distinct()), "node")
+    out_blocks, main_blocks = (F.ceil(F.col(n) / block).cast("int") for n in ("n_out", "n_main"))
+    place, whole = F.xxhash64("node"), F.col("n_out") + F.col("n_main") <= block
+    parted = F.when(F.col("main"), out_blocks + F.pmod(place, main_blocks)).otherwise(F.pmod(place, out_blocks))
+    own = F.when(whole, 0).otherwise(parted).cast("int")
+    last = F.when(whole, 1).when(F.col("main"), out_blocks).otherwise(out_blocks + main_blocks) - 1
+    # A block meets the other blocks of its bucket once; within a task rows of a meeting stand together.
+    met = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     key = [F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
-    keyed = met.select("bucket", *key, "own", "node", "comp", "sig")
+    keyed = met.select("bucket", *key, "own", "node", "comp", "sig", *(["body"] if texts is not None else []))
     n_parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["bucket", "i", "j"]
     dealt = keyed.repartition(n_parts, *order).sortWithinPartitions(*order)
@@ -260,16 +291,16 @@ def _meet(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     group = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
     i, j = group.column(1)[0].as_py(), group.column(2)[0].as_py()
     own, node, comp = (group.column(k).to_numpy() for k in (3, 4, 5))
-    values, counts = np.unique(comp, return_counts=True)
+    values, comp, counts = np.unique(comp, return_inverse=True, return_counts=True)
     if len(values) < 2:
         return
     minima, maps = _unpacked(group.column(6), len(node))
+    sets = _Sets(group.column(7)) if group.num_columns > 7 else None
     # Members of the largest component need no turn of their own: the others come to them.
-    main = comp == values[counts.argmax()]
-    outside = np.flatnonzero(~main)
+    outside = np.flatnonzero(comp != counts.argmax())
     turn = np.full(len(node), len(node), np.int64)
     turn[outside] = np.arange(len(outside))
-    a_out, b_out = [], []
+    a_out, b_out = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for k in outside:
         partners = (comp != comp[k]) & (turn > turn[k])
         if i != j:
@@ -277,11 +308,46 @@ def _meet(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = np.flatnonzero(partners)
         near = index[agreeing(minima[k], minima[index])]
         near = near[within_reach(maps[k], maps[near])]
+        if sets is not None:
+            links = []
+            while len(near):
+                # One of each component has its turn; those of components joined by then are done.
+                head = near[np.unique(comp[near], return_index=True)[1]]
+                good = head[sets.similar(k, head)]
+                links += good.tolist()
+                comp[np.isin(comp, comp[good])] = comp[k]
+                near = near[(comp[near] != comp[k]) & ~np.isin(near, head)]
+            near = np.array(links, np.int64)
         a_out.append(np.minimum(node[k], node[near]))
         b_out.append(np.maximum(node[k], node[near]))
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], names=["a", "b"])
 
 
+class _Sets:
+    """Shingle sets of packed texts, made when needed; up to ``KEPT`` hashes are remembered."""
+
+    KEPT = 1 << 21
+
+    def __init__(self, bodies: pa.Array) -> None:
+        self.bodies, self.unpack = bodies, zstandard.ZstdDecompressor()
+        self.made: dict[int, np.ndarray] = {}
+        self.size = 0
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        if k not in self.made:
+            found = _packed_set(self.unpack, self.bodies[k].as_py())
+            if self.size > self.KEPT:
+                self.made, self.size = {}, 0
+            self.made[k] = found
+            self.size += len(found)
+        return self.made[k]
+
+    def similar(self, k: int, others: np.ndarray) -> np.ndarray:
+        """Which of *others* are similar enough to *k*."""
+        one = self[int(k)]
+        return np.array([_similar(one, self[int(o)]) for o in others], bool)
+
+
 # -- exact check -----------------------------------------------------------------------------------
 
 
@@ -305,24 +371,27 @@ def texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
     return cut(found.dropDuplicates(["node"]))
 
 
+def _packed_set(unpack: zstandard.ZstdDecompressor, body: bytes) -> np.ndarray:
+    return shingle_set(words(unpack.decompress(body).decode("utf-8", "surrogatepass"), lower=True))
+
+
+def _similar(one: np.ndarray, other: np.ndarray) -> bool:
+    both = len(np.intersect1d(one, other, assume_unique=True))
+    return OF * both >= SIMILAR * (len(one) + len(other) - both)
+
+
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose full sets are similar enough."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-
-        def shingles(body: bytes) -> np.ndarray:
-            return shingle_set(words(unpack.decompress(body).decode("utf-8", "surrogatepass"), lower=True))
-
         last, one = None, None
         for batch in parts:
             good = []
             for a, x, y in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
                 if a != last:
-                    last, one = a, shingles(x)
-                other = shingles(y)
-                both = len(np.intersect1d(one, other, assume_unique=True))
-                good.append(OF * both >= SIMILAR * (len(one) + len(other) - both))
+                    last, one = a, _packed_set(unpack, x)
+                good.append(_similar(one, _packed_set(unpack, y)))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     def side(end: str) -> DataFrame:
@@ -336,16 +405,15 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _components(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    def checked(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = cut(classes.select("node", "rep", "h").join(ends, "node"))
-        return cut(confirm(pairs, texts_of(docs, wanted, id_col, text_col)))
+    def texts(nodes: DataFrame) -> DataFrame:
+        return texts_of(docs, cut(classes.select("node", "rep", "h").join(nodes, "node")), id_col, text_col)
 
     buckets = buckets_of(classes)
     first = cut(prune(star_pairs(buckets), classes))
-    comps = components(checked(first))
-    more = cut(open_pairs(buckets, comps, classes).join(first, ["a", "b"], "left_anti"))
-    return comps if more.isEmpty() else refine(comps, checked(more))
+    ends = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
+    comps = components(cut(confirm(first, texts(ends))))
+    more = cut(open_pairs(buckets, comps, classes, texts=texts))
+    return comps if more.isEmpty() else refine(comps, more)
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
