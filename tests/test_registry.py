@@ -254,3 +254,22 @@ def test_link_reports_circles_and_lost_anchors(spark):
     rows = [("x@y.example.com", E.EMAIL_OF, "mid", None), ("mid", E.ALIAS, "old", None)]
     got = {r.value: r.token for r in REG.link(linked(spark, rows), known).collect()}
     assert got == {"x@y.example.com": "[EMAIL_PERSON_7]", "mid": "[PERSON_7]"}
+
+
+def test_events_are_read_once(spark):
+    """Name parts come from the settled values; the events behind them are not evaluated again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(value):
+        seen.add(1)
+        return value
+
+    rows = spark.range(200).select(F.concat(F.lit("Ann Lee"), (F.col("id") % 20).cast("string")).alias("value"), "id")
+    place = E.seq(F.lit(0), F.struct(F.col("id").alias("o0")), F.lit(0), F.lit(0))
+    events = rows.select(
+        counted("value").alias("value"), F.lit("PERSON").alias("etype"), F.lit(E.PERSON).alias("kind"),
+        F.lit(None).cast("string").alias("anchor"), place.alias("seq"),
+    )
+    assert REG.build(events).count() == 20 + 1 + 20
+    assert seen.value == 200

@@ -82,7 +82,8 @@ def winners(events: DataFrame, known: DataFrame | None = None) -> DataFrame:
     def unknown(df: DataFrame) -> DataFrame:
         return df if known is None else df.join(known.select("value"), "value", "left_anti")
 
-    first = unknown(earliest(events))
+    # Used twice; without the cut the name filter would go down to the events and read them again.
+    first = stage(unknown(earliest(events)))
     return earliest(first.unionByName(unknown(name_parts(first))))
 
 
