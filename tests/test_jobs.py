@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 import veilmark as V
 from veilmark.config import SettingsError, for_redact, passthrough_for_redact, passthrough_for_tokens
 from veilmark.operators import audit as AUD
+from veilmark.operators import common as COMMON
 from veilmark.operators import registry as REG
 from veilmark.operators import structured as STR
 from veilmark.operators.subject import SubjectError, subject_table, subject_values
@@ -286,3 +287,22 @@ def test_restore_of_rows_that_repeat(spark):
     assert got == sorted(str(r) for r in [
         (1, "a@b.example.com", None), (1, "10.0.0.1 [IP_9]", "x"), (None, "no", "a@b.example.coma@b.example.com"), (None, None, None), (2, "", "[PERSON_1]"),
     ])
+
+
+def test_rows_of_one_file_are_searched_by_many_tasks(spark, tmp_path):
+    """A file of one row group is one task's to read, but its cells are not one task's to search."""
+    n = 3 * COMMON.SPREAD_ROWS
+    table = spark.range(n).select("id", F.concat(F.lit("mail c"), F.col("id").cast("string"), F.lit("@x.example.com")).alias("note"))
+    table.coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    assert one.rdd.getNumPartitions() == 1
+    dealt = COMMON.spread(one)
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == n and max(sizes) * spark.sparkContext.defaultParallelism <= 2 * n
+    assert COMMON.spread(dealt).rdd.getNumPartitions() == len(sizes)
+    few = one.limit(10)
+    assert COMMON.spread(few) is few
+    out = V.pseudonymise_table(one, ["id"], scan=["note"]).df
+    assert out.filter(F.col("note") == F.concat(F.lit("mail [EMAIL_"), (F.col("id") + 1).cast("string"), F.lit("]"))).count() == n
+    text = V.pseudonymise_text(one, "note", ["id"]).df
+    assert text.filter(F.col("note") == F.concat(F.lit("mail [EMAIL_"), (F.col("id") + 1).cast("string"), F.lit("]"))).count() == n

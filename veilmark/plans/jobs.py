@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -21,7 +21,7 @@ from veilmark.operators import restore as RES
 from veilmark.operators import rewrite as REW
 from veilmark.operators import roster as ROS
 from veilmark.operators import structured as STR
-from veilmark.operators.common import cut, measure, stage
+from veilmark.operators.common import cut, measure, spread, stage
 
 
 #: Of staged texts, the rows with something to replace.
@@ -168,9 +168,10 @@ class _TextPart:
     def __init__(self, given: TextInput, settings: Settings, dictionary: D.Dictionary, src: int) -> None:
         self.given, self.settings = given, settings
         key = [*given.key, "_ord"]
-        rows = given.df.withColumn("_ord", E.order_struct(given.order))
+        in_row = DET.in_row(settings, dictionary)
+        rows = spread(given.df, keep=not in_row).withColumn("_ord", E.order_struct(given.order))
         self.held = None
-        if DET.in_row(settings, dictionary):
+        if in_row:
             self.held = stage(DET.with_entities(rows, given.text_col, settings, dictionary, True, "_spans"))
             kept = self.held.filter(HAS_SPANS).select(*key, "_spans")
         else:
@@ -199,6 +200,8 @@ class _TablePart:
     hits = None
 
     def __init__(self, plan: STR.TablePlan, settings: Settings, dictionary: D.Dictionary) -> None:
+        if plan.columns_of(STR.SCANNED):
+            plan = replace(plan, df=spread(plan.df, keep=True))
         self.plan, self.settings = plan, settings
         self.scanned, self.bytes = None, 0
         self.bound: int | None = 0
