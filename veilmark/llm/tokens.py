@@ -2,44 +2,87 @@
 
 A byte-pair tokenizer never merges across the borders of its pre-tokenizer, so a text may be
 cut at such borders, each piece encoded on its own and the ids joined.  Prose repeats its
-words, so most pieces are found in a dictionary and the library only sees new ones.
+words, so most pieces are found in a dictionary and the library only sees new ones.  Texts are
+cut, pieces numbered and ids joined a batch at a time by Arrow; Python sees each piece once a batch.
+
+Where the file's own pre-tokenizer is one of those below, a new piece of letters, punctuation and
+single line breaks is cut once more, so that ``Word.``, ``word,`` and ``word`` share their letters;
+the letters that are new are encoded together and told apart by the tokens that begin or end a word.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
+import string
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 END_ID = 0
 #: Pieces a worker remembers.
 KEEP = 1_000_000
+#: Runs of punctuation a worker remembers.
+RUNS_KEPT = 10_000
 _BEFORE_WORD = re.compile(r" (?=[^\s\x1c-\x1f])")
-_ASCII_SPACES = str.maketrans({c: " " for c in "\t\n\r\x0b\x0c"})
+#: A space that no word follows, for Arrow, whose patterns cannot look ahead.
+_ODD_SPACE = r" (?:[\s\x0B\x1c-\x1f\x{85}]|\pZ|\z)"
 
 
-def byte_level_pieces(text: str) -> list[str]:
+def byte_level_pieces(texts: pa.Array) -> pa.Array:
     """Cut before each space that a non-space follows: a byte-level pre-tokenizer always does so.
 
-    All pieces but the first have lost that space.
+    All pieces but the first of a text have lost that space.
     """
-    return _BEFORE_WORD.split(text)
+    if pc.any(pc.match_substring_regex(texts, _ODD_SPACE)).as_py():
+        return pa.array([_BEFORE_WORD.split(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+    return pc.split_pattern(texts, " ")
 
 
-def word_level_pieces(text: str) -> list[str]:
+def word_level_pieces(texts: pa.Array) -> pa.Array:
     """Cut at ASCII white space, which a word-level pre-tokenizer drops."""
-    return text.translate(_ASCII_SPACES).split(" ")
+    return pc.ascii_split_whitespace(texts)
 
 
 #: How to cut, and what stood before all pieces but the first.
-PIECES: dict[str, tuple[Callable[[str], list[str]], str]] = {
+PIECES: dict[str, tuple[Callable[[pa.Array], pa.Array], str]] = {
     "byte": (byte_level_pieces, " "),
     "word": (word_level_pieces, ""),
 }
 
+# Letters and punctuation that every version of Unicode and each normal form leaves alone; no apostrophe,
+# as contractions begin with it.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_MARKS = string.punctuation.replace("'", "")
+_RUN = f"[{re.escape(_MARKS)}]"
+_WORD = re.compile(f"[{_LETTERS}]+")
+_LINES = re.compile(rf"[{_LETTERS}]+{_RUN}*(?:\n[{_LETTERS}]+{_RUN}*)*")
+_PARTS = re.compile(rf"\n?[{_LETTERS}]+|{_RUN}+")
+#: What could stand inside a piece that :data:`_LINES` matches.
+_INSIDE = re.compile(rf"[{_LETTERS}]*{_RUN}*(?:\n[{_LETTERS}]*{_RUN}*)*")
+_WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _finer(spec: dict, kind: str) -> bool:
+    """Whether the pre-tokenizer of the file *spec* always parts letters, punctuation and single line breaks."""
+    before, normal = spec["pre_tokenizer"] or {}, spec["normalizer"]
+    if any(_INSIDE.fullmatch(t["content"]) for t in spec["added_tokens"]):
+        return False
+    if kind == "byte":
+        return normal is None and before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"]
+    steps = before.get("pretokenizers", [])
+    steps = [(s["type"], s.get("pattern"), s.get("invert"), s.get("use_regex"), s.get("add_prefix_space")) for s in steps]
+    normal = [(n["type"], n.get("pattern"), n.get("content")) for n in (normal or {}).get("normalizers", [])]
+    return (
+        steps == [("Split", {"Regex": _WORD_SPLIT}, True, None, None), ("ByteLevel", None, None, False, False)]
+        and normal == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+        and spec["model"].get("end_of_word_suffix") == "</w>"
+    )
+
 
 class Encoder:
     """Encodes texts to little-endian 32-bit ids.
@@ -54,32 +97,102 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.kind = kind
         self.pieces, self.before = PIECES[kind]
         self.keep = keep
+        #: Ids of pieces; a key that begins with a line break has no space before it.
         self.known: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        self.finer = _finer(json.loads(self.tokenizer.to_str()), kind)
+        vocabulary = self.tokenizer.get_vocab()
+        #: Tokens that begin a word (byte), or that end one.
+        self.edges = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        for token, i in vocabulary.items():
+            self.edges[i] = token.startswith(("Ġ", "Ċ")) if kind == "byte" else token.endswith("</w>")
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
 
+    def _encode_letters(self, words: list[str]) -> list[bytes]:
+        """Ids of *words* of letters, encoded as one text."""
+        if self.kind == "byte":
+            text = "".join(w if w[0] == "\n" else self.before + w for w in words)
+        else:
+            text = " ".join(words)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        edges = np.flatnonzero(self.edges[ids])
+        if len(edges) != len(words):
+            return self._encode([w if w[0] == "\n" else self.before + w for w in words])
+        cuts = [*edges.tolist(), len(ids)] if self.kind == "byte" else [0, *(edges + 1).tolist()]
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:])]
+
+    def _fresh(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of the pieces *new*, and of the words of letters in them that were new as well."""
+        if not self.finer:
+            return dict(zip(new, self._encode([self.before + p for p in new])))
+        lower = self.kind == "word"
+        bare, marked, lined, whole = [], [], [], []
+        for p in new:
+            word = p.rstrip(_MARKS)
+            if word.isalpha() and (word.isascii() or _WORD.fullmatch(word)):
+                if len(word) == len(p):
+                    bare.append(p)
+                else:
+                    marked.append((p, word, p[len(word) :]))
+            elif _LINES.fullmatch(p):
+                lined.append((p, _PARTS.findall(p)))
+            else:
+                whole.append(p)
+        pieces, words, tails = zip(*marked) if marked else ((), (), ())
+        parts = [x for _, xs in lined for x in xs]
+        words = [*bare, *words, *(x for x in parts if x[-1] not in _MARKS)]
+        if lower:
+            words = list(map(str.lower, words))
+        letters = list(set(words).difference(self.known))
+        fresh = dict(zip(letters, self._encode_letters(letters))) if letters else {}
+        ids = [fresh.get(w) or self.known[w] for w in words]
+
+        runs = {*tails, *(x for x in parts if x[-1] in _MARKS)}
+        run_ids = {x: self.runs[x] for x in runs if x in self.runs}
+        unseen = list(runs.difference(run_ids))
+        run_ids.update(zip(unseen, self._encode(unseen)))
+        if len(self.runs) < RUNS_KEPT:
+            self.runs.update((x, run_ids[x]) for x in unseen if len(x) <= 64)
+
+        if lower:
+            fresh.update(zip(bare, ids))
+        rest = iter(ids[len(bare) :])
+        fresh.update((p, i + run_ids[t]) for p, t, i in zip(pieces, tails, rest))
+        fresh.update((p, b"".join([run_ids[x] if x[-1] in _MARKS else next(rest) for x in xs])) for p, xs in lined)
+        fresh.update(zip(whole, self._encode([self.before + p for p in whole])))
+        return fresh
+
     def __call__(self, texts: Iterable[str | None]) -> list[bytes]:
-        cut = [self.pieces(t or "") for t in texts]
-        firsts = self._encode([pieces[0] for pieces in cut])
-        flat = [p for pieces in cut for p in pieces]
-        ids: list[bytes | None] = list(map(self.known.get, flat))
+        cut = self.pieces(pa.array([t or "" for t in texts], pa.string()))
+        if not len(cut):
+            return []
+        coded = cut.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids: list[bytes | None] = list(map(self.known.get, pieces))
         if None in ids:
-            new = list({p for p, i in zip(flat, ids) if i is None})
-            if len(self.known) >= self.keep and len(new) * 4 > len(flat):
+            new = [p for p, i in zip(pieces, ids) if i is None]
+            if len(self.known) >= self.keep and len(new) * 4 > len(coded):
                 self.known = {}
-            fresh = dict(zip(new, self._encode([self.before + p for p in new])))
-            ids = [fresh[p] if i is None else i for p, i in zip(flat, ids)]
+            fresh = self._fresh(new)
+            ids = [fresh[p] if i is None else i for p, i in zip(pieces, ids)]
             if len(self.known) < self.keep:
                 self.known.update((p, i) for p, i in fresh.items() if len(p) <= 64)
-        out, at = [], 0
-        for pieces, first in zip(cut, firsts):
-            out.append(b"".join([first, *ids[at + 1 : at + len(pieces)]]))
-            at += len(pieces)
-        return out
+        joined = pa.array(ids, pa.large_binary()).take(coded.indices)
+        at = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset :]
+        raw = memoryview(joined.buffers()[2] or b"")
+        ends = cut.offsets.to_numpy()
+        if not self.before:
+            return [raw[at[a] : at[b]].tobytes() for a, b in zip(ends, ends[1:])]
+        # The first piece of a text has no space before it.
+        firsts = self._encode([pieces[k] for k in coded.indices.to_numpy()[ends[:-1]]])
+        return [first + raw[at[a + 1] : at[b]].tobytes() for first, a, b in zip(firsts, ends, ends[1:])]
 
 
 @functools.lru_cache(maxsize=2)
