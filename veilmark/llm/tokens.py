@@ -24,8 +24,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 END_ID = 0
-#: Pieces a worker remembers.
-KEEP = 1_000_000
+#: Pieces a worker remembers; a word stands for all its pieces with marks.
+KEEP = 500_000
 #: Runs of punctuation a worker remembers.
 RUNS_KEPT = 10_000
 _BEFORE_WORD = re.compile(r" (?=[^\s\x1c-\x1f])")
@@ -128,10 +128,10 @@ class Encoder:
         raw = ids.tobytes()
         return [raw[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:])]
 
-    def _fresh(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of the pieces *new*, and of the words of letters in them that were new as well."""
+    def _fresh(self, new: list[str]) -> tuple[dict[str, bytes], dict[str, bytes]]:
+        """Ids to remember, and ids of pieces that are put together again each time; both have all of *new*."""
         if not self.finer:
-            return dict(zip(new, self._encode([self.before + p for p in new])))
+            return dict(zip(new, self._encode([self.before + p for p in new]))), {}
         lower = self.kind == "word"
         bare, marked, lined, whole = [], [], [], []
         for p in new:
@@ -161,13 +161,12 @@ class Encoder:
         if len(self.runs) < RUNS_KEPT:
             self.runs.update((x, run_ids[x]) for x in unseen if len(x) <= 64)
 
-        if lower:
-            fresh.update(zip(bare, ids))
+        joined = dict(zip(bare, ids)) if lower else {}
         rest = iter(ids[len(bare) :])
-        fresh.update((p, i + run_ids[t]) for p, t, i in zip(pieces, tails, rest))
-        fresh.update((p, b"".join([run_ids[x] if x[-1] in _MARKS else next(rest) for x in xs])) for p, xs in lined)
+        joined.update((p, i + run_ids[t]) for p, t, i in zip(pieces, tails, rest))
+        joined.update((p, b"".join([run_ids[x] if x[-1] in _MARKS else next(rest) for x in xs])) for p, xs in lined)
         fresh.update(zip(whole, self._encode([self.before + p for p in whole])))
-        return fresh
+        return fresh, joined
 
     def __call__(self, texts: Iterable[str | None]) -> list[bytes]:
         cut = self.pieces(pa.array([t or "" for t in texts], pa.string()))
@@ -178,15 +177,15 @@ class Encoder:
         ids: list[bytes | None] = list(map(self.known.get, pieces))
         if None in ids:
             new = [p for p, i in zip(pieces, ids) if i is None]
-            if len(self.known) >= self.keep and len(new) * 4 > len(coded):
+            fresh, joined = self._fresh(new)
+            ids = [joined.get(p) or fresh[p] if i is None else i for p, i in zip(pieces, ids)]
+            if len(self.known) >= self.keep and len(fresh) * 4 > len(coded):
                 self.known = {}
-            fresh = self._fresh(new)
-            ids = [fresh[p] if i is None else i for p, i in zip(pieces, ids)]
             if len(self.known) < self.keep:
                 self.known.update((p, i) for p, i in fresh.items() if len(p) <= 64)
-        joined = pa.array(ids, pa.large_binary()).take(coded.indices)
-        at = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset :]
-        raw = memoryview(joined.buffers()[2] or b"")
+        spread = pa.array(ids, pa.large_binary()).take(coded.indices)
+        at = np.frombuffer(spread.buffers()[1], np.int64)[spread.offset :]
+        raw = memoryview(spread.buffers()[2] or b"")
         ends = cut.offsets.to_numpy()
         if not self.before:
             return [raw[at[a] : at[b]].tobytes() for a, b in zip(ends, ends[1:])]
