@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 from veilmark.llm import line_dedup as L
 
@@ -109,3 +110,59 @@ def test_lists_of_entries(monkeypatch, short, every):
                     mine.append((x["node"], y["node"]))
             want += mine if every else mine[:1]
     assert sorted(zip(a.tolist(), b.tolist())) == sorted(want) and len(want) > 100
+
+
+def test_text_tokens():
+    rng = np.random.default_rng(6)
+    ws = [bytes(rng.integers(33, 256, rng.integers(1, 70)).astype(np.uint8)) for _ in range(800)]
+    text = b"".join(w + b" \t\n\x0b\x0c\r"[k % 6 : k % 6 + 1 + k % 3] + b"\r" for k, w in enumerate(ws))
+    at, h = L.text_tokens(b"\n" + text)
+    assert h.tolist() == [xxhash.xxh64_intdigest(w, 42) for w in ws]
+    assert [text[a - 1 : a - 1 + len(w)] for a, w in zip(at.tolist(), ws)] == ws
+    texts = ["", "a b c d e\n\nf a b c d e a", " ", "é b c d e f\nx", "a b c d\n" * 3]
+    row, number, n, tokens, words = L.line_sets(texts)
+    assert list(zip(row.tolist(), number.tolist(), n.tolist())) == [(1, 0, 5), (1, 2, 6), (3, 0, 6)]
+    assert len(tokens) == 17 and len(words) == 5 + 7 + 7 + 12
+    assert tokens[5:11].tolist() == sorted(L.token_hashes([b"f", b"a", b"b", b"c", b"d", b"e"]).tolist())
+
+
+def test_signatures_meet():
+    """Similar sets share a signature, whatever their sizes."""
+    rng = np.random.default_rng(7)
+    sets, pairs = [], []
+    for n in [*range(5, 60), 80, 107, 133, 190, 400]:
+        for _ in range(6):
+            base = rng.integers(0, 1 << 63, n + n // 9 + 1, dtype=np.uint64)
+            for size in range(n, n + n // 9 + 1):
+                for changed in range(n // 19 + 1):
+                    other = base[:size].copy()
+                    other[:changed] = rng.integers(0, 1 << 63, changed, dtype=np.uint64)
+                    if alike(set(base[:n].tolist()), set(other.tolist())):
+                        pairs.append((len(sets), len(sets) + 1))
+                        sets += [np.sort(base[:n]), np.sort(other)]
+    found = defaultdict(set)
+    for k, x in zip(*(v.tolist() for v in L.signatures(np.concatenate(sets), np.array([len(s) for s in sets])))):
+        found[k].add(x)
+    assert len(pairs) > 1000 and all(found[a] & found[b] for a, b in pairs)
+
+
+def test_lines_without_a_partner_stay_out(spark):
+    """Prefix entries of lines that are like no other are not made, though they share rare words."""
+    rng = np.random.default_rng(8)
+    vocabulary = [f"v{k}" for k in range(400)]
+    texts = ["\n".join(" ".join(rng.choice(vocabulary, rng.integers(12, 40), replace=False)) for _ in range(5)) for _ in range(200)]
+    copy = texts[3].split("\n")[2]
+    texts += [copy + " more" if len(copy.split()) >= 9 else copy, copy]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    surveyed = L.survey(frame, "text")
+    counts = L.token_counts(surveyed)
+    words = [w for t in texts for w in t.split()]
+    assert counts.sum() == len(words)
+    assert counts[int(L.token_hashes([b"v7"])[0]) & (L.CELLS - 1)] >= words.count("v7")
+    context = spark.sparkContext
+    rows = L.lines(frame, context.broadcast(counts), context.broadcast(L.possible_ids(surveyed)), "doc_id", "text").collect()
+    assert len(rows) == 1002
+    open_ = {(r.doc_id, r.line) for r in rows if r.digest is not None}
+    assert {(3, 2), (200, 0), (201, 0)} <= open_ and len(open_) < 50
+    gone = {(r.doc_id, r.line) for r in L.removed(frame).collect() if r.gone}
+    assert gone == {(200, 0), (201, 0)}
