@@ -508,6 +508,99 @@ def test_piece_lattice_fits_log_probabilities(spark):
         assert ids[word[1:]] == [by_piece[p] for p in best]
 
 
+def test_piece_lattice_query_takes_all_texts_whole(spark, tmp_path, monkeypatch):
+    """Documents and turns, each text as one lattice from end to end: fitted scores, best paths, ids and their text."""
+    import math
+
+    from veilmark.llm.queries import QUERIES
+
+    long = "tokenization" * 25 + "é" * 140 + "\U00012000" * 3
+    docs = [(1, f"a {long} of it"), (1, "the same row"), (1, "the same row"), (2, None), (3, ""), (None, "  two  spaces\tand\n\nlines "),
+            (4, "word after word " * 40 + "rare \u65e5\u672c"), (5, f"x{long[1:]}"), (6, " ")]
+    turns = [(1, 0, "user", "the end of it"), (1, 1, "user", None), (1, 2, "user", long[3:])]
+    spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    # Units that are broadcast and units that are joined, in texts of several buckets.
+    monkeypatch.setattr(piece_lattice, "HOT_UNITS", 9)
+    monkeypatch.setattr(piece_lattice, "BUCKET_UNITS", 50)
+    got = QUERIES["op9_piece_lattice"](spark, str(tmp_path)).collect()
+
+    table = piece_lattice.pieces(spark, tokenizer("piece_bpe_32k.model")).collect()
+    ranks, id_of = {r.piece: r.score for r in table if not r.is_byte}, {r.piece: r.id for r in table}
+    texts = [t for *_, t in docs] + [t for *_, t in turns]
+    lattices = ["\u2581" + t.replace(" ", "\u2581") for t in texts if t]
+
+    def add(a, b):
+        return max(a, b) + math.log1p(math.exp(-abs(a - b))) if min(a, b) > -math.inf else max(a, b)
+
+    weigh = {p: 1 / (min(max(-s, 0), len(ranks)) + 1) for p, s in ranks.items()}
+    score = {p: math.log(w / sum(weigh.values())) for p, w in weigh.items()}
+    for _ in range(piece_lattice.ROUNDS):
+        least, sums = min(score.values()), dict.fromkeys(score, 0.0)
+        for text in lattices:
+            own = [[(a, p, score.get(p, least + piece_lattice.UNKNOWN)) for a in range(max(0, end - 16), end) for p in [text[a:end]]
+                    if p in score or end - a == 1] for end in range(1, len(text) + 1)]
+            ahead, back = [0.0] + [-math.inf] * len(text), [-math.inf] * len(text) + [0.0]
+            for end, found in enumerate(own, 1):
+                for a, _, s in found:
+                    ahead[end] = add(ahead[end], ahead[a] + s)
+            for end in range(len(text), 0, -1):
+                for a, p, s in own[end - 1]:
+                    back[a] = add(back[a], back[end] + s)
+            for end, found in enumerate(own, 1):
+                for a, p, s in found:
+                    if p in sums:
+                        sums[p] += math.exp(ahead[a] + s + back[end] - ahead[-1])
+        sums = {p: max(v, piece_lattice.LEAST_COUNT) for p, v in sums.items()}
+        total = sum(sums.values())
+        score = {p: math.log(v / total) for p, v in sums.items()}
+    unknown = min(score.values()) + piece_lattice.UNKNOWN
+
+    def best(text):
+        to = [0.0]
+        for end in range(1, len(text) + 1):
+            to.append(max(to[a] + score.get(text[a:end], unknown) for a in range(max(0, end - 16), end) if text[a:end] in score or end - a == 1))
+        return to[-1]
+
+    by_id = {r.id: r for r in table}
+    want = sorted([(i, None, None, t) for i, t in docs] + [(None, c, k, t) for c, k, _, t in turns], key=str)
+    have = []
+    for r in got:
+        # Byte pieces stand for characters without a piece.
+        body = b"".join(bytes.fromhex(by_id[i].piece[3:5]) if by_id[i].is_byte else by_id[i].piece.replace("\u2581", " ").encode() for i in r.ids)
+        text = body.decode()[1:]
+        assert r.restored and r.n_tokens == len(r.ids) and r.n_words == (len(text.split(" ")) if text else 0)
+        if text:
+            marked = "\u2581" + text.replace(" ", "\u2581")
+            plain = [by_id[i].piece for i in r.ids if not by_id[i].is_byte]
+            path = sum(score[p] for p in plain) + unknown * (len(marked) - sum(map(len, plain)))
+            assert abs(path - best(marked)) < 1e-3
+        have.append((r.doc_id, r.conv_id, r.turn, text))
+    assert sorted(((a, b, c, t or "") for a, b, c, t in want), key=str) == sorted(have, key=str)
+    assert len({r.ids_hash for r in got if not r.ids}) == 1
+    assert id_of["<0xF0>"] in {i for r in got for i in r.ids}
+
+
+def test_piece_lattice_of_long_units(spark):
+    """A unit of many blocks and characters has the path of a plain fold."""
+    table = piece_lattice.pieces(spark, tokenizer("piece_bpe_32k.model"))
+    scores = {r.piece: r.score for r in table.filter("NOT is_byte").collect()}
+    by_id = {r.id: r.piece for r in table.collect()}
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdenst"), n)) for n in (1, 127, 128, 129, 255, 256, 257, 3000)]
+    got = {r.word: r.ids for r in piece_lattice.lattice(spark.createDataFrame([(w,) for w in words], "word string"), table).collect()}
+    for word in words:
+        to = [(0.0, 0)]
+        for end in range(1, len(word) + 1):
+            # Of equal scores the edge that starts first.
+            to.append(max((to[a][0] + scores[word[a:end]], end - a) for a in range(max(0, end - 16), end) if word[a:end] in scores))
+        path, at = [], len(word)
+        while at:
+            path.append(word[at - to[at][1] : at])
+            at -= to[at][1]
+        assert [by_id[i] for i in got[word]] == path[::-1]
+
+
 def test_open_pairs_gives_no_more_links_than_members(spark):
     """Checked where they meet, a bucket of n similar texts gives a tree of links, not all pairs."""
     rows = [(i, " ".join([*LOREM[:80], f"x{i}"])) for i in range(30)]
